@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import langid
+from weftline.llm import langid, quality
 from weftline.llm.near import near_classes
 from weftline.llm.session import table
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~quality.held_out()))
+    return quality.rate(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
@@ -22,6 +28,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_classifier": op3_quality_classifier,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_language_id": op9_language_id,
 }
