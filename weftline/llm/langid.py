@@ -157,7 +157,7 @@ def _score(model: LanguageModel):
             start, end, first = _word_spans(data, at)
             value = np.zeros((batch.num_rows, width))
             if width and len(start):
-                hashes, back = np.unique(B.spans(B.sums(B.mix(data.astype(np.uint64))), start, end), return_inverse=True)
+                hashes, back = np.unique(B.spans(P.code_sums(data), start, end), return_inverse=True)
                 rows = memo.find(hashes)
                 fresh = rows < 0
                 if not memo.room(int(fresh.sum())):

@@ -38,13 +38,23 @@ class Pieces:
         return np.where(self.hashes[at] == hashes, at, np.int32(-1))
 
 
+@lru_cache(maxsize=1)
+def _spread() -> np.ndarray:
+    return B.mix(np.arange(0x110000, dtype=np.uint64))
+
+
+def code_sums(data: np.ndarray) -> np.ndarray:
+    """``bytetext.sums`` over code points."""
+    return B.sums(_spread()[data])
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Pieces:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = tuple(model.id_to_piece(i) for i in range(model.get_piece_size()))
     plain = [i for i in range(len(texts)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
     data, at = codes([texts[i] for i in plain])
-    hashes = B.spans(B.sums(B.mix(data.astype(np.uint64))), at[:-1], at[1:])
+    hashes = B.spans(code_sums(data), at[:-1], at[1:])
     order = np.argsort(hashes)
     ids = np.array(plain, np.int32)[order]
     scores = np.array([model.get_score(int(i)) for i in ids])
@@ -82,5 +92,5 @@ def substrings(pieces: Pieces, rows: np.ndarray) -> list[np.ndarray]:
     n, length = rows.shape
     power, inverse = B._powers(length + 1)
     prefix = np.zeros((n, length + 1), np.uint64)
-    np.cumsum(B.mix(rows.astype(np.uint64)) * power[:length], axis=1, out=prefix[:, 1:])
+    np.cumsum(_spread()[rows] * power[:length], axis=1, out=prefix[:, 1:])
     return [pieces.find(B.mix((prefix[:, k:] - prefix[:, :-k]) * inverse[: length - k + 1] + np.uint64(k * int(B._MUL) % (1 << 64)))) for k in range(1, min(pieces.longest, length) + 1)]
