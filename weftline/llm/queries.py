@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm import langid, quality
 from weftline.llm.near import near_classes
 from weftline.llm.packing import pack
+from weftline.llm.pii import replace_pii
 from weftline.llm.session import table
 
 
@@ -18,6 +19,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), key="query-key")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_language_id": op9_language_id,
