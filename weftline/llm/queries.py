@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import langid, quality
+from weftline.llm.fingerprint import fingerprints
 from weftline.llm.near import near_classes
 from weftline.llm.packing import pack
 from weftline.llm.pii import replace_pii
@@ -25,6 +26,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), key="query-key")
 
@@ -46,6 +51,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_document_fingerprints": op4_document_fingerprints,
     "op5_pii_surrogates": op5_pii_surrogates,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
