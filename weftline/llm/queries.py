@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import langid, quality
 from weftline.llm.fingerprint import fingerprints
+from weftline.llm.html import extract
 from weftline.llm.near import near_classes
 from weftline.llm.packing import pack
 from weftline.llm.pii import replace_pii
@@ -20,6 +21,10 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~quality.held_out()))
@@ -50,6 +55,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
+    "op2_html_extraction": op2_html_extraction,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_document_fingerprints": op4_document_fingerprints,
     "op5_pii_surrogates": op5_pii_surrogates,
