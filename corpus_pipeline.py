@@ -1,14 +1,82 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read by the next.
+
+Every stage works on all rows its predecessor kept. Language ID and quality learn from the rows and
+labels that their queries may learn from. Rows with a null doc_id are kept by the near-duplicate stage.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import langid, quality
+from weftline.llm.near import near_classes
+from weftline.llm.packing import pack
+from weftline.llm.pii import replace_pii
+from weftline.llm.session import table
+
+PII_KEY = "corpus-pipeline"
+LEAST_SCORE = 0.5  # posterior below which a language is uncertain
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without letters and those whose language is uncertain."""
+    model = langid.fit(docs.filter(~langid.held_out()))
+    kept = langid.identify(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.select(docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that the classifier scores below its cut."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~quality.held_out()))
+    return quality.rate(docs, model).filter("predicted = 1").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the least doc_id of each class of near duplicates."""
+    classes = near_classes(docs)
+    kept = classes.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("_times"))
+    unnamed = docs.filter("doc_id is null")
+    named = docs.join(kept, "doc_id")
+    once = named.filter("_times = 1").select(docs.columns)
+    repeated = named.filter("_times > 1").select(docs.columns).dropDuplicates(["doc_id"])
+    return once.unionByName(repeated).unionByName(unnamed)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data and secrets by surrogates; n_chars follows the new text."""
+    new = replace_pii(docs, PII_KEY).drop("n_entities")
+    return new.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences."""
+    return pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language),
+    ("quality_classifier", good_quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("pii", private),
+    ("best_fit_packing", packed),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+# language ID, the classifier and the packing are learned or solved: SQL can't express them
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; what lies between them is written under spark.checkpoint.dir."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='weftline-')}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{i}-{name}")
+            docs = spark.read.parquet(f"{folder}/{i}-{name}")
+    return docs

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.llm import langid, quality
 from weftline.llm.fingerprint import fingerprints
@@ -14,6 +15,7 @@ from weftline.llm.packing import pack
 from weftline.llm.pii import replace_pii
 from weftline.llm.session import table
 from weftline.llm.topk import top_k
+from weftline.llm.viterbi import count_tokens, decode_texts, encode_texts
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +41,11 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), key="query-key")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = decode_texts(encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return docs.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -53,15 +60,21 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.drop("lang"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_pretokens", "n_tokens")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_html_extraction": op2_html_extraction,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_document_fingerprints": op4_document_fingerprints,
     "op5_pii_surrogates": op5_pii_surrogates,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_language_id": op9_language_id,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
