@@ -1 +1 @@
-
+"""Column functions: script semantics and named scalar families."""

@@ -1 +1 @@
-
+"""Scans, the token store's operations, and sinks."""
