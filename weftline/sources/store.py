@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.lineage import cut
+
 
 def insert_tokens(store: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(store, rejected): keys that the store has, and repeats within the new rows, are refused."""
@@ -60,7 +62,8 @@ def batches(rows: DataFrame, order: list[str], record: Column, size: int = 200)
     """
     spark = rows.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.withColumn("_record", record).repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    # written once: another run of the range exchange may cut the ranges elsewhere
+    ranged = cut(rows.select(*order, record.alias("_record")).repartitionByRange(width, *order).withColumn("_part", F.spark_partition_id()))
     counted = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = counted.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per partition
     number = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
