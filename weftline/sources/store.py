@@ -67,5 +67,5 @@ def batches(rows: DataFrame, order: list[str], record: Column, size: int = 200)
     counted = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = counted.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per partition
     number = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    placed = ranged.withColumn("_i", number).join(F.broadcast(starts), "_part").withColumn("batch", F.floor((F.col("_i") + F.col("_before")) / size).cast("long"))
+    placed = ranged.withColumn("_k", number).join(F.broadcast(starts), "_part").withColumn("_i", F.col("_k") + F.col("_before")).withColumn("batch", F.floor(F.col("_i") / size).cast("long"))
     return placed.groupBy("batch").agg(F.count("*").alias("n_records"), F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_record"))), lambda r: r["_record"])).alias("payload"))
