@@ -30,7 +30,7 @@ def keys(rows: DataFrame, column: str) -> DataFrame:
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """path, front (a map of the front matter) and body of each markdown file under a folder."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return front_matter(files)
 
 
