@@ -23,34 +23,42 @@ PII_KEY = "corpus-pipeline"
 LEAST_SCORE = 0.5  # posterior below which a language is uncertain
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
+    """``docs`` with columns of these names under other ones, and the columns that give the old names back."""
+    other = {c: f"_own_{i}_{c}" for i, c in enumerate(docs.columns) if c.lower() in names}
+    return docs.withColumnsRenamed(other), [F.col(other.get(c, c)).alias(c) for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those whose language is uncertain."""
     model = langid.fit(docs.filter(~langid.held_out()))
-    kept = langid.identify(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.select(docs.columns)
+    plain, back = _aside(docs, "lang_pred", "score")
+    return langid.identify(plain, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(back)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier scores below its cut."""
     model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~quality.held_out()))
-    return quality.rate(docs, model).filter("predicted = 1").select(docs.columns)
+    plain, back = _aside(docs, "score", "predicted")
+    return quality.rate(plain, model).filter("predicted = 1").select(back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the least doc_id of each class of near duplicates."""
     classes = near_classes(docs)
+    plain, back = _aside(docs, "_times")
     kept = classes.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("_times"))
-    unnamed = docs.filter("doc_id is null")
-    named = docs.join(kept, "doc_id")
-    once = named.filter("_times = 1").select(docs.columns)
-    repeated = named.filter("_times > 1").select(docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(unnamed)
+    unnamed = plain.filter("doc_id is null")
+    named = plain.join(kept, "doc_id")
+    once = named.filter("_times = 1").drop("_times")
+    repeated = named.filter("_times > 1").drop("_times").dropDuplicates(["doc_id"])
+    return once.unionByName(repeated).unionByName(unnamed).select(back)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and secrets by surrogates; n_chars follows the new text."""
-    new = replace_pii(docs, PII_KEY).drop("n_entities")
-    return new.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    plain, back = _aside(docs, "n_entities")
+    return replace_pii(plain, PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(back)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def _selected(key: np.ndarray, at: np.ndarray) -> np.ndarray:
     n = len(key)
     best = key.copy()
     for step in (1, 2, 4):  # the greatest of RUN = 8 keys
-        best[: n - step] = np.maximum(best[: n - step], best[step:])
+        best[: max(0, n - step)] = np.maximum(best[: max(0, n - step)], best[step:])
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     whole = np.arange(n) + RUN <= at[text + 1]
     votes = np.zeros(n, np.int8)
