@@ -24,7 +24,7 @@ def test_odd_vectors_and_ties(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERIES", 3)
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(60)]
-    rows += [(60, None), (61, []), (62, [1.0, None, 0, 0, 0, 0]), (63, [math.nan] * 6), (64, [math.inf] + [0.0] * 5), (None, [1.0] * 6), (65, [1.0, 2.0]), (70, [3.0, 1.0]), (80, None)]
+    rows += [(60, None), (61, []), (62, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (63, [math.nan] * 6), (64, [math.inf] + [0.0] * 5), (None, [1.0] * 6), (65, [1.0, 2.0]), (70, [3.0, 1.0]), (80, None)]
     frame = spark.createDataFrame([(i, v, 1, 1) for i, v in rows], "vec_id long, embedding array<float>, shard int, rank int")
     got = topk.top_k(frame, frame.filter("vec_id % 10 = 0"), k=7)
     assert {tuple(r) for r in got.collect()} == brute(rows, range(0, 90, 10), 7)

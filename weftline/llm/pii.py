@@ -37,13 +37,19 @@ ALPHABETS = (
 
 _TITLES = "|".join(sorted((*FEMALE_TITLES, *MALE_TITLES), key=len, reverse=True))
 _L = r"\p{L}\p{N}"
+_CARD = r"(?<![\p{N}\p{L}])(?:\d{16}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4})(?![\p{N}\p{L}])"
+_SSN = r"(?<![\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{N}\-])"
+_IP = r"(?<![\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\p{N})"
+_GAP = rf"(?:[.\-]| (?!{_CARD}|{_SSN}|{_IP}))?"  # within a phone number: the next entity isn't part of it
 PATTERNS = {
     "email": rf"(?<![{_L}._%+\-])[{_L}._%+\-]++@[{_L}\-]++(?:\.[{_L}\-]++){{1,8}}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "card": r"(?<![\p{N}\p{L}])(?:\d{16}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4})(?![\p{N}\p{L}])",
-    "ssn": r"(?<![\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{N}\-])",
-    "ip": r"(?<![\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\p{N})",
-    "phone": r"(?<![\p{N}+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){1,4}(?!\p{N})|(?<![\p{N}\p{L}])(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[.\-]\d{4}(?!\p{N})",
+    "card": _CARD,
+    "ssn": _SSN,
+    "ip": _IP,
+    "phone": r"(?<![\p{N}+])\+\d{1,3}[ .\-]?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\p{N})|"
+    rf"(?<![\p{{N}}+])\+\d{{1,3}}{_GAP}\(?\d{{1,4}}\)?(?:{_GAP}\d{{2,4}}){{1,4}}(?!\p{{N}})|"
+    r"(?<![\p{N}\p{L}])(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[.\-]\d{4}(?!\p{N})",
     "hex": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])",
     "key": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,64}|sk-[A-Za-z0-9]{20,64})(?![\p{L}\p{N}])",
     "name": rf"(?<![{_L}])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}\-]{{1,30}}(?: \p{{Lu}}[\p{{L}}\-]{{1,30}}){{0,2}}",
