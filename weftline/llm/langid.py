@@ -150,7 +150,7 @@ def _score(model: LanguageModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, table, width = P.load(model.path), _padded(model.probability), len(model.languages)
         names = np.array([*model.languages, "und"], object)
-        most = max(1 << 12, (1 << 22) // max(1, width))
+        most = max(1 << 12, (1 << 20) // max(1, width))
         memo, held = Memo(most), np.zeros((0, width), np.float32)
         for batch in B.slices(batches, "text"):
             data, at = P.column_codes(pc.utf8_lower(batch.column("text")))

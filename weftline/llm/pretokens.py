@@ -78,7 +78,7 @@ def split(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 class Encoder:
     """Token ids of texts by a tokenizer file, each distinct pre-token encoded once and kept."""
 
-    def __init__(self, path: str, most: int = 1 << 20):
+    def __init__(self, path: str, most: int = 1 << 19):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)

@@ -26,7 +26,7 @@ from weftline.llm.memo import Memo
 
 UNKNOWN = 10.0
 LITERAL = 0xD800  # a surrogate, which no text has, stands for a literal U+2581
-MOST_WORDS = 1 << 20
+MOST_WORDS = 1 << 19
 CELLS = 1 << 18  # places of equal-length words that advance together
 
 
