@@ -56,7 +56,7 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("power", ())) < n:
+    if "power" not in _tables or len(_tables["power"]) < n:
         size = max(n, SLICE_BYTES + 65536)
         for name, base in (("power", _BASE), ("inverse", _BASE_INVERSE)):
             _tables[name] = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)], dtype=np.uint64)
