@@ -61,3 +61,15 @@ def test_repeated_articles_stay(spark):
     assert {r.text for r in got if r.page_id in range(5)} == {"Head line\nOne <b> & two three four\nFive\na\nb"}
     assert {(r.page_id, r.text, r.n_chars) for r in got if r.page_id in (None, 5, 6)} == {(5, "", 0), (None, "", 0), (6, "alone", 5)}
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_repeats_are_sought_in_the_whole_host(spark):
+    passage = "This passage of nine words stands on few pages"
+    own = [" ".join(f"w{i}x{k}" for k in range(400)) for i in range(40)]
+    rows = [(i, f"http://big.example.com/{i}", f"<div>{own[i]}</div>" + f"<div>{passage}</div>" * (i in (3, 17, 31))) for i in range(40)]
+    rows += [(100 + i, f"http://other.example.com/{i}", f"<div>{own[i]}</div><div>{passage if i == 3 else 'x'}</div>") for i in (3, 4)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: own[i] for i in range(40)} | {103: f"{own[3]}\n{passage}", 104: f"{own[4]}\nx"}
+    for options in ({"group_chars": 5000}, {"group_chars": 5000, "most_broadcast": 0}, {}):
+        assert {r.page_id: r.text for r in html.extract(frame, **options).collect()} == want
+    assert html.main_texts(["<p>three words here</p>"]) == ["three words here"]

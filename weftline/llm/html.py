@@ -1,9 +1,10 @@
-"""HTML main text with a host suffix array.
+"""HTML main text with the repeated suffixes of a host.
 
 Each page's HTML is read into text blocks, each with its place in the page: inside or outside a main region
-(article, main, or an element named as content). The blocks' token streams of a group of pages of one host are
-concatenated; a suffix array, sorted by prefix doubling up to DEPTH tokens, finds the substrings of that length that
-repeat across distinct pages. Blocks outside a main region that such substrings cover are boilerplate; the unique runs stay.
+(article, main, or an element named as content). The suffixes of the blocks' token streams, hashed by prefix doubling
+up to DEPTH tokens and seeded by the host, are counted over all pages of the host, however many: those that stand on
+several pages with distinct token streams are repeated. Blocks outside a main region that such suffixes cover are
+boilerplate; the unique runs stay.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +26,11 @@ from weftline.llm.session import cut
 
 DEPTH = 8  # tokens of a repeated substring; shorter blocks repeat as a whole
 COVERED = 0.5  # share of a block's tokens under repeated substrings that makes it boilerplate
-GROUP_CHARS = 4_000_000  # HTML characters of a host that one suffix array holds
-BROADCAST_HOSTS = 50_000  # up to so many large hosts their sizes are broadcast; more are joined by a shuffle
+LEAST_PAGES = 2  # distinct pages of a host with a suffix that is repeated
+GROUP_CHARS = 4_000_000  # HTML bytes that are read at a time
+HELD = 1 << 20  # suffixes that a task counts at a time
+BUCKETS = 1 << 10  # of the first count; it keeps 32 more bits of a suffix
+MOST_BROADCAST = 4_000_000  # up to so many repeated suffixes are broadcast; more are joined by a shuffle
 
 # fixed values: HTML's element names
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "audio", "video", "canvas", "select", "xmp", "noembed", "noframes")
@@ -44,6 +50,7 @@ NOISE = frozenset(
 MAIN = frozenset("article content main post entry story".split())
 MAIN_HOLDERS = frozenset(("div", "section", "td"))
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?=/?[a-zA-Z])[^>]*>?", re.S)
 _NAMES = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -134,43 +141,82 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, bound: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """Whether each token lies under a substring of ``depth`` tokens, or a whole block of fewer, that stands on another page too.
+def windows(tokens: np.ndarray, bound: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and length of the suffix that each token begins, cut to ``depth`` tokens and to its block.
 
-    ``tokens`` are hashes of the concatenated streams, ``page`` their pages, ``bound`` whether a block ends with the token.
-    The suffixes are sorted by prefix doubling; suffixes of one rank begin with the same ``depth`` tokens.
+    ``tokens`` are hashes of the concatenated streams, ``bound`` tells whether a block ends with the token. Length 0:
+    the suffix is shorter than ``depth`` and no whole block, and doesn't count. Hashes are made by prefix doubling.
     """
     n = len(tokens)
     if not n:
-        return np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     ends = np.flatnonzero(bound)
     last = ends[np.searchsorted(ends, np.arange(n))]  # of each token's block
     room = np.minimum(last - np.arange(n) + 1, depth)
-    starts = np.r_[True, bound[:-1]]
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
-    span = 1
+    value, span = B.mix(tokens.astype(np.uint64) + _ODD), 1  # 0 stands for no token
     while span < depth:
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - span] = rank[span:]
+        ahead = np.zeros(n, np.uint64)
+        ahead[: max(0, n - span)] = value[span:]
         ahead[room <= span] = 0  # the block ends before
-        rank = np.unique(rank * (int(rank.max()) + 2) + ahead, return_inverse=True)[1].astype(np.int64) + 1
+        value = B.mix(value * _ODD + ahead)
         span *= 2
-    able = np.flatnonzero((room == depth) | starts)  # a shorter suffix counts as a whole block only
-    order = able[np.argsort(rank[able], kind="stable")]
-    group = rank[order]
-    first = np.r_[True, group[1:] != group[:-1]]
-    runs = np.cumsum(first) - 1
-    low, high = np.minimum.reduceat(page[order], np.flatnonzero(first)), np.maximum.reduceat(page[order], np.flatnonzero(first))
-    many = np.zeros(n, bool)
-    many[order] = (low != high)[runs]
-    cover = np.zeros(n + 1, np.int64)
-    np.add.at(cover, np.flatnonzero(many), 1)
-    np.add.at(cover, np.flatnonzero(many) + room[many], -1)
+    return value, np.where((room == depth) | np.r_[True, bound[:-1]], room, 0)
+
+
+def covered(length: np.ndarray) -> np.ndarray:
+    """Whether each token lies under one of the runs that begin at the tokens and have these lengths (0: none)."""
+    cover = np.zeros(len(length) + 1, np.int64)
+    at = np.flatnonzero(length)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + length[at], -1)
     return np.cumsum(cover[:-1]) > 0
 
 
-def main_texts(pages: list[str]) -> list[str]:
-    """The main text of each of some pages of one host."""
+def _pairs(value: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (value, page), by page and value."""
+    order = np.lexsort((value, page))
+    value, page = value[order], page[order]
+    new = np.r_[True, (value[1:] != value[:-1]) | (page[1:] != page[:-1])] if len(value) else np.zeros(0, bool)
+    return value[new], page[new]
+
+
+def _found(counts: tuple[np.ndarray, np.ndarray], value: np.ndarray) -> np.ndarray:
+    """The count of each value by the sorted values and counts of ``counts``; 0 for others."""
+    known, n = counts
+    if not len(known):
+        return np.zeros(len(value), np.int64)
+    at = np.minimum(np.searchsorted(known, value), len(known) - 1)
+    return np.where(known[at] == value, n[at], 0)
+
+
+def repeated(tokens: np.ndarray, page: np.ndarray, bound: np.ndarray, depth: int = DEPTH, least: int = 2) -> np.ndarray:
+    """Whether each token lies under a substring of ``depth`` tokens, or a whole block of fewer, that stands on ``least`` pages."""
+    value, length = windows(tokens, bound, depth)
+    counts = np.unique(_pairs(value[length > 0], page[length > 0])[0], return_counts=True)
+    return covered(np.where(_found(counts, value) >= least, length, 0))
+
+
+@dataclass(frozen=True)
+class Streams:
+    """Blocks and suffixes of some pages."""
+
+    texts: list[str]
+    inside: np.ndarray  # of a main region, by block
+    owner: np.ndarray  # page of each block
+    first: np.ndarray  # first token of each block, and the number of tokens
+    page: np.ndarray  # of each token
+    value: np.ndarray  # hash of the suffix of each token, seeded by the page's host
+    length: np.ndarray
+    stream: np.ndarray  # hash of each page's tokens, seeded by its host
+    filled: np.ndarray  # whether a page has tokens
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct (suffix, page)."""
+        return _pairs(self.value[self.length > 0], self.page[self.length > 0])
+
+
+def streams(pages: list[str], hosts: np.ndarray) -> Streams:
+    """The streams of pages whose hosts have these hashes."""
     parsed = [blocks(p) for p in pages]
     texts = [t for blocks_ in parsed for t, _ in blocks_]
     inside = np.array([p for blocks_ in parsed for _, p in blocks_], bool)
@@ -178,40 +224,180 @@ def main_texts(pages: list[str]) -> list[str]:
     data, offsets = B.raw(pa.array(texts, pa.large_string()))
     start, end, first = B.words(data, offsets)
     count = np.diff(first)
-    block = np.repeat(np.arange(len(texts)), count)
+    page = np.repeat(owner, count)
     bound = np.zeros(len(start), bool)
     bound[first[1:][count > 0] - 1] = True
-    under = np.r_[0, np.cumsum(repeated(B.spans(B.byte_sums(data), start, end), owner[block] if len(block) else block, bound))]
-    boilerplate = (under[first[1:]] - under[first[:-1]]) > COVERED * np.maximum(count, 1)
+    tokens = B.spans(B.byte_sums(data), start, end)
+    value, length = windows(tokens, bound)
+    seeds = B.mix(hosts + _ODD)
+    low, high = np.searchsorted(page, np.arange(len(pages))), np.searchsorted(page, np.arange(len(pages)), "right")
+    stream = B.mix(B.spans(B.sums(tokens), low, high) ^ seeds)
+    return Streams(texts, inside, owner, first, page, B.mix(value ^ seeds[page]), length, stream, high > low)
+
+
+def _texts(s: Streams, counts: tuple[np.ndarray, np.ndarray]) -> list[str]:
+    """The main text of each page by the repeated suffixes' numbers of pages."""
+    under = np.r_[0, np.cumsum(covered(np.where(_found(counts, s.value) >= LEAST_PAGES, s.length, 0)))]
+    boilerplate = (under[s.first[1:]] - under[s.first[:-1]]) > COVERED * np.maximum(np.diff(s.first), 1)
     # a page with a main region has its article there; of another page the blocks that are its own
-    has_main = np.zeros(len(pages), bool)
-    has_main[owner[inside]] = True
-    kept = np.where(has_main[owner], inside, ~boilerplate) if len(texts) else np.zeros(0, bool)
-    lines: list[list[str]] = [[] for _ in pages]
+    has_main = np.zeros(len(s.stream), bool)
+    has_main[s.owner[s.inside]] = True
+    kept = np.where(has_main[s.owner], s.inside, ~boilerplate) if len(s.texts) else np.zeros(0, bool)
+    lines: list[list[str]] = [[] for _ in s.stream]
     for i in np.flatnonzero(kept):
-        lines[owner[i]].append(texts[i])
+        lines[s.owner[i]].append(s.texts[i])
     return ["\n".join(x) for x in lines]
 
 
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for group in sorted_groups(batches, ["host", "part"]):
-        texts = main_texts([h or "" for h in group["html"].to_pylist()])
-        yield pa.RecordBatch.from_arrays([group["page_id"].combine_chunks(), group["url"].combine_chunks(), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+def main_texts(pages: list[str]) -> list[str]:
+    """The main text of each of some pages of one host."""
+    s = streams(pages, np.zeros(len(pages), np.uint64))
+    value, page = s.pairs()
+    once = np.zeros(len(pages), bool)
+    once[np.unique(s.stream, return_index=True)[1]] = True
+    return _texts(s, np.unique(value[once[page]], return_counts=True))
+
+
+def _read(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.RecordBatch, Streams]]:
+    for batch in B.slices(batches, "html", limit):
+        yield batch, streams([h or "" for h in batch.column("html").to_pylist()], batch.column("host").to_numpy().view(np.uint64))
+
+
+def _tallied(parts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct values and their counts, of about HELD values at a time."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part)
+        if n >= HELD:
+            yield np.unique(np.concatenate(held), return_counts=True)
+            held, n = [], 0
+    if n:
+        yield np.unique(np.concatenate(held), return_counts=True)
+
+
+def _prefix(value: np.ndarray) -> np.ndarray:
+    """What the first count keeps of a suffix's hash: the bucket and 32 more bits."""
+    return value >> np.uint64(32 - BUCKETS.bit_length() + 1)
+
+
+def _first_count(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for prefix, n in _tallied(_prefix(s.pairs()[0]) for _, s in _read(batches, limit)):
+            at = np.searchsorted(prefix, np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(32))
+            low, times = prefix.astype(np.uint32), np.minimum(n, 255).astype(np.uint8)
+            some = np.flatnonzero(np.diff(at))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.int32()), *(pa.array([x[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()) for x in (low, times))],
+                ["bucket", "low", "times"],
+            )
+
+    return run
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for group in sorted_groups(batches, ["bucket"]):
+        low = np.frombuffer(b"".join(group["low"].to_pylist()), np.uint32)
+        times = np.frombuffer(b"".join(group["times"].to_pylist()), np.uint8)
+        order = np.argsort(low, kind="stable")
+        low = low[order]
+        new = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+        low = low[new][np.add.reduceat(times[order].astype(np.int64), new) >= LEAST_PAGES]
+        yield pa.RecordBatch.from_arrays([pa.array((group["bucket"][0].as_py() << 32) + low.astype(np.int64))], ["prefix"])
+
+
+def _candidates(limit: int, often):
+    """(stream, suffixes) of each page, of the suffixes whose prefixes are in the broadcast array ``often`` (None: of all)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if often is None else (often.value, np.ones(len(often.value), np.int64))
+        seen: set[int] = set()
+        for _, s in _read(batches, limit):
+            value, page = s.pairs()
+            if known is not None:
+                some = _found(known, _prefix(value)) > 0
+                value, page = value[some], page[some]
+            at = np.searchsorted(page, np.arange(len(s.stream) + 1))
+            names, parts = [], []
+            for i in np.flatnonzero(np.diff(at)):
+                name = int(s.stream[i].view(np.int64))
+                if name not in seen:
+                    seen.add(name)
+                    names.append(name)
+                    parts.append(value[at[i] : at[i + 1]].tobytes())
+            if len(seen) > HELD:  # only spares rows: copies are left out after the shuffle
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(parts, pa.binary())], ["stream", "value"])
+
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(value, n) over the distinct streams, which come to one task each."""
+
+    def parts() -> Iterator[np.ndarray]:
+        seen: set[int] = set()
+        for batch in batches:
+            for name, value in zip(batch.column("stream").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                if name not in seen:
+                    seen.add(name)
+                    yield np.frombuffer(value, np.uint64)
+
+    for value, n in _tallied(parts()):
+        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["value", "n"])
+
+
+def _occurrences(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, s in _read(batches, limit):
+            value, page = s.pairs()
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("key").to_numpy()[page]), pa.array(value.view(np.int64))], ["key", "value"])
+
+    return run
+
+
+def _extracted(limit: int, counts=None):
+    """By the broadcast ``counts``, or by those in the rows' columns value and n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, s in _read(batches, limit):
+            if counts is None:
+                value, at = np.unique(pc.list_flatten(batch.column("value")).to_numpy().view(np.uint64), return_index=True)
+                known = value, pc.list_flatten(batch.column("n")).to_numpy()[at]
+            else:
+                known = counts.value
+            texts = _texts(s, known)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
-def extract(pages: DataFrame, group_chars: int = GROUP_CHARS) -> DataFrame:
+def extract(pages: DataFrame, group_chars: int = GROUP_CHARS, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """page_id, url, text, n_chars (code points of text) per row of ``pages`` (page_id, url, html).
 
     Blocks come in page order, one per line, with white space as single blanks. Null, empty and textless html give
-    an empty text. Pages whose url is null or has no host form one host. A host's pages are dealt to groups of
-    about ``group_chars`` characters by a hash of page_id, so no task holds a whole large host; the numbers of groups are broadcast where at most BROADCAST_HOSTS hosts have several. Repeated rows
+    an empty text. Pages whose url is null or has no host form one host. Repeats are counted over the whole host: a
+    first count over parts of the hashes finds what may be repeated, a second one counts that exactly over the pages
+    with distinct token streams. Up to ``most_broadcast`` repeated suffixes are broadcast to the pages, more are joined to them;
+    ``group_chars`` only bounds what a task reads at a time. Neither changes the result. Repeated rows
     repeat in the result. Other columns are ignored; an empty table gives no rows.
     """
-    width = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = pages.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][\w+.\-]*://([^/?#]*)", 1), F.lit("")))
-    rows = pages.select("page_id", "url", "html", host.alias("host"))
-    sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.coalesce(F.length("html"), F.lit(0))) / group_chars).alias("parts"))
-    sizes = cut(sizes.filter("parts > 1"))
-    few = sizes.count() <= BROADCAST_HOSTS
-    dealt = rows.join(F.broadcast(sizes) if few else sizes, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    return dealt.repartition(width, "host", "part").sortWithinPartitions("host", "part").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    rows = pages.select("page_id", "url", "html", F.xxhash64(host).alias("host"))
+    schema = "page_id long, url string, text string, n_chars long"
+    read = rows.select("host", "html")
+    often = cut(read.mapInArrow(_first_count(group_chars), "bucket int, low binary, times binary").repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_often, "prefix long"))
+    known = spark.sparkContext.broadcast(np.sort(often.toArrow()["prefix"].to_numpy()).view(np.uint64)) if often.count() <= most_broadcast else None
+    counts = read.mapInArrow(_candidates(group_chars, known), "stream long, value binary").repartition(width, "stream").mapInArrow(_counted, "value long, n long")
+    counts = cut(counts.groupBy("value").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_PAGES))
+    if counts.count() <= most_broadcast:
+        got = counts.toArrow()
+        value, n = got["value"].to_numpy().view(np.uint64), got["n"].to_numpy()
+        order = np.argsort(value)
+        return rows.mapInArrow(_extracted(group_chars, spark.sparkContext.broadcast((value[order], n[order]))), schema)
+    keyed = rows.withColumn("key", F.xxhash64("host", "html"))
+    lists = keyed.select("host", "html", "key").mapInArrow(_occurrences(group_chars), "key long, value long").join(counts, "value").distinct()
+    lists = lists.groupBy("key").agg(F.collect_list(F.struct("value", "n")).alias("found")).select("key", F.col("found.value").alias("value"), F.col("found.n").alias("n"))
+    return keyed.join(lists, "key", "left").drop("key").mapInArrow(_extracted(group_chars), schema)
