@@ -73,3 +73,17 @@ def test_repeats_are_sought_in_the_whole_host(spark):
     for options in ({"group_chars": 5000}, {"group_chars": 5000, "most_broadcast": 0}, {}):
         assert {r.page_id: r.text for r in html.extract(frame, **options).collect()} == want
     assert html.main_texts(["<p>three words here</p>"]) == ["three words here"]
+
+
+def test_site_notices_in_main_regions_go_and_copied_passages_stay(spark):
+    own = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(12)]
+    notice, passage = "Every page of this site carries this notice", "Some of the articles quote this whole passage here"
+    pages = [f"<article><p>{own[i]}</p><p>{passage if i < 4 else 'Odd'}</p><p>{notice}</p></article>" for i in range(12)]
+    want = [f"{own[i]}\n{passage}" if i < 4 else f"{own[i]}\nOdd" for i in range(12)]
+    want[4:] = own[4:]  # 'Odd' stands on most pages
+    assert html.main_texts(pages) == want
+    copies = [f"<article><p>{notice} {own[0]}</p><p>Edit {i}</p></article>" for i in range(12)]
+    assert html.main_texts(copies) == [f"{notice} {own[0]}\nEdit {i}" for i in range(12)]
+    frame = spark.createDataFrame([(i, "http://a.example.com/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    for most in (0, 1000):
+        assert [r.text for r in html.extract(frame, most_broadcast=most).orderBy("page_id").collect()] == want

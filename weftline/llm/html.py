@@ -4,7 +4,8 @@ Each page's HTML is read into text blocks, each with its place in the page: insi
 (article, main, or an element named as content). The suffixes of the blocks' token streams, hashed by prefix doubling
 up to DEPTH tokens and seeded by the host, are counted over all pages of the host, however many: those that stand on
 several pages with distinct token streams are repeated. Blocks outside a main region that such suffixes cover are
-boilerplate; the unique runs stay.
+boilerplate; the unique runs stay. In a main region, where articles may be copied, a block goes only if such suffixes
+stand on SITE_SHARE of the host's pages, and not if most of the region would go: that is a copy.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from weftline.llm.session import cut
 DEPTH = 8  # tokens of a repeated substring; shorter blocks repeat as a whole
 COVERED = 0.5  # share of a block's tokens under repeated substrings that makes it boilerplate
 LEAST_PAGES = 2  # distinct pages of a host with a suffix that is repeated
+SITE_PAGES = 5  # least distinct pages, and
+SITE_SHARE = 0.5  # least share of the host's distinct pages, with a suffix that is the site's
 GROUP_CHARS = 4_000_000  # HTML bytes that are read at a time
 HELD = 1 << 20  # suffixes that a task counts at a time
 BUCKETS = 1 << 10  # of the first count; it keeps 32 more bits of a suffix
@@ -209,10 +212,12 @@ class Streams:
     length: np.ndarray
     stream: np.ndarray  # hash of each page's tokens, seeded by its host
     filled: np.ndarray  # whether a page has tokens
+    host: np.ndarray  # a value of each page that counts as a suffix of all pages of its host
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct (suffix, page)."""
-        return _pairs(self.value[self.length > 0], self.page[self.length > 0])
+        """The distinct (suffix, page), with the hosts' values."""
+        able = self.length > 0
+        return _pairs(np.r_[self.value[able], self.host[self.filled]], np.r_[self.page[able], np.flatnonzero(self.filled)])
 
 
 def streams(pages: list[str], hosts: np.ndarray) -> Streams:
@@ -232,17 +237,29 @@ def streams(pages: list[str], hosts: np.ndarray) -> Streams:
     seeds = B.mix(hosts + _ODD)
     low, high = np.searchsorted(page, np.arange(len(pages))), np.searchsorted(page, np.arange(len(pages)), "right")
     stream = B.mix(B.spans(B.sums(tokens), low, high) ^ seeds)
-    return Streams(texts, inside, owner, first, page, B.mix(value ^ seeds[page]), length, stream, high > low)
+    return Streams(texts, inside, owner, first, page, B.mix(value ^ seeds[page]), length, stream, high > low, B.mix(seeds * _ODD))
 
 
 def _texts(s: Streams, counts: tuple[np.ndarray, np.ndarray]) -> list[str]:
     """The main text of each page by the repeated suffixes' numbers of pages."""
-    under = np.r_[0, np.cumsum(covered(np.where(_found(counts, s.value) >= LEAST_PAGES, s.length, 0)))]
-    boilerplate = (under[s.first[1:]] - under[s.first[:-1]]) > COVERED * np.maximum(np.diff(s.first), 1)
+    number, all_ = _found(counts, s.value), _found(counts, s.host)[s.page]
+    count = np.diff(s.first)
+
+    def boilerplate(suffixes: np.ndarray) -> np.ndarray:
+        under = np.r_[0, np.cumsum(covered(np.where(suffixes, s.length, 0)))]
+        return (under[s.first[1:]] - under[s.first[:-1]]) > COVERED * np.maximum(count, 1)
+
+    def tokens(some: np.ndarray) -> np.ndarray:
+        """Tokens of some blocks by page."""
+        return np.bincount(s.owner[some], count[some], len(s.stream))
+
+    repeats = boilerplate(number >= LEAST_PAGES)
+    site = s.inside & boilerplate((number >= SITE_PAGES) & (number >= SITE_SHARE * all_))
+    site &= (2 * tokens(site) <= tokens(s.inside))[s.owner]
     # a page with a main region has its article there; of another page the blocks that are its own
     has_main = np.zeros(len(s.stream), bool)
     has_main[s.owner[s.inside]] = True
-    kept = np.where(has_main[s.owner], s.inside, ~boilerplate) if len(s.texts) else np.zeros(0, bool)
+    kept = np.where(has_main[s.owner], s.inside & ~site, ~repeats)
     lines: list[list[str]] = [[] for _ in s.stream]
     for i in np.flatnonzero(kept):
         lines[s.owner[i]].append(s.texts[i])
