@@ -87,3 +87,17 @@ def test_site_notices_in_main_regions_go_and_copied_passages_stay(spark):
     frame = spark.createDataFrame([(i, "http://a.example.com/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
     for most in (0, 1000):
         assert [r.text for r in html.extract(frame, most_broadcast=most).orderBy("page_id").collect()] == want
+
+
+def test_copies_and_headings_of_pages_without_main_region_stay(spark):
+    own = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(20)]
+    pages = [f"<div>{own[i]}</div><div>{'Conclusion' if i < 4 else i}</div><div>The same words stand at the end of all pages</div>" for i in range(20)]
+    want = [f"{own[i]}\n{'Conclusion' if i < 4 else i}" for i in range(20)]
+    near = [f"<div>{own[0]} and then the story goes on</div><div>Copy {i}</div>" for i in range(4)]
+    got = html.main_texts(pages + near + pages[:1] * 3)
+    assert got == want + [f"{own[0]} and then the story goes on\nCopy {i}" for i in range(4)] + want[:1] * 3
+    for copies in (2, 3, 50):  # of a page, alone on its host
+        frame = spark.createDataFrame([(i, "http://c.example.com/", pages[0]) for i in range(copies)], "page_id long, url string, html string")
+        assert {r.text for r in html.extract(frame).collect()} == {"\n".join(t for t, _ in html.blocks(pages[0]))}
+    two = [f"<div>{own[0]}</div><div>{i} of two</div>" for i in (1, 2)]
+    assert html.main_texts(two) == [f"{own[0]}\n{i} of two" for i in (1, 2)]

@@ -5,7 +5,8 @@ Each page's HTML is read into text blocks, each with its place in the page: insi
 up to DEPTH tokens and seeded by the host, are counted over all pages of the host, however many: those that stand on
 several pages with distinct token streams are repeated. Blocks outside a main region that such suffixes cover are
 boilerplate; the unique runs stay. In a main region, where articles may be copied, a block goes only if such suffixes
-stand on SITE_SHARE of the host's pages, and not if most of the region would go: that is a copy.
+stand on SITE_SHARE of the host's pages, and not if most of the region would go: that is a copy. Pages with equal
+token streams count once; short whole blocks, such as headings, and nearly whole pages go only by SITE_SHARE too.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from weftline.llm.session import cut
 
 DEPTH = 8  # tokens of a repeated substring; shorter blocks repeat as a whole
 COVERED = 0.5  # share of a block's tokens under repeated substrings that makes it boilerplate
-LEAST_PAGES = 2  # distinct pages of a host with a suffix that is repeated
+LEAST_PAGES = 3  # distinct pages of a host with a suffix that is repeated; of two, one may be a copy of the other
+COPIED = 0.9  # share of a page's tokens under repeats that aren't the site's that makes it a copy
 SITE_PAGES = 5  # least distinct pages, and
 SITE_SHARE = 0.5  # least share of the host's distinct pages, with a suffix that is the site's
 GROUP_CHARS = 4_000_000  # HTML bytes that are read at a time
@@ -253,8 +255,10 @@ def _texts(s: Streams, counts: tuple[np.ndarray, np.ndarray]) -> list[str]:
         """Tokens of some blocks by page."""
         return np.bincount(s.owner[some], count[some], len(s.stream))
 
-    repeats = boilerplate(number >= LEAST_PAGES)
-    site = s.inside & boilerplate((number >= SITE_PAGES) & (number >= SITE_SHARE * all_))
+    wide = (number >= LEAST_PAGES) & (number >= SITE_SHARE * all_)
+    repeats, whole = boilerplate(wide | (number >= LEAST_PAGES) & (s.length == DEPTH)), boilerplate(wide)
+    repeats &= whole | (tokens(repeats & ~whole) <= COPIED * tokens(~whole))[s.owner]
+    site = s.inside & boilerplate(wide & (number >= SITE_PAGES))
     site &= (2 * tokens(site) <= tokens(s.inside))[s.owner]
     # a page with a main region has its article there; of another page the blocks that are its own
     has_main = np.zeros(len(s.stream), bool)
