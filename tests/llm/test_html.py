@@ -101,3 +101,16 @@ def test_copies_and_headings_of_pages_without_main_region_stay(spark):
         assert {r.text for r in html.extract(frame).collect()} == {"\n".join(t for t, _ in html.blocks(pages[0]))}
     two = [f"<div>{own[0]}</div><div>{i} of two</div>" for i in (1, 2)]
     assert html.main_texts(two) == [f"{own[0]}\n{i} of two" for i in (1, 2)]
+
+
+def test_wrappers_with_words_of_noise_stay():
+    story = "<article><p>The whole story is told here</p></article>"
+    for page in (
+        f"<div class='page no-sidebar'>{story}</div>", f"<div id='wrapper' class='has-header'>{story}</div>", f"<form action='x'><nav>Menu</nav><div>{story}</div></form>",
+        f"<div class='sidebar'>{story}</div>", f"<div class='page header'><nav>Menu</nav><main>{story}</main></div>", f"<form><div class='search'>Find</div><div id='content'><p>The whole story is told here</p></div></form>",
+        "<section id='related-work'><p>The whole story is told here</p></section>", "<div class='sidebar'><p>The whole story is told here</p></div><div class='ad'>Buy</div>",
+        f"{story}<div class='related-posts'><article>Other</article></div><form><p>Mail us all of your many words if you like</p></form>",
+        f"<article><p>The whole story is told here</p><div class='ad-box'>Buy <span class='share'>it</span></div></article>", f"<div hidden>{story}</div>{story}",
+    ):
+        assert html.main_texts([page]) == ["The whole story is told here"], page
+    assert html.main_texts(["<div>Body text that has no mark of its own</div><div class='sidebar'><article>Tease</article></div>"]) == ["Body text that has no mark of its own\nTease"]

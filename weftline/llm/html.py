@@ -52,6 +52,12 @@ NOISE = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login comment comments disqus reply replies respond related recommended recommendations share sharing social widget "
     "pagination pager toolbar skip toc contentinfo complementary search".split()
 )
+# words that stand beside one of NOISE in names of what is not the article; beside others (no-sidebar, related-work) a name means something else
+BESIDE = frozenset(
+    "area articles bar block bottom box btn button buttons container content desktop global group holder icons inner item items left links list main mobile outer page panel post posts primary right row secondary section site slot "
+    "stories story to top unit wrap wrapper zone article entry".split()
+)
+SOFT = ("form", "fieldset")  # left out as CHROME is, but pages may be wrapped in them
 MAIN = frozenset("article content main post entry story".split())
 MAIN_HOLDERS = frozenset(("div", "section", "td"))
 
@@ -63,11 +69,17 @@ _RAW, _CHROME, _BLOCKS, _VOID, _CONTAINERS = map(frozenset, (RAW, CHROME, BLOCKS
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 
 
+def _noise(name: str) -> set[str]:
+    """The words of NOISE that a class, id or role consists of, beside words of BESIDE; none if it has others."""
+    parts = {w for w in _WORD.findall(name) if len(w) > 1}
+    return parts & NOISE if parts <= NOISE | BESIDE else set()
+
+
 def _role(name: str, attributes: str, inside: bool) -> int:
-    """-1 for an element that isn't the article, 1 for a main region, 0 for any other. Headers in a main region are part of it."""
-    if name in _CHROME:
-        return 0 if inside and name == "header" else -1
+    """1 for a main region, 0 for any other element, below 0 for what isn't the article: -1 hidden, -2 by its element, -3 by its
+    name or a form. Headers in a main region are part of it."""
     words: set[str] = set()
+    noise: set[str] = set()
     if attributes:
         for m in _NAMES.finditer(attributes):
             kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -75,41 +87,72 @@ def _role(name: str, attributes: str, inside: bool) -> int:
                 return -1
             if kind in ("class", "id", "role"):
                 words.update(_WORD.findall(value))
-    if name in ("article", "main") and not (words & {"comment", "comments", "related", "sponsored", "ad"}):
+                for part in value.split():
+                    noise |= _noise(part)
+    if name in _CHROME:
+        return 0 if inside and name == "header" else -3 if name in SOFT else -2
+    if name in ("article", "main") and not (noise & {"comment", "comments", "related", "sponsored", "ad"}):
         return 1
-    noise = words & NOISE
     if noise and not (words & MAIN and noise == {"header"}):
-        return -1
+        return -3
     return 1 if words & MAIN and not noise and name in MAIN_HOLDERS else 0
 
 
+@dataclass
+class _Noise:
+    """An element that isn't the article by its role."""
+
+    role: int
+    chars: int = 0
+    main: bool = False  # holds a main element
+    article: bool = False
+
+
 def blocks(page: str) -> list[tuple[str, int]]:
-    """(text, place) of each block that isn't marked as something else; place 1: inside a main region."""
-    out: list[tuple[str, int]] = []
+    """(text, place) of each block that isn't marked as something else; place 1: inside a main region.
+
+    What is marked by a name or a form stays if it holds a main element or, on pages without another main region, most
+    of the text. On such pages any marked element that holds an article stays too, with place 0 if that is less than most.
+    """
+    out: list[tuple[str, int, tuple[int, ...]]] = []
     run: list[str] = []
-    open_: list[tuple[str, int]] = []  # containers, with what each adds to ``dropped`` (-1) or ``inside`` (1)
-    dropped = inside = at = 0
+    open_: list[tuple[str, int]] = []  # containers and their roles
+    noise: list[_Noise] = []
+    marked: list[int] = []  # numbers of those that are open
+    hidden = inside = at = 0
 
     def end() -> None:
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             run.clear()
             if text:
-                out.append((text, int(inside > 0)))
+                out.append((text, int(inside > 0), tuple(marked)))
+                for i in marked:
+                    noise[i].chars += len(text)
+
+    def close() -> str:
+        nonlocal hidden, inside
+        name, role = open_.pop()
+        if role < -1:
+            end()
+            marked.pop()
+        hidden -= role == -1
+        inside -= role > 0
+        return name
 
     n = len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
-            if not dropped:
+            if not hidden:
                 run.append(page[at:])
             break
-        if not dropped and m.start() > at:
+        if not hidden and m.start() > at:
             run.append(page[at : m.start()])
         at = m.end()
         name = m[3]
         if name is None:
-            if m[1] is not None and not dropped:
+            if m[1] is not None and not hidden:
                 run.append(html.escape(m[1]))
             continue
         name = name.lower()
@@ -117,33 +160,41 @@ def blocks(page: str) -> list[tuple[str, int]]:
             if name in _BLOCKS:
                 end()
             if name in _CONTAINERS and any(x[0] == name for x in open_):
-                while open_:
-                    closed, role = open_.pop()
-                    dropped -= role < 0
-                    inside -= role > 0
-                    if closed == name:
-                        break
+                while open_ and close() != name:
+                    pass
             continue
         if name in _BLOCKS or name == "br":
             end() if name != "br" else run.append("\n")
         if name in _RAW and not m[4].endswith("/"):
-            close = _ENDS[name].search(page, at)
-            at = close.end() if close else n
+            close_ = _ENDS[name].search(page, at)
+            at = close_.end() if close_ else n
             continue
         if name in _VOID or name not in _CONTAINERS:
             continue
         if name in ("p", "li") and open_ and open_[-1][0] == name:  # an open one ends here
-            _, role = open_.pop()
-            dropped -= role < 0
-            inside -= role > 0
+            close()
         role = _role(name, m[4], inside > 0)
         if role < 0:
             end()
         open_.append((name, role))
-        dropped += role < 0
+        hidden += role == -1
         inside += role > 0
+        if role > 0 and name in ("main", "article") and not hidden:
+            for i in marked:
+                noise[i].main |= name == "main"
+                noise[i].article = True
+        if role < -1:
+            marked.append(len(noise))
+            noise.append(_Noise(role))
     end()
-    return out
+    if not noise:
+        return [(text, place) for text, place, _ in out]
+    total = sum(len(text) for text, _, _ in out)
+    other = any(place and not within for _, place, within in out)
+    most = [2 * x.chars > total for x in noise]
+    whole = [x.main or not other and large and (x.role == -3 or x.article) for x, large in zip(noise, most, strict=True)]
+    stays = [w or not other and x.article for x, w in zip(noise, whole, strict=True)]
+    return [(text, int(place and all(whole[i] for i in within))) for text, place, within in out if all(stays[i] for i in within)]
 
 
 def windows(tokens: np.ndarray, bound: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
