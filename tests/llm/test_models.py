@@ -104,3 +104,19 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     one_sided = quality.fit(odd_docs, labels.filter("quality = 1"))
     assert {r.score for r in quality.rate(odd_docs, one_sided).collect()} == {1.0}
     assert quality.rate(no_docs, model).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    rows = [(100 * k + i, " ".join(chr(97 + k // 26) * 2 + chr(97 + k % 26) * 2 for _ in range(6)), f"l{k:02}") for k in range(70) for i in range(2 + (k > 3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.languages) == 70
+    got = langid.identify(docs, model).collect()
+    assert all(r.lang == r.lang_pred for r in got)
+    whole = langid.LanguageModel(model.path, model.languages, (np.concatenate(model.probability, axis=1),), model.prior)
+    small = langid.LanguageModel(model.path, model.languages, tuple(np.split(whole.probability[0], [9, 25, 40, 41, 60], axis=1)), model.prior)
+    odd = spark.createDataFrame([(1, "aabb ccaa"), (2, ""), (3, None), (4, "aaaa")], "doc_id long, text string")
+    for frame in (docs.limit(40), odd):
+        a, b = (sorted((r.doc_id, r.lang_pred, r.score) for r in langid.identify(frame, m).collect()) for m in (whole, small))
+        assert [x[:2] for x in a] == [x[:2] for x in b]
+        assert np.allclose([x[2] for x in a], [x[2] for x in b], rtol=1e-6)

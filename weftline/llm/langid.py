@@ -26,13 +26,16 @@ from weftline.llm.session import cut
 FLOOR = 1e-7  # probability of a character that no piece covers
 LONGEST_WORD = 24  # longer runs of letters are scored as several words
 ROWS = 4096
+BLOCK = 64  # languages that are learned and scored at once
+TOP = "_lang_top"  # column with the best log probability so far
+CHAINED = 4  # blocks that are scored between two checkpoints, each in a worker of its own
 
 
 @dataclass(frozen=True)
 class LanguageModel:
     path: str
     languages: tuple[str, ...]
-    probability: np.ndarray  # piece x language
+    probability: tuple[np.ndarray, ...]  # piece x language, by blocks of languages in their order
     prior: np.ndarray
 
 
@@ -114,49 +117,55 @@ def _expected(path: str, probability: np.ndarray):
     return run
 
 
-def fit(labelled: DataFrame, rows_per_language: int = 1000, most_languages: int = 64, rounds: int = 3, path: str | None = None) -> LanguageModel:
+def fit(labelled: DataFrame, rows_per_language: int = 1000, block: int = BLOCK, rounds: int = 3, path: str | None = None) -> LanguageModel:
     """A model from ``labelled``'s columns doc_id, text, lang.
 
-    Reads whole texts of a sample of about ``rows_per_language`` rows of each of the ``most_languages`` most
-    frequent languages, chosen by a hash of doc_id (and at most twice as many in all). Null lang, null text and
-    texts without letters teach nothing. Without labelled rows the model has no languages.
+    Reads whole texts of a sample of about ``rows_per_language`` rows of every language, chosen by a hash of doc_id (and
+    at most twice as many in all), ``block`` languages at a time. Null lang, null text and texts without letters teach
+    nothing. Without labelled rows the model has no languages.
     """
     path = path or P.default_path()
-    spark = labelled.sparkSession
     known = labelled.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
-    counts = sorted(known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect())
-    if not counts:
-        return LanguageModel(path, (), np.zeros((len(P.load(path).ids), 0)), np.zeros(0))
-    languages, total = tuple(r["lang"] for r in counts), sum(r["count"] for r in counts)
+    counts = sorted(known.groupBy("lang").count().collect())
+    total = sum(r["count"] for r in counts)
+    blocks = [counts[i : i + block] for i in range(0, len(counts), block)]
+    return LanguageModel(path, tuple(r["lang"] for r in counts), tuple(_learned(known, b, rows_per_language, rounds, path) for b in blocks), np.array([r["count"] / total for r in counts]))
+
+
+def _learned(known: DataFrame, counts: list, rows_per_language: int, rounds: int, path: str) -> np.ndarray:
+    """Piece x language probabilities of the languages of ``counts``."""
+    spark = known.sparkSession
     rates = spark.createDataFrame([(i, r["lang"], min(1.0, rows_per_language / r["count"])) for i, r in enumerate(counts)], "number int, lang string, rate double")
     chosen = (
-        known.join(F.broadcast(rates), "lang")  # at most most_languages rows
+        known.join(F.broadcast(rates), "lang")  # at most a block of rows
         .filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.ceil(F.col("rate") * (1 << 20)))
         .select("number", "text")
-        .limit(2 * rows_per_language * len(languages))
+        .limit(2 * rows_per_language * len(counts))
     )
     words = cut(chosen.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("number", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word")).groupBy("number", "word").agg(F.count("*").alias("n")))
     size = len(P.load(path).ids)
-    probability = np.full((size, len(languages)), 1 / size)
+    probability = np.full((size, len(counts)), 1 / size)
     for _ in range(rounds):
         got = words.mapInArrow(_expected(path, probability), "number int, piece int, n double").groupBy("number", "piece").agg(F.sum("n").alias("n")).toArrow()
-        expected = np.full((size, len(languages)), 0.05)
+        expected = np.full((size, len(counts)), 0.05)
         expected[got["piece"].to_numpy(), got["number"].to_numpy()] += got["n"].to_numpy()
         probability = expected / expected.sum(axis=0)
-    return LanguageModel(path, languages, probability, np.array([r["count"] / total for r in counts]))
+    return probability
+
 
+def _score(path: str, languages: tuple[str, ...], probability: np.ndarray, prior: np.ndarray, later: bool):
+    """Scores a block of languages; ``later``: the rows have the best of the blocks before it."""
 
-def _score(model: LanguageModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, table, width = P.load(model.path), _padded(model.probability), len(model.languages)
-        names = np.array([*model.languages, "und"], object)
-        most = max(1 << 12, (1 << 20) // max(1, width))
+        pieces, table, width = P.load(path), _padded(probability), len(languages)
+        names = np.array([*languages, "und"], object)
+        most = max(1 << 12, (1 << 20) // width)
         memo, held = Memo(most), np.zeros((0, width), np.float32)
         for batch in B.slices(batches, "text"):
             data, at = P.column_codes(pc.utf8_lower(batch.column("text")))
             start, end, first = _word_spans(data, at)
             value = np.zeros((batch.num_rows, width))
-            if width and len(start):
+            if len(start):
                 hashes, back = np.unique(B.spans(P.code_sums(data), start, end), return_inverse=True)
                 rows = memo.find(hashes)
                 fresh = rows < 0
@@ -174,14 +183,19 @@ def _score(model: LanguageModel):
                     rows[fresh] = memo.add(hashes[fresh])
                     held = np.concatenate([held, got])
                 full = np.flatnonzero(np.diff(first))
-                value[full] = np.add.reduceat(held[rows[back]], first[full], axis=0, dtype=np.float64) + np.log(model.prior)
+                value[full] = np.add.reduceat(held[rows[back]], first[full], axis=0, dtype=np.float64) + np.log(prior)
             known = np.diff(first) > 0
-            best = value.argmax(axis=1) if width else np.zeros(batch.num_rows, np.int64)
-            score = 1 / np.exp(value - value.max(axis=1, keepdims=True)).sum(axis=1) if width else np.zeros(batch.num_rows)
-            known &= width > 0
+            best, top = value.argmax(axis=1), value.max(axis=1)
+            score, name = 1 / np.exp(value - top[:, None]).sum(axis=1), names[np.where(known, best, width)]
+            if later:
+                before, held_score = batch.column(TOP).to_numpy(), np.where(known, batch.column("score").to_numpy(), 1.0)
+                name = np.where(top > before, name, np.array(batch.column("lang_pred").to_pylist(), object))
+                both = np.maximum(top, before)
+                score, top = 1 / (np.exp(before - both) / held_score + np.exp(top - both) / score), both
+            kept = [c for c in batch.schema.names if c not in (TOP, "lang_pred", "score")] if later else batch.schema.names
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(batch.num_columns)), pa.array(names[np.where(known, best, width)], pa.string()), pa.array(np.where(known, score, 0.0))],
-                [*batch.schema.names, "lang_pred", "score"],
+                [*(batch.column(i) for i in range(len(kept))), pa.array(name, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(top)],
+                [*kept, "lang_pred", "score", TOP],
             )
 
     return run
@@ -194,7 +208,17 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     Ties go to the language that sorts first. Columns of ``docs`` with the two names are replaced; others stay.
     """
     docs = docs.drop("lang_pred", "score")
-    return docs.mapInArrow(_score(model), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    if not model.languages:
+        return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField(TOP, T.DoubleType())])
+    first = 0
+    for i, probability in enumerate(model.probability):
+        some = slice(first, first + probability.shape[1])
+        first = some.stop
+        if i and i % CHAINED == 0:
+            docs = cut(docs)
+        docs = docs.mapInArrow(_score(model.path, model.languages[some], probability, model.prior[some], i > 0), schema)
+    return docs.drop(TOP)
 
 
 def held_out() -> Column:
