@@ -74,3 +74,33 @@ def test_whole_texts_and_no_python(spark):
     plan = out._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert out.filter(F.contains("text", F.lit("a@b.org"))).count() == 0
+
+
+def test_many_people_of_one_family(spark):
+    givens = [a + b + c for a in ("Ba", "Ko", "Du", "Fe", "Gi", "Lo", "Mu", "Ne", "Pi", "Ra", "So", "Tu") for b in ("bert", "din", "fos", "gar", "hel", "kin", "lan", "mor", "nus", "pel") for c in ("ta", "so", "ri", "vo", "ne", "lu", "ka", "do", "mi", "xe")]
+    people = [f"Mr {g} Stone" for g in givens]
+    frame = spark.createDataFrame([(p,) for p in people], "value string")
+    new = [r[0] for r in frame.select(pii.surrogates(F.array("value"), lambda _: F.lit(12), "k")[0]).collect()]  # a late attempt
+    assert len(set(new)) == len(people) == 1200
+    assert not set(new) & set(people)
+    assert len({n.split()[-1] for n in new}) == 1
+
+
+def test_letters_beyond_the_alphabets(spark):
+    names = ["Ŋŋ", "Ӂӂ", "Ϙϙ", "Ṩṩ", "Њй", "Łß"]
+    new = replaced(spark, *(f"Mr {n}" for n in names))
+    assert len(set(new)) == len(names)
+    for n, out in zip(names, new, strict=True):
+        assert out != f"Mr {n}"
+    assert all(re.fullmatch(r"Mr [Ѐ-ӿ]+", new[i]) for i in (1, 4))
+    assert re.fullmatch(r"Mr [Ͱ-Ͽ]+", new[2])
+
+
+def test_long_digests_and_keys(spark):
+    secrets = ["0a1b2c3d" * 12, "0A1B2C3D" * 16, "9f" * 150, "ghp_" + "aB3" * 70, "sk-" + "Zy9" * 80]
+    new = replaced(spark, " ".join(secrets))[0].split()
+    for a, b in zip(secrets, new, strict=True):
+        assert len(a) == len(b)
+        assert a != b
+        assert [c.isupper() for c in a[:4] if c.isalpha()] == [c.isupper() for c in b[:4] if c.isalpha()] or len(set(a)) <= 8
+    assert re.fullmatch(r"[0-9a-f]{96} [0-9A-F]{128} [0-9a-f]{300} ghp_[A-Za-z0-9]{210} sk-[A-Za-z0-9]{240}", " ".join(new))

@@ -33,7 +33,17 @@ GIVEN = {
 ALPHABETS = (
     "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àâäáãåèéêëìíîïòóôöõùúûü", "ÀÂÄÁÃÅÈÉÊËÌÍÎÏÒÓÔÖÕÙÚÛÜ",
     "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
+    "çčćďđğłñňřšśşťžźżþðßýÿ", "ÇČĆĎĐĞŁÑŇŘŠŚŞŤŽŹŻÞÐÝŸ", "āăąēĕėęěĩīĭįıōŏőøũūŭůűųæœ", "ĀĂĄĒĔĖĘĚĨĪĬĮİŌŎŐØŨŪŬŮŰŲÆŒ", "йёъьіїєґђјљњћџў", "ЙЁЪЬІЇЄҐЂЈЉЊЋЏЎ", "άέήίόύώϊϋΐΰς", "ΆΈΉΊΌΎΏΪΫ",
+    "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆ", "ԱԲԳԴԵԶԷԸԹԺԻԼԽԾԿՀՁՂՃՄՅՆՇՈՉՊՋՌՍՎՏՐՑՒՓՔՕՖ",
 )
+# letters and digits of none of these change to one of the alphabet beside their class, so that none stays: of their script where it is named
+OTHERS = (
+    (r"\p{IsCyrillic}&&\p{Lu}", "БВГДЖЗКЛМНПРСТФХЦЧШЩ"), (r"\p{IsCyrillic}", "бвгджзклмнпрстфхцчшщ"), (r"\p{IsGreek}&&\p{Lu}", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ"), (r"\p{IsGreek}", "βγδζθκλμνξπρστφχψ"),
+    (r"\p{Lu}", "BCDFGHJKLMNPQRSTVWXYZ"), (r"\p{L}", "bcdfghjklmnpqrstvwxyz"), (r"\p{N}", "0123456789"),
+)
+SYLLABLES = {"latin": ("bcdfghjklmnpqrstvwxyz", "aeiou"), "cyrillic": ("бвгджзклмнпрстфхцчшщ", "аеиоуыэюя"), "greek": ("βγδζθκλμνξπρστφχψ", "αεηιουω")}
+
+SHORT = 8  # attempts with up to three given names
 
 _TITLES = "|".join(sorted((*FEMALE_TITLES, *MALE_TITLES), key=len, reverse=True))
 _L = r"\p{L}\p{N}"
@@ -50,8 +60,8 @@ PATTERNS = {
     "phone": r"(?<![\p{N}+])\+\d{1,3}[ .\-]?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\p{N})|"
     rf"(?<![\p{{N}}+])\+\d{{1,3}}{_GAP}\(?\d{{1,4}}\)?(?:{_GAP}\d{{2,4}}){{1,4}}(?!\p{{N}})|"
     r"(?<![\p{N}\p{L}])(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[.\-]\d{4}(?!\p{N})",
-    "hex": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])",
-    "key": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,64}|sk-[A-Za-z0-9]{20,64})(?![\p{L}\p{N}])",
+    "hex": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\p{N}])",
+    "key": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+)(?![\p{L}\p{N}])",
     "name": rf"(?<![{_L}])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}\-]{{1,30}}(?: \p{{Lu}}[\p{{L}}\-]{{1,30}}){{0,2}}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -83,10 +93,12 @@ def _number(stream: Column, place: Column | int) -> Column:
 
 
 def _shifted(value: Column, stream: Column) -> Column:
-    """Each letter and digit moved within its alphabet by the stream; one stream gives an injective map."""
+    """Each letter and digit moved within its alphabet by the stream; one stream gives an injective map where all have one."""
 
     def one(c: Column, i: Column) -> Column:
         out = c
+        for pattern, letters in reversed(OTHERS):
+            out = F.when(c.rlike(f"[{pattern}]"), F.substring(F.lit(letters), _number(stream, i) % len(letters) + 1, F.lit(1))).otherwise(out)
         for letters in reversed(ALPHABETS):
             here = F.instr(F.lit(letters), c)
             to = F.substring(F.lit(letters), (here - 1 + _number(stream, i)) % len(letters) + 1, F.lit(1))
@@ -137,9 +149,19 @@ def _name(value: Column, key: str, stream: Column, attempt: Column) -> Column:
             out = F.when((gender == g) & (script == s), _picked(names, _number(stream, place))).otherwise(out)
         return out
 
-    first = F.concat_ws("-", given(0), F.when(attempt > 2, given(1)), F.when(attempt > 5, given(2)))
+    # after SHORT attempts a part of one more syllable each time, up to 10: over 10 ** 20 in the least alphabet
+    def syllable(letters: tuple[str, str], i: Column) -> Column:
+        return F.concat(*(F.substring(F.lit(x), _number(stream, 2 * i + k) % len(x) + 1, F.lit(1)) for k, x in enumerate(letters)))
+
+    def more(letters: tuple[str, str]) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.least(attempt - SHORT + 1, F.lit(10))), lambda i: syllable(letters, i)), "")
+
+    made = F.lit(None).cast("string")
+    for name, letters in SYLLABLES.items():
+        made = F.when((attempt > SHORT) & (script == name), more(letters)).otherwise(made)
+    first = F.when(attempt > SHORT, F.concat_ws("-", given(0), F.initcap(made))).otherwise(F.concat_ws("-", given(0), F.when(attempt > 2, given(1)), F.when(attempt > 5, given(2))))
     new = _shifted(family, _stream(key, F.when(alone, F.concat(F.lit("family"), attempt.cast("string"))).otherwise(F.lit("family0"))))
-    return F.when(alone, F.concat_ws(" ", title, new)).otherwise(F.concat_ws(" ", title, first, new))
+    return F.when(alone, F.concat(title, F.lit(" "), new, F.coalesce(made, F.lit("")))).otherwise(F.concat_ws(" ", title, first, new))
 
 
 def surrogates(values: Column, attempt, key: str) -> Column:
@@ -157,14 +179,16 @@ def _surrogate(value: Column, what: Column, attempt: Column, stream: Column, key
     top = F.substring_index(domain, ".", -1)
     hidden = F.concat(F.lit("m"), F.substring(_stream(key, F.concat(F.lit("domain\x1f"), domain)), 1, 10), F.lit(".example."), F.when(top.isin("com", "org", "net"), top).otherwise(F.lit("com")))
     country = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .\-(])|^", 0)
+    long = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / 64).cast("int")), lambda i: F.sha2(F.concat_ws("\x1f", i.cast("string"), stream), 256)), "")
+    digits = F.substring(F.when(F.length(value) > 128, long).otherwise(stream), F.lit(1), F.length(value))
     return (
         F.when(what == "email", F.concat(_shifted(F.substring_index(value, "@", 1), stream), F.lit("@"), hidden))
         .when(what == "card", _card(value, stream))
         .when(what == "ssn", F.concat(F.lit("9"), F.substring(_shifted(value, stream), 2, 20)))
         .when(what == "ip", F.concat_ws(".", (F.lit(240) + _number(stream, 0) % 15).cast("string"), *((_number(stream, i) % 256).cast("string") for i in (1, 2, 3))))
         .when(what == "phone", F.concat(country, _shifted(F.substring(value, F.length(country) + 1, F.length(value)), stream)))
-        .when(what == "hex", F.when(value == F.lower(value), F.substring(stream, F.lit(1), F.length(value))).otherwise(F.upper(F.substring(stream, F.lit(1), F.length(value)))))
-        .when(what == "key", F.concat(F.substring(value, 1, 4), _shifted(F.substring(value, 5, 200), stream)))
+        .when(what == "hex", F.when(value == F.lower(value), digits).otherwise(F.upper(digits)))
+        .when(what == "key", F.concat(F.substring(value, 1, 4), _shifted(F.substring(value, F.lit(5), F.length(value)), stream)))
         .when(what == "iban", F.concat(F.substring(value, 1, 2), _shifted(F.substring(value, 3, 60), stream)))
         .otherwise(_name(value, key, stream, attempt))
     )
