@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import struct
 import zlib
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weftline.llm import packing, pieces, pretokens, viterbi
+from weftline.llm import memo, packing, pieces, pretokens, viterbi
 
 PATH = pieces.default_path()
 
@@ -39,6 +40,32 @@ def test_pretokens_give_the_tokenizers_ids(tokenizer):
         assert ids[at[i] : at[i + 1]].tolist() == e.ids, texts[i]
 
 
+def test_stores_fill_over_many_batches(tokenizer):
+    """Up to the limit, just past it and past it twice: ids and counts stay those of a store that forgets nothing."""
+    for store in (memo.Memo(16), memo.Memo(512), memo.Memo(1000)):
+        assert store.room(store.most)
+        assert not store.room(store.most + 1)
+    texts = [f"w{i} q{i * 7919 % 100003}x" for i in range(5000)]
+    encoder, low = pretokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), most=1024), viterbi.MOST_WORDS
+    viterbi.MOST_WORDS = 1024
+    viterbi._held.clear()
+    try:
+        for a in range(0, len(texts), 100):
+            some = texts[a : a + 100]
+            ids, at = encoder.encode(pa.array(some))
+            assert [ids[b:c].tolist() for b, c in itertools.pairwise(at)] == [e.ids for e in tokenizer.encode_batch(some, add_special_tokens=False)]
+            ids, at = viterbi.encode(pa.array(some), PATH)
+            data, start, end, first = viterbi.words(pa.array(some), PATH)
+            p = pieces.load(PATH)
+            held, rows = viterbi._known("count", PATH, data, start, end, lambda x, y, data=data, p=p: (viterbi.trie_counts(p, data, x, y), np.ones(len(x), np.int64)))
+            total = np.r_[0, np.cumsum(held.values[held.at[rows]], dtype=np.int64)][first]
+            assert np.diff(total).tolist() == np.diff(at).tolist()
+            assert viterbi.decode(ids, at, PATH).to_pylist() == some
+    finally:
+        viterbi.MOST_WORDS = low
+        viterbi._held.clear()
+
+
 def test_knapsack_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(20):

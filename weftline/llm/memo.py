@@ -6,7 +6,10 @@ import numpy as np
 
 
 class Memo:
-    """Open addressing with linear probes, at most half full. ``find`` and ``add`` take whole arrays."""
+    """Open addressing with linear probes, at most half full. ``find`` and ``add`` take whole arrays.
+
+    It holds ``most`` hashes, which is at least the number asked for: arrays beside it take their size from it.
+    """
 
     def __init__(self, most: int):
         bits = max(10, int(most).bit_length() + 1)

@@ -89,7 +89,7 @@ class Encoder:
     def _clear(self, most: int) -> None:
         self._memo = Memo(most)
         self._ids = np.zeros(1 << 16, np.uint32)
-        self._at = np.zeros(most + 2, np.int64)
+        self._at = np.zeros(self._memo.most + 1, np.int64)
 
     def _take(self, hashes: np.ndarray, texts: list[str]) -> None:
         got = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

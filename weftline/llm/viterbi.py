@@ -76,7 +76,8 @@ class _Held:
     """What is known of words: ``values`` behind one another and where each word's begin."""
 
     def __init__(self, most: int):
-        self.memo, self.values, self.at = Memo(most), np.zeros(1 << 16, np.int32), np.zeros(most + 2, np.int64)
+        self.memo, self.values = Memo(most), np.zeros(1 << 16, np.int32)
+        self.at = np.zeros(self.memo.most + 1, np.int64)
 
     def take(self, hashes: np.ndarray, values: np.ndarray, counts: np.ndarray) -> None:
         size, used = self.memo.size, self.at[self.memo.size]
