@@ -9,19 +9,20 @@ import pyarrow as pa
 from weftline.llm import fingerprint as P
 
 
-def test_entropy_by_hand():
-    data = np.frombuffer(b"aab" * 20 + bytes(range(64)), np.uint8)
-    start = np.array([0, 1, 60, 70])
-    want = []
-    for s in start:
-        w = bytes(data[s : s + P.WINDOW])
-        want.append(-sum(w.count(b) / P.WINDOW * math.log2(w.count(b) / P.WINDOW) for b in set(w)))
-    assert np.allclose(P._entropy(data, start), want, atol=1e-5)
+def entropy(w):
+    return -sum(w.count(b) / len(w) * math.log2(w.count(b) / len(w)) for b in set(w))
+
+
+def test_entropy_of_every_offset():
+    rng = np.random.default_rng(6)
+    for data in (b"aab" * 20 + bytes(range(64)), bytes(rng.integers(97, 105, 500, np.uint8)), b"x" * 32, b"x" * 31):
+        want = [entropy(data[s : s + P.WINDOW]) for s in range(len(data) - P.WINDOW + 1)]
+        assert np.allclose(P._entropies(np.frombuffer(data, np.uint8)), want, atol=1e-5)
 
 
 def test_selection_by_hand():
     rng = np.random.default_rng(8)
-    for sizes in ([30, 3, 0, 9], [8], [1]):
+    for sizes in ([300, 3, 0, 90], [P.RUN], [1], [P.RUN + 1, P.RUN - 1, 1]):
         at = np.r_[0, np.cumsum(sizes)]
         key = rng.permutation(int(at[-1])).astype(np.uint64)
         want = []
@@ -30,8 +31,17 @@ def test_selection_by_hand():
             votes = [0] * len(k)
             for i in range(len(k) - P.RUN + 1):
                 votes[k.index(max(k[i : i + P.RUN]))] += 1
-            want += [len(k) < P.RUN or v >= P.POPULAR for v in votes]
-        assert P._selected(key, at).tolist() == want
+            want.append({x for x, v in zip(k, votes, strict=True) if len(k) < P.RUN or v >= P.POPULAR})
+        keys, before = P._selected(key, at)
+        assert [set(keys[a:b].tolist()) for a, b in zip(before[:-1], before[1:], strict=True)] == want
+
+
+def test_a_shifted_text_without_blanks_is_alike():
+    rng = np.random.default_rng(9)
+    text = "".join(map(chr, rng.integers(97, 123, 3000)))
+    a, b, c = P.filters(pa.array([text, "q" + text, "".join(map(chr, rng.integers(97, 123, 3000)))]))
+    assert P.likeness(a, b) > 0.9
+    assert P.likeness(a, c) < 0.1
 
 
 def test_likeness(prose):

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from weftline.llm import bytetext as B
 from weftline.llm import langid, pieces, quality
 from weftline.llm import queries as Q
 
@@ -60,11 +61,63 @@ def test_language_of_odd_rows(spark, odd_docs, no_docs):
     assert langid.identify(no_docs, model).count() == 0
 
 
-def test_long_runs_of_letters_are_cut():
+def test_long_runs_of_letters_stay_whole():
     data, at = pieces.codes(["a" * 60 + " b1c", ""])
     start, end, first = langid._word_spans(data, at)
-    assert (end - start).tolist() == [24, 24, 12, 1, 1]
-    assert first.tolist() == [0, 5, 5]
+    assert (end - start).tolist() == [60, 1, 1]
+    assert first.tolist() == [0, 3, 3]
+
+
+def segmentations(word, p):
+    """Every cut of a word into pieces, letters that no piece covers among them (place -1)."""
+    if not word:
+        yield []
+    for k in range(1, min(len(word), p.longest) + 1):
+        data, at = pieces.codes([word[:k]])
+        place = int(p.find(B.spans(pieces.code_sums(data), at[:-1], at[1:]))[0])
+        if place >= 0 or k == 1:
+            for rest in segmentations(word[k:], p):
+                yield [place, *rest]
+
+
+def test_sums_and_expected_counts_by_all_segmentations(monkeypatch):
+    path = pieces.default_path()
+    p = pieces.load(path)
+    prob = np.random.default_rng(3).dirichlet(np.full(len(p.ids), 0.3), 2).T + 1e-9
+    words = ["the", "streams", "ßaß", "ꙮx", "schule"]
+    want, total = np.zeros((len(p.ids) + 1, 2)), []
+    for i, w in enumerate(words):
+        ways = [*segmentations("\u2581" + w, p)]
+        weight = [math.prod(prob[j, i % 2] if j >= 0 else langid.FLOOR for j in way) for way in ways]
+        total.append(math.log(sum(weight)))
+        for way, x in zip(ways, weight, strict=True):
+            for j in way:
+                want[j, i % 2] += (i + 1) * x / sum(weight)
+    for long in (24, 2):  # by sums, then by their logs
+        monkeypatch.setattr(langid, "LONG", long)
+        monkeypatch.setattr(langid, "SPAN", 3 if long == 2 else 4096)
+        batch = pa.RecordBatch.from_arrays([pa.array([i % 2 for i in range(5)], pa.int32()), pa.array(words), pa.array(range(1, 6), pa.int64())], ["number", "word", "n"])
+        (got,) = langid._expected(path, prob)(iter([batch]))
+        counts = np.zeros_like(want[:-1])
+        counts[got.column("piece").to_numpy(), got.column("number").to_numpy()] = got.column("n").to_numpy()
+        assert np.allclose(counts, want[:-1])
+        (rated,) = langid._score(path, ("a", "b"), prob, np.array([0.3, 0.7]), False)(iter([pa.RecordBatch.from_arrays([pa.array(words)], ["text"])]))
+        for i, w in enumerate(words):
+            a, b = (math.log(prior) + math.log(sum(math.prod(prob[j, c] if j >= 0 else langid.FLOOR for j in way) for way in segmentations("\u2581" + w, p))) for c, prior in ((0, 0.3), (1, 0.7)))
+            assert rated.column("lang_pred")[i].as_py() == ("a" if a >= b else "b")
+            assert math.isclose(rated.column("score")[i].as_py(), 1 / (1 + math.exp(-abs(a - b))), rel_tol=1e-4)
+            assert math.isclose((a, b)[i % 2] - math.log((0.3, 0.7)[i % 2]), total[i], rel_tol=1e-9)
+
+
+def test_a_word_of_thousands_of_letters():
+    path = pieces.default_path()
+    n = len(pieces.load(path).ids)
+    prob = np.full((n, 2), 1 / n)
+    prob[:, 1] = np.linspace(1, 2, n)
+    prob /= prob.sum(axis=0)
+    text = "abcdefghij" * 900
+    (rated,) = langid._score(path, ("a", "b"), prob, np.full(2, 0.5), False)(iter([pa.RecordBatch.from_arrays([pa.array([text, text + text[:1]])], ["text"])]))
+    assert 0.5 <= rated.column("score")[0].as_py() <= 1
 
 
 def test_bradley_terry_minimises_its_loss():

@@ -1,11 +1,11 @@
 """Document fingerprints from improbable features.
 
-A feature is a window of WINDOW bytes at a word's start (and at every STRIDE bytes within long words). Its
-rarity is the distance of its byte entropy from TYPICAL, the entropy of common prose windows; equal
-rarities are ordered by a hash of the window. A feature is selected if it is the rarest of at least
-POPULAR of the runs of RUN neighbouring features. Selected features set BITS bits each in a chain of
-Bloom filters of FILTER bits, FEATURES features to a filter. Likeness compares filters by their bit overlap beyond
-chance, normalised by the greatest overlap possible.
+A feature is a window of WINDOW bytes; every offset of a text begins one. Its rarity is the distance of its byte
+entropy from TYPICAL, the entropy of common prose windows; equal rarities are ordered by a hash of the window. A
+feature is selected if it is the rarest of at least POPULAR of the runs of RUN neighbouring windows; of a text with
+fewer windows than a run all are. Selected features set BITS bits each in a chain of Bloom filters of FILTER bits,
+FEATURES features to a filter. Likeness compares filters by their bit overlap beyond chance, normalised by the
+greatest overlap possible.
 """
 
 from __future__ import annotations
@@ -21,79 +21,92 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import bytetext as B
+from weftline.llm.session import mapped
 
-WINDOW, STRIDE, RUN, POPULAR = 32, 16, 8, 2
+WINDOW, RUN, POPULAR = 32, 64, 12
 FILTER, BITS, FEATURES = 2048, 5, 160
 TYPICAL = 3.7
-_CHUNK = 1 << 15
 
 _c = np.arange(WINDOW + 1)
 _CLOGC = np.where(_c > 0, _c * np.log2(np.maximum(_c, 1)), 0)
-_GAIN = np.diff(_CLOGC, prepend=0).astype(np.float32)  # of the cth equal byte
-
-
-def _entropy(data: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Entropy in bits of each window, from runs of equal bytes in its sorted bytes."""
-    out = np.empty(len(start), np.float32)
-    place = np.arange(WINDOW, dtype=np.int8)
-    for a in range(0, len(start), _CHUNK):
-        rows = np.sort(data[start[a : a + _CHUNK, None] + place], axis=1)
-        first = np.zeros(rows.shape, np.int8)
-        first[:, 1:] = np.where(rows[:, 1:] != rows[:, :-1], place[1:], 0)
-        np.maximum.accumulate(first, axis=1, out=first)
-        out[a : a + len(rows)] = np.log2(WINDOW) - _GAIN[place - first + 1].sum(axis=1) / WINDOW
-    return out
-
-
-def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of all windows, and the number of windows before each text; a text too short for one is its own window."""
-    start, end, _ = B.words(data, offsets)
-    extra = (end - start - 1) // STRIDE
-    start = np.repeat(start, extra + 1) + STRIDE * B.runs(np.zeros(len(extra), np.int64), extra + 1)
-    text = np.searchsorted(offsets, start, side="right") - 1
-    fits = start + WINDOW <= offsets[text + 1]
-    start, text = start[fits], text[fits]
-    short = np.setdiff1d(np.flatnonzero(np.diff(offsets)), text)
-    order = np.argsort(np.r_[text, short], kind="stable")
-    starts, ends = np.r_[start, offsets[short]][order], np.r_[start + WINDOW, offsets[short + 1]][order]
-    return starts, ends, np.searchsorted(np.r_[text, short][order], np.arange(len(offsets)))
-
-
-def _selected(key: np.ndarray, at: np.ndarray) -> np.ndarray:
-    n = len(key)
+_GAIN = np.round(np.diff(_CLOGC, prepend=0) * (1 << 20)).astype(np.int64)  # of the cth equal byte, in fixed point so that sums are exact
+
+
+def _entropies(data: np.ndarray) -> np.ndarray:
+    """Entropy in bits of the window at each offset: what a step takes away and brings in, summed up.
+
+    The byte that leaves had as many equals in its window as stand in the WINDOW - 1 bytes behind it, the one that
+    comes in as many as stand before it.
+    """
+    n = len(data)
+    if n < WINDOW:
+        return np.zeros(0)
+    before, after = np.zeros(n, np.int8), np.zeros(n, np.int8)
+    for d in range(1, WINDOW):
+        same = data[d:] == data[:-d]
+        before[d:] += same
+        after[:-d] += same
+    first = np.bincount(data[:WINDOW], minlength=256)
+    steps = np.zeros(n - WINDOW + 1, np.int64)
+    steps[0] = np.round(_CLOGC[first] * (1 << 20)).astype(np.int64).sum()
+    steps[1:] = _GAIN[before[WINDOW:] + 1] - _GAIN[after[: n - WINDOW] + 1]
+    return np.log2(WINDOW) - np.cumsum(steps) / ((1 << 20) * WINDOW)
+
+
+def _runs(key: np.ndarray) -> np.ndarray:
+    """The greatest of each RUN keys from each place on; the last places see fewer."""
     best = key.copy()
-    for step in (1, 2, 4):  # the greatest of RUN = 8 keys
-        best[: max(0, n - step)] = np.maximum(best[: max(0, n - step)], best[step:])
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    whole = np.arange(n) + RUN <= at[text + 1]
-    votes = np.zeros(n, np.int8)
-    for back in range(min(RUN, n)):
-        votes[back:] += (best[: n - back] == key[back:]) & whole[: n - back] & (text[: n - back] == text[back:])
-    return (votes >= POPULAR) | (np.diff(at)[text] < RUN)
+    step = 1
+    while step < RUN:
+        best[:-step] = np.maximum(best[:-step], best[step:])
+        step *= 2
+    return best
+
+
+def _selected(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Selected keys in order and the number of them before each text; ``at`` has the number of keys before each text."""
+    count = np.diff(at)
+    text = np.repeat(np.arange(len(count)), count)
+    best = _runs(key) if len(key) > RUN else key
+    whole = np.arange(len(key)) + RUN <= at[text + 1]
+    new = np.ones(len(key), bool)  # where the rarest of a run is another than that of the run before
+    new[1:] = (best[1:] != best[:-1]) | (text[1:] != text[:-1]) | (whole[1:] != whole[:-1])
+    begin = np.flatnonzero(new)
+    votes = np.diff(np.r_[begin, len(key)])
+    short = count[text] < RUN
+    chosen = begin[(votes >= POPULAR) & whole[begin]]
+    places = np.r_[chosen, np.flatnonzero(short)]
+    keys = np.r_[best[chosen], key[short]]
+    order = np.argsort(places, kind="stable")
+    return keys[order], np.searchsorted(places[order], at)
 
 
 def filters(texts: pa.Array) -> list[np.ndarray]:
     """The chain of Bloom filters of each text, a row of FILTER / 64 words per filter; an empty text has none."""
     data, offsets = B.raw(texts)
     n = len(offsets) - 1
-    start, end, at = _anchors(data, offsets)
+    size = np.diff(offsets)
     none = np.zeros((0, FILTER // 64), np.uint64)
-    if not len(start):
+    count = np.maximum(size - WINDOW + 1, np.minimum(size, 1))  # a text too short for a window is its own
+    if not count.sum():
         return [none] * n
-    hashes = B.spans(B.byte_sums(data, 4), start, end)
-    full = end - start == WINDOW
-    rarity = np.zeros(len(start), np.float32)
-    rarity[full] = np.abs(_entropy(data, start[full]) - TYPICAL)
+    at = np.r_[0, np.cumsum(count)]
+    start = B.runs(offsets[:-1], count)
+    hashes = B.spans(B.byte_sums(data, 4), start, np.minimum(start + WINDOW, np.repeat(offsets[1:], count)))
+    rarity = np.zeros(len(start))
+    full = np.repeat(size >= WINDOW, count)
+    rarity[full] = np.abs(_entropies(data)[start[full]] - TYPICAL)
     key = (np.round(rarity * 64).astype(np.uint64) << np.uint64(54)) | (hashes >> np.uint64(10))
-    keep = np.flatnonzero(_selected(key, at))
-    counts = np.diff(np.searchsorted(keep, at))
+    kept, before = _selected(key, at)
+    counts = np.diff(before)
     chains = -(-counts // FEATURES)
     base = np.r_[0, np.cumsum(chains)]
     rank = B.runs(np.zeros(n, np.int64), counts)
     row = np.repeat(base[:-1], counts) + rank // FEATURES
     bits = np.zeros((int(base[-1]), FILTER), bool)
+    kept = B.mix(kept)
     for k in range(BITS):
-        bits[row, (hashes[keep] >> np.uint64(11 * k)) & np.uint64(FILTER - 1)] = True
+        bits[row, (kept >> np.uint64(11 * k)) & np.uint64(FILTER - 1)] = True
     packed = np.packbits(bits, axis=1).view(np.uint64)
     return [packed[a:b] if b > a else none for a, b in zip(base[:-1], base[1:], strict=True)]
 
@@ -178,4 +191,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _in_order(docs, buckets).mapInArrow(_digested, schema)
+    return mapped(_in_order(docs, buckets), _digested, schema)

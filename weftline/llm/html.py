@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import bytetext as B
 from weftline.llm.groups import sorted_groups
-from weftline.llm.session import cut
+from weftline.llm.session import cut, mapped
 
 DEPTH = 8  # tokens of a repeated substring; shorter blocks repeat as a whole
 COVERED = 0.5  # share of a block's tokens under repeated substrings that makes it boilerplate
@@ -460,16 +460,17 @@ def extract(pages: DataFrame, group_chars: int = GROUP_CHARS, most_broadcast: in
     rows = pages.select("page_id", "url", "html", F.xxhash64(host).alias("host"))
     schema = "page_id long, url string, text string, n_chars long"
     read = rows.select("host", "html")
-    often = cut(read.mapInArrow(_first_count(group_chars), "bucket int, low binary, times binary").repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_often, "prefix long"))
+    first = mapped(read, _first_count(group_chars), "bucket int, low binary, times binary")
+    often = cut(mapped(first.repartition(width, "bucket").sortWithinPartitions("bucket"), _often, "prefix long"))
     known = spark.sparkContext.broadcast(np.sort(often.toArrow()["prefix"].to_numpy()).view(np.uint64)) if often.count() <= most_broadcast else None
-    counts = read.mapInArrow(_candidates(group_chars, known), "stream long, value binary").repartition(width, "stream").mapInArrow(_counted, "value long, n long")
+    counts = mapped(mapped(read, _candidates(group_chars, known), "stream long, value binary").repartition(width, "stream"), _counted, "value long, n long")
     counts = cut(counts.groupBy("value").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_PAGES))
     if counts.count() <= most_broadcast:
         got = counts.toArrow()
         value, n = got["value"].to_numpy().view(np.uint64), got["n"].to_numpy()
         order = np.argsort(value)
-        return rows.mapInArrow(_extracted(group_chars, spark.sparkContext.broadcast((value[order], n[order]))), schema)
+        return mapped(rows, _extracted(group_chars, spark.sparkContext.broadcast((value[order], n[order]))), schema)
     keyed = rows.withColumn("key", F.xxhash64("host", "html"))
-    lists = keyed.select("host", "html", "key").mapInArrow(_occurrences(group_chars), "key long, value long").join(counts, "value").distinct()
+    lists = mapped(keyed.select("host", "html", "key"), _occurrences(group_chars), "key long, value long").join(counts, "value").distinct()
     lists = lists.groupBy("key").agg(F.collect_list(F.struct("value", "n")).alias("found")).select("key", F.col("found.value").alias("value"), F.col("found.n").alias("n"))
-    return keyed.join(lists, "key", "left").drop("key").mapInArrow(_extracted(group_chars), schema)
+    return mapped(keyed.join(lists, "key", "left").drop("key"), _extracted(group_chars), schema)

@@ -21,10 +21,11 @@ from pyspark.sql import types as T
 from weftline.llm import bytetext as B
 from weftline.llm import pieces as P
 from weftline.llm.memo import Memo
-from weftline.llm.session import cut
+from weftline.llm.session import cut, mapped
 
 FLOOR = 1e-7  # probability of a character that no piece covers
-LONGEST_WORD = 24  # longer runs of letters are scored as several words
+LONG = 24  # letters of words whose forward sums may leave a float's range: their logs are summed instead
+SPAN = 4096  # places of a long word whose pieces are looked up at a time
 ROWS = 4096
 BLOCK = 64  # languages that are learned and scored at once
 TOP = "_lang_top"  # column with the best log probability so far
@@ -57,12 +58,57 @@ def _weight(grams: list[np.ndarray], k: int, start: int, table: np.ndarray, owne
     return np.where((at < 0)[:, None], FLOOR, p) if k == 1 else p
 
 
+def _log_sum(terms: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials over the first axis."""
+    most = terms.max(axis=0)
+    most = np.where(np.isneginf(most), 0, most)
+    with np.errstate(divide="ignore"):
+        return most + np.log(np.exp(terms - most).sum(axis=0))
+
+
+def _log_places(pieces: P.Pieces, rows: np.ndarray, table: np.ndarray, owner: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """``_forward`` in logs, place by place. Only the last ``longest`` places are held, and pieces are looked up for SPAN places at a time."""
+    n, length = rows.shape
+    longest = min(pieces.longest, length)
+    window = np.full((longest, n, table.shape[1] if owner is None else 1), -np.inf)  # the latest place first
+    window[0] = 0
+    yield window[0].copy()
+    with np.errstate(divide="ignore"):
+        for low in range(0, length, SPAN):
+            first = max(0, low - longest + 1)
+            grams = P.substrings(pieces, rows[:, first : low + SPAN])
+            for end in range(low + 1, min(low + SPAN, length) + 1):
+                terms = np.stack([window[k - 1] + np.log(_weight(grams, k, end - k - first, table, owner)) for k in range(1, min(end, longest) + 1)])
+                window[1:] = window[:-1].copy()
+                window[0] = _log_sum(terms)
+                yield window[0].copy()
+
+
+def _long_expected(pieces: P.Pieces, rows: np.ndarray, table: np.ndarray, owner: np.ndarray, times: np.ndarray, counts: np.ndarray) -> None:
+    """Adds the expected piece counts of long words of equal length to ``counts``."""
+    n, length = rows.shape
+    ahead = np.stack([x[:, 0] for x in _log_places(pieces, rows, table, owner)])
+    back = np.full((length + 1, n), -np.inf)
+    back[length] = 0
+    with np.errstate(divide="ignore"):
+        for high in range(length, 0, -SPAN):
+            low = max(0, high - SPAN)
+            grams = P.substrings(pieces, rows[:, low : high + pieces.longest - 1])
+            for place in range(high - 1, low - 1, -1):
+                steps = range(1, min(length - place, len(grams)) + 1)
+                terms = np.stack([np.log(_weight(grams, k, place - low, table, owner)[:, 0]) + back[place + k] for k in steps])
+                back[place] = _log_sum(terms)
+                share = np.exp(terms + ahead[place] - ahead[length]) * times
+                for k, s in zip(steps, share, strict=True):
+                    np.add.at(counts, (grams[k - 1][:, place - low], owner), s)
+
+
 def _padded(probability: np.ndarray) -> np.ndarray:
     return np.concatenate([probability, np.zeros((1, probability.shape[1]))])  # -1 picks the last row
 
 
 def _word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each run of letters, cut to LONGEST_WORD, and the number of them before each text."""
+    """Start and end of each run of letters, and the number of them before each text."""
     inside = np.zeros(len(data) + 1, bool)
     inside[:-1] = P.letters()[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -71,10 +117,6 @@ def _word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     marks = np.flatnonzero(edge)
     keep = inside[marks[:-1]] if len(marks) else np.zeros(0, bool)
     start, end = marks[:-1][keep], marks[1:][keep]
-    if len(start) and (end - start).max() > LONGEST_WORD:
-        parts = -((start - end) // LONGEST_WORD)
-        first = np.repeat(start, parts) + LONGEST_WORD * B.runs(np.zeros(len(parts), np.int64), parts)
-        start, end = first, np.minimum(first + LONGEST_WORD, np.repeat(end, parts))
     return start, end, np.searchsorted(start, at)
 
 
@@ -83,8 +125,9 @@ def _by_length(data: np.ndarray, start: np.ndarray, end: np.ndarray):
     length = end - start
     order = np.argsort(length, kind="stable")
     for low, high in zip(*(lambda c: (np.flatnonzero(np.r_[True, c]), np.flatnonzero(np.r_[c, True]) + 1))(np.diff(length[order]) != 0), strict=True) if len(order) else ():
-        for a in range(low, high, ROWS):
-            some = order[a : min(a + ROWS, high)]
+        most = max(1, min(ROWS, ROWS * LONG // max(1, int(length[order[low]]))))
+        for a in range(low, high, most):
+            some = order[a : min(a + most, high)]
             yield some, P.matrix(data, start[some], int(length[some[0]]), P.SPACE)
 
 
@@ -100,7 +143,11 @@ def _expected(path: str, probability: np.ndarray):
             row = np.repeat(np.arange(batch.num_rows), np.diff(first))
             owner, times = batch.column("number").to_numpy()[row], batch.column("n").to_numpy()[row]
             for some, rows in _by_length(data, start, end):
-                grams, length, mine = P.substrings(pieces, rows), rows.shape[1], owner[some]
+                mine = owner[some]
+                if rows.shape[1] > LONG:
+                    _long_expected(pieces, rows, table, mine, times[some], counts)
+                    continue
+                grams, length = P.substrings(pieces, rows), rows.shape[1]
                 ahead = _forward(grams, length, table, mine)
                 back = [np.ones((len(some), 1))]  # of place length, length - 1, ...
                 share = times[some] / np.maximum(ahead[length][:, 0], 1e-300)
@@ -146,7 +193,7 @@ def _learned(known: DataFrame, counts: list, rows_per_language: int, rounds: int
     size = len(P.load(path).ids)
     probability = np.full((size, len(counts)), 1 / size)
     for _ in range(rounds):
-        got = words.mapInArrow(_expected(path, probability), "number int, piece int, n double").groupBy("number", "piece").agg(F.sum("n").alias("n")).toArrow()
+        got = mapped(words, _expected(path, probability), "number int, piece int, n double").groupBy("number", "piece").agg(F.sum("n").alias("n")).toArrow()
         expected = np.full((size, len(counts)), 0.05)
         expected[got["piece"].to_numpy(), got["number"].to_numpy()] += got["n"].to_numpy()
         probability = expected / expected.sum(axis=0)
@@ -178,8 +225,12 @@ def _score(path: str, languages: tuple[str, ...], probability: np.ndarray, prior
                     new = where[fresh]
                     got = np.empty((len(new), width), np.float32)
                     for some, matrix in _by_length(data, start[new], end[new]):
-                        ahead = _forward(P.substrings(pieces, matrix), matrix.shape[1], table)
-                        got[some] = np.log(np.maximum(ahead[-1], 1e-300))
+                        if matrix.shape[1] > LONG:
+                            for last in _log_places(pieces, matrix, table):  # noqa: B007
+                                pass
+                            got[some] = last
+                        else:
+                            got[some] = np.log(_forward(P.substrings(pieces, matrix), matrix.shape[1], table)[-1])
                     rows[fresh] = memo.add(hashes[fresh])
                     held = np.concatenate([held, got])
                 full = np.flatnonzero(np.diff(first))
@@ -204,7 +255,8 @@ def _score(path: str, languages: tuple[str, ...], probability: np.ndarray, prior
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with lang_pred and score (the posterior of lang_pred, 0 to 1).
 
-    A text that is null or has no letter is ``und`` with score 0, as is every text under a model without languages.
+    Words are whole runs of letters, however long; a word is summed over all its segmentations. Repeated rows have
+    equal results, an empty table gives no rows. A text that is null or has no letter is ``und`` with score 0, as is every text under a model without languages.
     Ties go to the language that sorts first. Columns of ``docs`` with the two names are replaced; others stay.
     """
     docs = docs.drop("lang_pred", "score")
@@ -217,7 +269,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         first = some.stop
         if i and i % CHAINED == 0:
             docs = cut(docs)
-        docs = docs.mapInArrow(_score(model.path, model.languages[some], probability, model.prior[some], i > 0), schema)
+        docs = mapped(docs, _score(model.path, model.languages[some], probability, model.prior[some], i > 0), schema)
     return docs.drop(TOP)
 
 

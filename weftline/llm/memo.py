@@ -12,7 +12,7 @@ class Memo:
     """
 
     def __init__(self, most: int):
-        bits = max(10, int(most).bit_length() + 1)
+        bits = max(10, (2 * int(most) - 1).bit_length())
         self.most = 1 << (bits - 1)
         self._mask = np.int64((1 << bits) - 1)
         self._keys = np.zeros(1 << bits, np.uint64)

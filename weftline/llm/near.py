@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import bytetext as B
 from weftline.llm.groups import components, sorted_groups
-from weftline.llm.session import cut
+from weftline.llm.session import cut, mapped
 
 
 def bands_for(threshold: float, recall: float, most_hashes: int = 160) -> tuple[int, int]:
@@ -165,7 +165,7 @@ def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     """
     count, rows = bands_for(threshold, recall)
     plain = docs.select("doc_id", "text")
-    sketched = cut(plain.mapInArrow(sketches(n, count, rows), "doc_id long, key binary, bands array<long>"))
+    sketched = cut(mapped(plain, sketches(n, count, rows), "doc_id long, key binary, bands array<long>"))
     nodes = cut(sketched.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("bands").alias("bands")))
     banded = nodes.select("key", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("key").alias("center"), F.count("*").alias("m")).filter("m > 1").drop("m")
@@ -176,14 +176,14 @@ def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
 
     texts = plain.join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     # a repeated doc_id may bring other texts along: the key tells which one the node stands for
-    sets = texts.mapInArrow(_sets(n), "node binary, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
+    sets = mapped(texts, _sets(n), "node binary, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
     pairs = (
         member.join(sets, "node")
         .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("comp", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "weight", "grams")
     )
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    verified = cut(pairs.repartition(width, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_verify(threshold), "node binary, links long, root binary"))
+    verified = cut(mapped(pairs.repartition(width, "comp", "i", "j").sortWithinPartitions("comp", "i", "j"), _verify(threshold), "node binary, links long, root binary"))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = (

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import bytetext as B
 from weftline.llm.pretokens import encoder
-from weftline.llm.session import cut
+from weftline.llm.session import cut, mapped
 
 CAPACITY = 2048
 
@@ -57,7 +57,7 @@ def _pieces(path: str, capacity: int, end: int):
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
     """Per piece of each document: doc_id, piece, start, length, ids_crc32. Null text counts as empty: one piece, the end id alone."""
-    return docs.select("doc_id", "text").mapInArrow(_pieces(path or default_path(), capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return mapped(docs.select("doc_id", "text"), _pieces(path or default_path(), capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def knapsack(price: np.ndarray, least: int, capacity: int) -> list[int]:
@@ -193,4 +193,4 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, rou
     before = counted.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     ranked = spread.withColumn("k", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1).join(before, ["length", "part"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("k") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(_placed(where), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return mapped(ranked, _placed(where), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

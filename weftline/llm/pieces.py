@@ -12,6 +12,7 @@ import sentencepiece
 from weftline.llm import bytetext as B
 
 SPACE = 0x2581  # stands for a blank in pieces
+RANK_SHIFT = 100
 
 
 def default_path() -> str:
@@ -48,6 +49,18 @@ def code_sums(data: np.ndarray) -> np.ndarray:
     return B.sums(_spread()[data])
 
 
+def log_probabilities(scores: np.ndarray) -> np.ndarray:
+    """The scores of a unigram model as they are; those of a BPE model are merge ranks (0, -1, -2, ...), of which
+    the Zipf-Mandelbrot law makes log probabilities: p is in proportion to 1 / (rank + RANK_SHIFT). Pieces without a rank
+    (1e9) count as beyond the last.
+    """
+    if not (scores == np.floor(scores)).all():
+        return scores
+    rank = np.minimum(-scores, len(scores))
+    p = 1 / (rank + RANK_SHIFT)
+    return np.log(p / p.sum())
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Pieces:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -57,7 +70,7 @@ def load(path: str) -> Pieces:
     hashes = B.spans(code_sums(data), at[:-1], at[1:])
     order = np.argsort(hashes)
     ids = np.array(plain, np.int32)[order]
-    scores = np.array([model.get_score(int(i)) for i in ids])
+    scores = log_probabilities(np.array([model.get_score(int(i)) for i in ids]))
     byte_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
     return Pieces(hashes[order], ids, scores, int(np.diff(at).max()), byte_ids, texts)
 

@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from weftline.llm import bytetext as B
@@ -76,13 +77,17 @@ def split(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Token ids of texts by a tokenizer file, each distinct pre-token encoded once and kept."""
+    """Token ids of texts by a tokenizer file, each distinct pre-token encoded once and kept.
+
+    Texts that hold one of the file's added tokens (as ``<|endoftext|>``) go to the tokenizer as a whole.
+    """
 
     def __init__(self, path: str, most: int = 1 << 19):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        added = sorted(t.content for t in self._tokenizer.get_added_tokens_decoder().values())
+        self._added = "|".join(map(regex.escape, added))
         self._most = most
         self._clear(most)
 
@@ -103,6 +108,18 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids behind one another, and the n + 1 places where each text's begin; null counts as empty."""
+        marked = pc.fill_null(pc.match_substring_regex(texts, self._added), False) if self._added else None
+        if marked is None or not pc.any(marked, min_count=0).as_py():
+            return self._plain(texts)
+        ids, at = self._plain(pc.if_else(marked, "", texts))
+        where = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+        got = [e.ids for e in self._tokenizer.encode_batch_fast(texts.filter(marked).to_pylist(), add_special_tokens=False)]
+        counts = np.zeros(len(texts), np.int64)
+        counts[where] = [len(x) for x in got]
+        ids = np.insert(ids, np.repeat(at[where], counts[where]), np.fromiter((i for x in got for i in x), np.uint32, int(counts.sum())))
+        return ids, at + np.r_[0, np.cumsum(counts)]
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, at = P.column_codes(texts)
         start = split(data, at)
         end = np.r_[start[1:], len(data)]

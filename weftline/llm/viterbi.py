@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from weftline.llm import bytetext as B
 from weftline.llm import pieces as P
 from weftline.llm.memo import Memo
+from weftline.llm.session import mapped
 
 UNKNOWN = 10.0
 LITERAL = 0xD800  # a surrogate, which no text has, stands for a literal U+2581
@@ -249,7 +250,7 @@ def _encoded(path: str):
 def encode_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with ids, an array of piece ids of the whole text. Null text: null; empty: no ids. A column ids is replaced, others stay."""
     docs = docs.drop("ids")
-    return docs.mapInArrow(_encoded(path or P.default_path()), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return mapped(docs, _encoded(path or P.default_path()), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def _decoded(path: str):
@@ -272,7 +273,7 @@ def _decoded(path: str):
 def decode_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with decoded, the text of the column ids (null: null). A column decoded is replaced, others stay."""
     docs = docs.drop("decoded")
-    return docs.mapInArrow(_decoded(path or P.default_path()), T.StructType([*docs.schema.fields, T.StructField("decoded", T.StringType())]))
+    return mapped(docs, _decoded(path or P.default_path()), T.StructType([*docs.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def _counted(path: str):
@@ -290,4 +291,4 @@ def _counted(path: str):
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with n_pretokens and n_tokens of the whole text; null and empty texts have 0. Columns with these names are replaced, others stay."""
     docs = docs.drop("n_pretokens", "n_tokens")
-    return docs.mapInArrow(_counted(path or P.default_path()), T.StructType([*docs.schema.fields, T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())]))
+    return mapped(docs, _counted(path or P.default_path()), T.StructType([*docs.schema.fields, T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())]))
