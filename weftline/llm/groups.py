@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm.session import cut
 
+HOT = 500
+
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Each run of rows with equal keys as one table; the rows come sorted by the keys."""
@@ -37,14 +39,19 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 
     ``edges`` has the columns a and b. Alternates the large-star and small-star steps until the
     edges stay the same; each step is an aggregation with map-side minima and an equi-join, and each
-    round is checkpointed. Null ends and loops are left out; no edges give no rows.
+    round is checkpointed. The minima of nodes that have over a HOT-th of all ends, of which there can be only HOT, are
+    broadcast, so that no task gets all edges of a hub. Null ends and loops are left out; no edges give no rows.
     """
     now = cut(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = _digest(now)
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        hub = F.col("n") > F.lit(2 * seen[0] / HOT)
+        hubs = F.broadcast(least.filter(hub).drop("n"))  # fewer than HOT rows
+        told = both.join(hubs, "a", "left")
+        rest = told.filter("m is null").drop("m").join(least.filter(~hub).drop("n"), "a")
+        large = told.filter("m is not null").unionByName(rest).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         now = cut(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct())
