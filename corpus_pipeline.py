@@ -6,7 +6,6 @@ labels that their queries may learn from. Rows with a null doc_id are kept by th
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,7 +16,7 @@ from weftline.llm import langid, quality
 from weftline.llm.near import near_classes
 from weftline.llm.packing import pack
 from weftline.llm.pii import replace_pii
-from weftline.llm.session import table
+from weftline.llm.session import folder, table
 
 PII_KEY = "corpus-pipeline"
 LEAST_SCORE = 0.5  # posterior below which a language is uncertain
@@ -30,14 +29,17 @@ def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those whose language is uncertain."""
+    """Rejects documents without letters (null and empty texts too) and those whose language is uncertain.
+
+    Repeated rows, very long texts, null ids and an empty table are as ``langid.identify`` has them; columns of its names stay.
+    """
     model = langid.fit(docs.filter(~langid.held_out()))
     plain, back = _aside(docs, "lang_pred", "score")
     return langid.identify(plain, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(back)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the classifier scores below its cut."""
+    """Rejects documents that the classifier scores below its cut; null, empty and repeated texts are as ``quality.rate`` has them."""
     model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~quality.held_out()))
     plain, back = _aside(docs, "score", "predicted")
     return quality.rate(plain, model).filter("predicted = 1").select(back)
@@ -62,7 +64,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences."""
+    """Packs what is left into sequences; null and empty texts are one end id each, an empty table gives no rows."""
     return pack(docs)
 
 
@@ -79,12 +81,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between them is written under spark.checkpoint.dir."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='weftline-')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; what lies between them is written under spark.checkpoint.dir. An empty table gives no rows."""
+    own = f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{i}-{name}")
-            docs = spark.read.parquet(f"{folder}/{i}-{name}")
+            docs.write.parquet(f"{own}/{i}-{name}")
+            docs = spark.read.parquet(f"{own}/{i}-{name}")
     return docs
