@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 
+import regex
 from pyspark.sql import functions as F
 
 from weftline.llm import pii
@@ -104,3 +105,54 @@ def test_long_digests_and_keys(spark):
         assert a != b
         assert [c.isupper() for c in a[:4] if c.isalpha()] == [c.isupper() for c in b[:4] if c.isalpha()] or len(set(a)) <= 8
     assert re.fullmatch(r"[0-9a-f]{96} [0-9A-F]{128} [0-9a-f]{300} ghp_[A-Za-z0-9]{210} sk-[A-Za-z0-9]{240}", " ".join(new))
+
+
+def iban(text):
+    digits = "".join(str(int(c, 36)) for c in re.sub(r"\W", "", text[4:] + text[:4]))
+    return int(digits) % 97 == 1
+
+
+def test_addresses_local_phones_and_bank_numbers(spark):
+    (new,) = replaced(spark, "fe80::1:abcd 2001:db8:85a3:0:0:8a2e:370:7334 0171-2345678 DE89 3704 0044 0532 0130 00 GB34BUKB20201555555555")
+    assert re.fullmatch(r"2001:db8:(?:[0-9a-f]{4}:){5}[0-9a-f]{4} 2001:db8:(?:[0-9a-f]{4}:){5}[0-9a-f]{4} \d{4}-\d{7} DE\d\d(?: \d{4}){4} \d\d GB\d\d[A-Z]{4}\d{14}", new), new
+    assert "0171-2345678" not in new
+    assert not iban("GB34BUKB20201555555555")
+    banks = re.findall(r"DE[\d ]+\d|GB\w+", new)
+    assert [iban(b) for b in banks] == [True, False]
+
+
+def test_names_without_titles_and_neutral_titles(spark):
+    a, b, c = replaced(spark, "Yesterday John Smith wrote.", "Ask Dr. Anna Meyer or Mary Jones-Webb", "Johnny Cash and a Mary")
+    assert re.fullmatch(r"Yesterday \w+ [A-Z][a-z]{4} wrote\.", a)
+    assert "Smith" not in a
+    assert re.fullmatch(r"Ask Dr\. \w+ [A-Z][a-z]{4} or \w+ [A-Z][a-z]{4}-[A-Z][a-z]{3}", b)
+    assert b.split()[2] in pii.GIVEN["female", "latin"]
+    assert c == "Johnny Cash and a Mary"
+
+
+def test_no_letter_is_in_two_alphabets():
+    assert len(set(pii._LETTERS)) == len(pii._LETTERS) == len(pii._FIRST) // 3 == len(pii._SIZE) // 3
+
+
+def test_texts_against_joining_them_by_hand(spark):
+    """The entities that Python's regex finds, each replaced by the surrogate of its value alone."""
+    texts = ["call +49 30 1234567 or mail a.b@c.org, a.b@c.org!", "Mr John Smith (10.0.0.1) 123-45-6789", "Frau Öß 李雷@例子.com", "no entity", "ann@x.org" * 3]
+    found = [[m[0] for m in regex.finditer(pii.PATTERN.replace("++", "+"), t)] for t in texts]
+    values = spark.createDataFrame([(v,) for v in {v for f in found for v in f}], "value string")
+    made = {r[0]: r[1] for r in values.select("value", pii.surrogates(F.array("value"), lambda _: F.lit(0), "k")[0]).collect()}
+    want = []
+    for text, entities in zip(texts, found, strict=True):
+        out, at = "", 0
+        for e in entities:
+            begin = text.index(e, at)
+            out, at = out + text[at:begin] + made[e], begin + len(e)
+        want.append(out + text[at:])
+    assert replaced(spark, *texts) == want
+    assert not any(c in want[2] for c in "李雷例子ßÖ")
+
+
+def test_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, "a@b.org", 1, 2, 3, 4)], "doc_id long, text string, _found int, _moved int, _text int, N_entities int")
+    row = pii.replace_pii(frame, "k").first()
+    assert (row._found, row._moved, row._text, row.n_entities) == (1, 2, 3, 1)
+    assert "N_entities" not in row.asDict()

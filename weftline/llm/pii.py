@@ -7,8 +7,8 @@ a surrogate that another entity has, or that is itself an entity of the table, i
 higher attempt number until all are distinct.
 
 An e-mail address keeps the coreference of its domain, a name that of its family name. Surrogate
-domains lie under example.*, IP addresses in the reserved 240/4, social security numbers in the
-unissued 9xx range; card numbers keep their first digit and whether their check digit holds.
+domains lie under example.*, IP addresses in the reserved 240/4 and 2001:db8::/32, social security numbers in the
+unissued 9xx range; card numbers keep their first digit, IBANs their country, and both whether their check digits hold.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from weftline.llm.session import cut
 # fixed values: titles and given names by gender and script
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа", "госпожа", "κυρία")
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н", "господин", "κύριος")
+OTHER_TITLES = ("Dr", "Prof", "Professor")
 GIVEN = {
     ("female", "latin"): ("Anna", "Clara", "Elena", "Irene", "Julia", "Laura", "Maria", "Nora", "Sofia", "Vera"),
     ("male", "latin"): ("Adam", "Bruno", "Daniel", "Felix", "Hugo", "Lukas", "Martin", "Oscar", "Simon", "Viktor"),
@@ -29,6 +30,9 @@ GIVEN = {
     ("female", "greek"): ("Άννα", "Ελένη", "Ειρήνη", "Μαρία", "Νίκη", "Σοφία"),
     ("male", "greek"): ("Ανδρέας", "Γιώργος", "Κώστας", "Νίκος", "Πέτρος", "Στέφανος"),
 }
+# fixed values: given names besides, behind which a capitalised word is a family name too
+FEMALE_NAMES = ("Mary", "Susan", "Linda", "Karen", "Sarah", "Emma", "Alice", "Olivia", "Sophie", "Marie", "Claire", "Petra", "Sabine", "Carmen", "Lucía")
+MALE_NAMES = ("John", "James", "Robert", "Michael", "William", "David", "Thomas", "Peter", "Paul", "George", "Hans", "Klaus", "Jean", "Pierre", "Carlos", "José")
 # fixed values: letters change within their alphabet
 ALPHABETS = (
     "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àâäáãåèéêëìíîïòóôöõùúûü", "ÀÂÄÁÃÅÈÉÊËÌÍÎÏÒÓÔÖÕÙÚÛÜ",
@@ -45,7 +49,14 @@ SYLLABLES = {"latin": ("bcdfghjklmnpqrstvwxyz", "aeiou"), "cyrillic": ("бвгд
 
 SHORT = 8  # attempts with up to three given names
 
-_TITLES = "|".join(sorted((*FEMALE_TITLES, *MALE_TITLES), key=len, reverse=True))
+_TITLES = "|".join(sorted((*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES), key=len, reverse=True))
+_FEMALE = (*FEMALE_NAMES, *(n for (g, _), names in GIVEN.items() if g == "female" for n in names))
+_MALE = (*MALE_NAMES, *(n for (g, _), names in GIVEN.items() if g == "male" for n in names))
+_GIVEN = "|".join((*_FEMALE, *_MALE))
+_LETTERS = "".join(ALPHABETS)
+# where each letter's alphabet begins in _LETTERS, and its size, in three digits each: one literal stays small in a plan
+_FIRST = "".join(f"{sum(map(len, ALPHABETS[:k])):03}" for k, letters in enumerate(ALPHABETS) for _ in letters)
+_SIZE = "".join(f"{len(letters):03}" for letters in ALPHABETS for _ in letters)
 _L = r"\p{L}\p{N}"
 _CARD = r"(?<![\p{N}\p{L}])(?:\d{16}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4})(?![\p{N}\p{L}])"
 _SSN = r"(?<![\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{N}\-])"
@@ -57,15 +68,17 @@ PATTERNS = {
     "card": _CARD,
     "ssn": _SSN,
     "ip": _IP,
+    "ip6": r"(?<![\p{L}\p{N}:.])(?=[0-9a-fA-F:]*\d)(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "phone": r"(?<![\p{N}+])\+\d{1,3}[ .\-]?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\p{N})|"
     rf"(?<![\p{{N}}+])\+\d{{1,3}}{_GAP}\(?\d{{1,4}}\)?(?:{_GAP}\d{{2,4}}){{1,4}}(?!\p{{N}})|"
-    r"(?<![\p{N}\p{L}])(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[.\-]\d{4}(?!\p{N})",
+    r"(?<![\p{N}\p{L}])(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[.\-]\d{4}(?!\p{N})|"
+    r"(?<![\p{N}\p{L}+\-./])0\d{2,4}[\-/ ]\d{5,8}(?![\p{N}\-/])",
     "hex": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\p{N}])",
     "key": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+)(?![\p{L}\p{N}])",
-    "name": rf"(?<![{_L}])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}\-]{{1,30}}(?: \p{{Lu}}[\p{{L}}\-]{{1,30}}){{0,2}}",
+    "name": rf"(?<![{_L}])(?:(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}\-]{{1,30}}(?: \p{{Lu}}[\p{{L}}\-]{{1,30}}){{0,2}}|(?:{_GIVEN})(?: \p{{Lu}}[\p{{L}}\-]{{1,30}}){{1,2}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_MAY = rf"[0-9@]|{_TITLES}|[0-9a-fA-F]{{32}}"
+_MAY = rf"[0-9@]|{_TITLES}|{_GIVEN}|[0-9a-fA-F]{{32}}"
 
 
 def entities(text: Column) -> Column:
@@ -96,18 +109,35 @@ def _shifted(value: Column, stream: Column) -> Column:
     """Each letter and digit moved within its alphabet by the stream; one stream gives an injective map where all have one."""
 
     def one(c: Column, i: Column) -> Column:
-        out = c
+        other = F.lit(None).cast("string")
         for pattern, letters in reversed(OTHERS):
-            out = F.when(c.rlike(f"[{pattern}]"), F.substring(F.lit(letters), _number(stream, i) % len(letters) + 1, F.lit(1))).otherwise(out)
-        for letters in reversed(ALPHABETS):
-            here = F.instr(F.lit(letters), c)
-            to = F.substring(F.lit(letters), (here - 1 + _number(stream, i)) % len(letters) + 1, F.lit(1))
-            out = F.when(here > 0, to).otherwise(out)
-        return out
+            other = F.when(c.rlike(f"[{pattern}]"), F.lit(letters)).otherwise(other)
+        drawn = F.coalesce(F.substring(other, _number(stream, i) % F.length(other) + 1, F.lit(1)), c)
+        at = F.instr(F.lit(_LETTERS), c) - 1
+        first, size = (F.substring(F.lit(x), 3 * at + 1, F.lit(3)).cast("int") for x in (_FIRST, _SIZE))
+        return F.when(at < 0, drawn).otherwise(F.substring(F.lit(_LETTERS), first + (at - first + _number(stream, i)) % size + 1, F.lit(1)))
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
+def _mod97(text: Column) -> Column:
+    """The remainder by 97 of an IBAN's digits and letters (A is 10) read as one number; other characters are left out."""
+
+    def step(rest: Column, c: Column) -> Column:
+        value = F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
+        return F.when(value < 0, rest).otherwise((rest * F.when(value < 10, 10).otherwise(100) + value) % 97)
+
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
+def _iban(value: Column, stream: Column) -> Column:
+    country, body = F.substring(value, 1, 2), _shifted(F.substring(value, 5, 60), stream)
+    check = 98 - _mod97(F.concat(body, country, F.lit("00")))
+    valid = _mod97(F.concat(F.substring(value, 5, 60), F.substring(value, 1, 4))) == 1
+    wrong = (check + 1 + _number(stream, 20) % 90) % 97
+    return F.concat(country, F.lpad(F.when(valid, check).otherwise(wrong).cast("string"), 2, "0"), body)
+
+
 def _luhn(digits: Column) -> Column:
     """Sum of the check over 16 digits; a valid number's is a multiple of 10."""
     return F.aggregate(F.transform(F.split(digits, ""), lambda c, i: _doubled(c.cast("int"), i)), F.lit(0), lambda a, x: a + x)
@@ -136,12 +166,17 @@ def _picked(names: tuple[str, ...], number: Column) -> Column:
 
 
 def _name(value: Column, key: str, stream: Column, attempt: Column) -> Column:
-    title = F.substring_index(value, " ", 1)
-    rest = F.substring(value, F.length(title) + 2, F.length(value))
+    first_word = F.substring_index(value, " ", 1)
+    bare = F.regexp_replace(first_word, r"\.", "")
+    titled = bare.isin(*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES)
+    title = F.when(titled, first_word)
+    rest = F.when(titled, F.substring(value, F.length(first_word) + 2, F.length(value))).otherwise(value)
     family = F.substring_index(rest, " ", -1)
     alone = ~F.contains(rest, F.lit(" "))
     script = F.when(family.rlike(r"\p{IsCyrillic}"), "cyrillic").when(family.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    gender = F.when(F.regexp_replace(title, r"\.", "").isin(*FEMALE_TITLES), "female").otherwise("male")
+    named = F.substring_index(rest, " ", 1)
+    gender = F.when(bare.isin(*FEMALE_TITLES), "female").when(bare.isin(*MALE_TITLES), "male").when(named.isin(*_FEMALE), "female").when(named.isin(*_MALE), "male")
+    gender = gender.otherwise(F.when(_number(stream, 30) % 2 == 0, "female").otherwise("male"))
 
     def given(place: int) -> Column:
         out = F.lit(None).cast("string")
@@ -186,10 +221,11 @@ def _surrogate(value: Column, what: Column, attempt: Column, stream: Column, key
         .when(what == "card", _card(value, stream))
         .when(what == "ssn", F.concat(F.lit("9"), F.substring(_shifted(value, stream), 2, 20)))
         .when(what == "ip", F.concat_ws(".", (F.lit(240) + _number(stream, 0) % 15).cast("string"), *((_number(stream, i) % 256).cast("string") for i in (1, 2, 3))))
+        .when(what == "ip6", F.concat(F.lit("2001:db8:"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.substring(stream, i * 4 + 1, F.lit(4))), ":")))
         .when(what == "phone", F.concat(country, _shifted(F.substring(value, F.length(country) + 1, F.length(value)), stream)))
         .when(what == "hex", F.when(value == F.lower(value), digits).otherwise(F.upper(digits)))
         .when(what == "key", F.concat(F.substring(value, 1, 4), _shifted(F.substring(value, F.lit(5), F.length(value)), stream)))
-        .when(what == "iban", F.concat(F.substring(value, 1, 2), _shifted(F.substring(value, 3, 60), stream)))
+        .when(what == "iban", _iban(value, stream))
         .otherwise(_name(value, key, stream, attempt))
     )
 
@@ -213,20 +249,23 @@ def attempts(values: DataFrame, key: str, most_rounds: int = 30) -> DataFrame:
 def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with the entities of ``text`` replaced by surrogates and their number in ``n_entities``.
 
-    Null stays null and empty text empty, with 0 entities. Repeated rows get equal texts. Other columns stay;
-    a column n_entities is replaced. Entities are found in whole texts, however long.
+    Null stays null and empty text empty, with 0 entities. Repeated rows get equal texts, an empty table gives no rows.
+    Other columns stay whatever their names; a column n_entities, in any case, is replaced. Entities are found in whole
+    texts, however long.
     """
-    columns = [c for c in docs.columns if c != "n_entities"]
-    found = docs.select(*columns, F.coalesce(entities(F.col("text")), F.array().cast("array<string>")).alias("_found"))
-    values = cut(found.select(F.explode(F.array_distinct("_found")).alias("value")).distinct())
+    columns = [c for c in docs.columns if c.lower() != "n_entities"]
+    own = "_" * (1 + max((len(c) for c in columns), default=0))  # longer than any of their names
+    found_in, text_key, moved_in = own + "found", own + "text", own + "moved"
+    found = docs.select(*columns, F.coalesce(entities(F.col("text")), F.array().cast("array<string>")).alias(found_in))
+    values = cut(found.select(F.explode(F.array_distinct(found_in)).alias("value")).distinct())
     moved = attempts(values, key)
     if moved.isEmpty():
-        new = surrogates(F.col("_found"), lambda _: F.lit(0), key)
+        new = surrogates(F.col(found_in), lambda _: F.lit(0), key)
     else:
-        texts = found.filter(F.size("_found") > 0).select(F.sha2("text", 256).alias("_text"), F.explode(F.array_distinct("_found")).alias("value")).distinct()
-        maps = texts.join(moved, "value").groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("value", "attempt"))).alias("_moved"))
-        found = found.withColumn("_text", F.when(F.size("_found") > 0, F.sha2("text", 256))).join(maps, "_text", "left").drop("_text")
-        new = surrogates(F.col("_found"), lambda e: F.coalesce(F.try_element_at("_moved", e), F.lit(0)), key)
+        texts = found.filter(F.size(found_in) > 0).select(F.sha2("text", 256).alias(text_key), F.explode(F.array_distinct(found_in)).alias("value")).distinct()
+        maps = texts.join(moved, "value").groupBy(text_key).agg(F.map_from_entries(F.collect_list(F.struct("value", "attempt"))).alias(moved_in))
+        found = found.withColumn(text_key, F.when(F.size(found_in) > 0, F.sha2("text", 256))).join(maps, text_key, "left").drop(text_key)
+        new = surrogates(F.col(found_in), lambda e: F.coalesce(F.try_element_at(moved_in, e), F.lit(0)), key)
     between = F.split(F.col("text"), PATTERN, -1)
-    text = F.when(F.size("_found") == 0, F.col("text")).otherwise(F.array_join(F.zip_with(between, new, lambda s, e: F.concat(s, F.coalesce(e, F.lit("")))), ""))
-    return found.select(*(text.alias(c) if c == "text" else F.col(c) for c in columns), F.size("_found").alias("n_entities"))
+    text = F.when(F.size(found_in) == 0, F.col("text")).otherwise(F.array_join(F.zip_with(between, new, lambda s, e: F.concat(s, F.coalesce(e, F.lit("")))), ""))
+    return found.select(*(text.alias(c) if c == "text" else F.col(c) for c in columns), F.size(found_in).alias("n_entities"))
