@@ -47,11 +47,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
-        hub = F.col("n") > F.lit(2 * seen[0] / HOT)
-        hubs = F.broadcast(least.filter(hub).drop("n"))  # fewer than HOT rows
-        told = both.join(hubs, "a", "left")
-        rest = told.filter("m is null").drop("m").join(least.filter(~hub).drop("n"), "a")
-        large = told.filter("m is not null").unionByName(rest).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _told(both, least, 2 * seen[0] / HOT).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         now = cut(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct())
@@ -62,5 +58,14 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def _told(both: DataFrame, least: DataFrame, many: float) -> DataFrame:
+    """``both`` with each node's minimum m; those of nodes with over ``many`` ends, fewer than HOT, are broadcast."""
+    if (least.agg(F.max("n")).first()[0] or 0) <= many:
+        return both.join(least.drop("n"), "a")
+    told = both.join(F.broadcast(least.filter(F.col("n") > many).drop("n")), "a", "left")
+    rest = told.filter("m is null").drop("m").join(least.filter(F.col("n") <= many).drop("n"), "a")
+    return told.filter("m is not null").unionByName(rest)
+
+
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())

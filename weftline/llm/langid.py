@@ -176,7 +176,9 @@ def fit(labelled: DataFrame, rows_per_language: int = 1000, block: int = BLOCK,
     counts = sorted(known.groupBy("lang").count().collect())
     total = sum(r["count"] for r in counts)
     blocks = [counts[i : i + block] for i in range(0, len(counts), block)]
-    return LanguageModel(path, tuple(r["lang"] for r in counts), tuple(_learned(known, b, rows_per_language, rounds, path) for b in blocks), np.array([r["count"] / total for r in counts]))
+    learned = tuple(_learned(known, b, rows_per_language, rounds, path) for b in blocks)
+    P.forget()
+    return LanguageModel(path, tuple(r["lang"] for r in counts), learned, np.array([r["count"] / total for r in counts]))
 
 
 def _learned(known: DataFrame, counts: list, rows_per_language: int, rounds: int, path: str) -> np.ndarray:

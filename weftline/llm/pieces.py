@@ -75,6 +75,13 @@ def load(path: str) -> Pieces:
     return Pieces(hashes[order], ids, scores, int(np.diff(at).max()), byte_ids, texts)
 
 
+def forget() -> None:
+    """Drops what a process keeps of vocabularies: for drivers, which need them in passing only."""
+    load.cache_clear()
+    _spread.cache_clear()
+    B.give_back()
+
+
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts behind one another and the n + 1 places where each begins."""
     at = np.r_[0, np.cumsum([len(x) for x in texts], dtype=np.int64)] if texts else np.zeros(1, np.int64)

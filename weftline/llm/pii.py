@@ -75,10 +75,10 @@ PATTERNS = {
     r"(?<![\p{N}\p{L}+\-./])0\d{2,4}[\-/ ]\d{5,8}(?![\p{N}\-/])",
     "hex": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\p{N}])",
     "key": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+)(?![\p{L}\p{N}])",
-    "name": rf"(?<![{_L}])(?:(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}\-]{{1,30}}(?: \p{{Lu}}[\p{{L}}\-]{{1,30}}){{0,2}}|(?:{_GIVEN})(?: \p{{Lu}}[\p{{L}}\-]{{1,30}}){{1,2}})",
+    "name": rf"(?<![{_L}])(?=[\p{{Lu}}гκ])(?:(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}\-]{{1,30}}(?: \p{{Lu}}[\p{{L}}\-]{{1,30}}){{0,2}}|(?:{_GIVEN})(?: \p{{Lu}}[\p{{L}}\-]{{1,30}}){{1,2}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_MAY = rf"[0-9@]|{_TITLES}|{_GIVEN}|[0-9a-fA-F]{{32}}"
+_MAY = rf"[0-9@]|(?=[\p{{Lu}}гκ])(?:{_TITLES}|{_GIVEN})|[0-9a-fA-F]{{32}}"
 
 
 def entities(text: Column) -> Column:
@@ -130,8 +130,8 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), step)
 
 
-def _iban(value: Column, stream: Column) -> Column:
-    country, body = F.substring(value, 1, 2), _shifted(F.substring(value, 5, 60), stream)
+def _iban(value: Column, body: Column, stream: Column) -> Column:
+    country = F.substring(value, 1, 2)
     check = 98 - _mod97(F.concat(body, country, F.lit("00")))
     valid = _mod97(F.concat(F.substring(value, 5, 60), F.substring(value, 1, 4))) == 1
     wrong = (check + 1 + _number(stream, 20) % 90) % 97
@@ -148,9 +148,9 @@ def _doubled(digit: Column, place: Column) -> Column:
     return F.when(place % 2 == 0, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(digit)
 
 
-def _card(value: Column, stream: Column) -> Column:
+def _card(value: Column, shifted: Column, stream: Column) -> Column:
     digits = F.regexp_replace(value, r"\D", "")
-    body = F.concat(F.substring(digits, 1, 1), F.substring(_shifted(digits, stream), 2, 14))
+    body = F.concat(F.substring(digits, 1, 1), F.substring(shifted, 2, 14))
     check = (10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10
     wrong = (check + 1 + _number(stream, 20) % 9) % 10
     last = F.when(_luhn(digits) % 10 == 0, check).otherwise(wrong).cast("string")
@@ -165,7 +165,8 @@ def _picked(names: tuple[str, ...], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), number % len(names) + 1)
 
 
-def _name(value: Column, key: str, stream: Column, attempt: Column) -> Column:
+def _name(value: Column, new: Column, stream: Column, attempt: Column) -> Column:
+    """A name with the family name ``new``."""
     first_word = F.substring_index(value, " ", 1)
     bare = F.regexp_replace(first_word, r"\.", "")
     titled = bare.isin(*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES)
@@ -195,38 +196,64 @@ def _name(value: Column, key: str, stream: Column, attempt: Column) -> Column:
     for name, letters in SYLLABLES.items():
         made = F.when((attempt > SHORT) & (script == name), more(letters)).otherwise(made)
     first = F.when(attempt > SHORT, F.concat_ws("-", given(0), F.initcap(made))).otherwise(F.concat_ws("-", given(0), F.when(attempt > 2, given(1)), F.when(attempt > 5, given(2))))
-    new = _shifted(family, _stream(key, F.when(alone, F.concat(F.lit("family"), attempt.cast("string"))).otherwise(F.lit("family0"))))
     return F.when(alone, F.concat(title, F.lit(" "), new, F.coalesce(made, F.lit("")))).otherwise(F.concat_ws(" ", title, first, new))
 
 
 def surrogates(values: Column, attempt, key: str) -> Column:
     """The replacements of an array of entities; ``attempt`` gives an entity's attempt number (0 at first).
 
-    In three steps, each over the array of the last, so that kind and stream are computed once per entity.
+    In steps, each over the array of the last, so that kind, stream and what is shifted are computed once per entity and stand
+    once in the plan.
     """
+    also = lambda e, **new: F.struct(*(e[c].alias(c) for c in ("value", "what", "attempt")), *(c.alias(n) for n, c in new.items()))
     known = F.transform(values, lambda e: F.struct(e.alias("value"), kind(e).alias("what"), attempt(e).alias("attempt")))
     seeded = F.transform(known, lambda e: F.struct(e["value"].alias("value"), e["what"].alias("what"), e["attempt"].alias("attempt"), _stream(key, F.concat_ws("\x1f", e["what"], e["attempt"].cast("string"), e["value"])).alias("stream")))
-    return F.transform(seeded, lambda e: _surrogate(e["value"], e["what"], e["attempt"], e["stream"], key))
+    parts = F.transform(seeded, lambda e: also(e, stream=e["stream"], part=_part(e["value"], e["what"]), by=_part_stream(e["value"], e["what"], e["attempt"], e["stream"], key)))
+    moved = F.transform(parts, lambda e: also(e, stream=e["stream"], new=_shifted(e["part"], e["by"])))
+    return F.transform(moved, lambda e: _surrogate(e["value"], e["what"], e["attempt"], e["stream"], e["new"], key))
 
 
-def _surrogate(value: Column, what: Column, attempt: Column, stream: Column, key: str) -> Column:
+_COUNTRY = r"^\+\d{1,3}(?=[ .\-(])|^"
+
+
+def _part(value: Column, what: Column) -> Column:
+    """What of an entity is shifted."""
+    return (
+        F.when(what == "email", F.substring_index(value, "@", 1))
+        .when(what == "card", F.regexp_replace(value, r"\D", ""))
+        .when(what == "ssn", value)
+        .when(what == "phone", F.regexp_replace(value, _COUNTRY, ""))
+        .when(what.isin("key", "iban"), F.substring(value, F.lit(5), F.length(value)))
+        .when(what == "name", F.substring_index(value, " ", -1))
+        .otherwise("")
+    )
+
+
+def _part_stream(value: Column, what: Column, attempt: Column, stream: Column, key: str) -> Column:
+    """Family names move by one stream of their own; those that stand alone behind a title by another one each attempt."""
+    alone = F.size(F.split(value, " ")) == 2
+    alone &= F.regexp_replace(F.substring_index(value, " ", 1), r"\.", "").isin(*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES)
+    return F.when(what == "name", _stream(key, F.when(alone, F.concat(F.lit("family"), attempt.cast("string"))).otherwise(F.lit("family0")))).otherwise(stream)
+
+
+def _surrogate(value: Column, what: Column, attempt: Column, stream: Column, new: Column, key: str) -> Column:
     domain = F.lower(F.substring_index(value, "@", -1))
     top = F.substring_index(domain, ".", -1)
     hidden = F.concat(F.lit("m"), F.substring(_stream(key, F.concat(F.lit("domain\x1f"), domain)), 1, 10), F.lit(".example."), F.when(top.isin("com", "org", "net"), top).otherwise(F.lit("com")))
-    country = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .\-(])|^", 0)
+    country = F.regexp_extract(value, _COUNTRY, 0)
     long = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / 64).cast("int")), lambda i: F.sha2(F.concat_ws("\x1f", i.cast("string"), stream), 256)), "")
     digits = F.substring(F.when(F.length(value) > 128, long).otherwise(stream), F.lit(1), F.length(value))
     return (
-        F.when(what == "email", F.concat(_shifted(F.substring_index(value, "@", 1), stream), F.lit("@"), hidden))
-        .when(what == "card", _card(value, stream))
-        .when(what == "ssn", F.concat(F.lit("9"), F.substring(_shifted(value, stream), 2, 20)))
+        F.when(what == "email", F.concat(new, F.lit("@"), hidden))
+        .when(what == "card", _card(value, new, stream))
+        .when(what == "ssn", F.concat(F.lit("9"), F.substring(new, 2, 20)))
         .when(what == "ip", F.concat_ws(".", (F.lit(240) + _number(stream, 0) % 15).cast("string"), *((_number(stream, i) % 256).cast("string") for i in (1, 2, 3))))
         .when(what == "ip6", F.concat(F.lit("2001:db8:"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.substring(stream, i * 4 + 1, F.lit(4))), ":")))
-        .when(what == "phone", F.concat(country, _shifted(F.substring(value, F.length(country) + 1, F.length(value)), stream)))
+        .when(what == "phone", F.concat(country, new))
         .when(what == "hex", F.when(value == F.lower(value), digits).otherwise(F.upper(digits)))
-        .when(what == "key", F.concat(F.substring(value, 1, 4), _shifted(F.substring(value, F.lit(5), F.length(value)), stream)))
-        .when(what == "iban", _iban(value, stream))
-        .otherwise(_name(value, key, stream, attempt))
+        .when(what == "key", F.concat(F.substring(value, 1, 4), new))
+        .when(what == "iban", _iban(value, new, stream))
+        .otherwise(_name(value, new, stream, attempt))
     )
 
 
