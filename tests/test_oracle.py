@@ -7,11 +7,12 @@ import math
 import duckdb
 import pytest
 
-from weftline.plans import records, tokens
+from weftline.plans import catalogue, knowledge, lint, records, tokens
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = records.QUERIES | tokens.QUERIES, records.SQL | tokens.SQL
+PLANS = (records, tokens, knowledge, catalogue, lint)
+QUERIES, SQL = ({k: v for p in PLANS for k, v in getattr(p, part).items()} for part in ("QUERIES", "SQL"))
 
 
 @pytest.fixture(scope="module")

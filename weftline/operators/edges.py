@@ -80,6 +80,25 @@ def references(tokens: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def infer(tokens: DataFrame) -> DataFrame:
-    """Hierarchy, sibling, callout and example edges, each (source, target, relation) once."""
-    parts = (hierarchy(tokens), siblings(tokens), callouts(tokens), examples(tokens))
-    return reduce(DataFrame.unionByName, parts).dropDuplicates(["source_sha", "target_sha", "rel_type"])
+    """Hierarchy, sibling, callout and example edges, each (source, target, relation) once.
+
+    As the four functions above, but over one sort by page and section: each token makes an array of its edges.
+    """
+    before = Window.partitionBy("page_url", "section").orderBy("paragraph").rangeBetween(Window.unboundedPreceding, -1)
+    kind, sha = F.col("content_type"), F.col("token_sha")
+    callout = kind.isin(*CALLOUT_RELATIONS)
+    placed = tokens.select(
+        "token_sha", "content_type", F.lead("token_sha").over(_within()).alias("next"), F.first("token_sha").over(_within()).alias("anchor"), F.row_number().over(_within()).alias("k"),
+        F.last(F.when(~callout, sha), ignorenulls=True).over(before).alias("plain"), F.last(F.when(kind == "PROSE", sha), ignorenulls=True).over(before).alias("prose"),
+    )
+
+    def edge(cond: Column, source: Column, target: Column, rel: Column) -> Column:
+        return F.when(cond, F.struct(source.alias("source_sha"), target.alias("target_sha"), rel.alias("rel_type")))
+
+    made = F.array(
+        edge(F.col("k") > 1, F.col("anchor"), sha, F.lit("HIERARCHY")),
+        edge(F.col("next").isNotNull(), sha, F.col("next"), F.lit("NEXT_SIBLING")),
+        edge(callout & F.col("plain").isNotNull(), F.col("plain"), sha, F.try_element_at(_map(CALLOUT_RELATIONS), kind)),
+        edge((kind == "CODE_EXAMPLE") & F.col("prose").isNotNull(), F.col("prose"), sha, F.lit("EXAMPLE_OF")),
+    )
+    return _weighted(placed.select(F.inline(F.filter(made, lambda e: e.isNotNull())))).dropDuplicates(["source_sha", "target_sha", "rel_type"])

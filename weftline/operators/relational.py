@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.sources.store import numbered
+
 
 def form_query(form: DataFrame, criteria: Column | None = None) -> DataFrame:
     """``Form[criteria]``: the records that meet it; a null criterion is not met."""
@@ -47,12 +49,9 @@ def updated(form: DataFrame, where: Column, values: dict[str, Column]) -> DataFr
 
 
 def effects(rows: DataFrame, action: str, params: dict[str, Column], order: list[str], first: int = 1000) -> DataFrame:
-    """The side effects of a loop over rows: seq, action, params. Nothing is performed.
-
-    seq numbers all rows in order, so this is for the logs of bounded loops; ``batches`` numbers large tables in parts.
-    """
+    """The side effects of a loop over rows: seq, action, params. Nothing is performed. seq numbers all rows in order, range by range."""
     pairs = F.create_map(*(x for k, v in params.items() for x in (F.lit(k), v.cast("string"))))
-    return rows.select((F.row_number().over(Window.orderBy(*order)) + first - 1).alias("seq"), F.lit(action).alias("action"), pairs.alias("params"))
+    return numbered(rows.select(*order, pairs.alias("params")), order, "_i").select((F.col("_i") + first).cast("int").alias("seq"), F.lit(action).alias("action"), "params")
 
 
 def domain(form: DataFrame, aggregate: Column, criteria: Column | None = None) -> DataFrame:
@@ -69,6 +68,11 @@ def statistics(form: DataFrame, by: list[str], value: str) -> DataFrame:
     )
 
 
+def first_last(form: DataFrame, by: list[str], value: str, order: Column) -> DataFrame:
+    """First and Last of a column per group in the order of the records."""
+    return form.groupBy(*by).agg(F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"))
+
+
 def closest_name(names: DataFrame, catalog: list[str]) -> DataFrame:
     """name, suggestion: equal but for case, else the one catalogue name that holds or is held by it (both of 4 characters or more)."""
     known = F.array(*map(F.lit, catalog))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,13 +41,24 @@ def postings(tokens: DataFrame) -> DataFrame:
 
 
 def bm25(tokens: DataFrame, query: str, most: int = 30, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """token_sha, score, position, seed_rank of the ``most`` best tokens by BM25 over any of the query's terms."""
-    index = postings(tokens)
-    lengths = index.groupBy("token_sha").agg(F.sum("tf").alias("length"))
+    """token_sha, score, position, seed_rank of the ``most`` best tokens by BM25 over any of the query's terms.
+
+    The query is cut into terms as ``postings`` cuts content. Only the asked terms are counted, in one pass without a
+    shuffle of the index; a blank query gives no rows.
+    """
+    terms = F.regexp_extract_all(F.lower("content"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    split = tokens.select("token_sha", terms.alias("terms")).filter(F.size("terms") > 0)
+    asked_terms = sorted(set(re.findall(r"[^\W_]+", query.lower())))  # as the index cuts them
+
+    def times(word: str) -> Column:
+        return F.size(F.filter("terms", lambda t: t == word))
+
+    lengths = split.select("token_sha", F.size("terms").alias("length"), *(times(w).alias(f"tf_{i}") for i, w in enumerate(asked_terms)))
     whole = tokens.agg(F.count("*").alias("n")).crossJoin(lengths.agg(F.sum("length").alias("total")))  # one row
-    asked = index.filter(F.col("term").isin(sorted(set(query.lower().split()))))
+    counted = F.array(*(F.struct(F.lit(w).alias("term"), F.col(f"tf_{i}").alias("tf")) for i, w in enumerate(asked_terms)))
+    asked = lengths.select("token_sha", "length", F.inline(F.filter(counted, lambda x: x["tf"] > 0))) if asked_terms else lengths.select("token_sha", "length", F.lit("").alias("term"), F.lit(0).alias("tf")).filter("false")
     seen = asked.groupBy("term").agg(F.count("*").alias("df"))
-    rows = asked.join(seen, "term").join(lengths, "token_sha").crossJoin(F.broadcast(whole))  # one row
+    rows = asked.join(F.broadcast(seen), "term").crossJoin(F.broadcast(whole))  # a row per asked term; one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") * F.col("n") / F.col("total")))
     top = rows.groupBy("token_sha").agg(F.round(F.sum(part), 9).alias("score")).orderBy(F.desc("score"), "token_sha").limit(most)
@@ -133,7 +145,34 @@ def assembled(rows: DataFrame) -> DataFrame:
     return lines.agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda r: r["part"]), "\n")).alias("markdown"), F.count("*").alias("n_tokens"))
 
 
-def near_cases(left: Column, right: Column) -> Column:
-    """Shared words over the smaller word set; above 0.6 two cases are near duplicates."""
-    a, b = (F.array_distinct(F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != "")) for x in (left, right))
-    return F.try_divide(F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b)))
+def words(text: Column) -> Column:
+    """The distinct words of a text in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
+
+
+def near_cases(cases: DataFrame, known: DataFrame, least: float = 0.6) -> DataFrame:
+    """left_id, right_id, share of each case (id, text) and each known one of another id whose shared words are more than ``least`` of the smaller word set.
+
+    Exact: of a pair, the smaller set shares one of its rarest words, the first 1 - ``least`` of them by rising frequency,
+    with the other set. So the rare words of each side meet all words of the other, on the word; the pairs found are
+    then checked on their whole sets.
+    """
+
+    def sets(df: DataFrame) -> DataFrame:
+        return df.select("id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+
+    a, b = sets(cases), sets(known)
+    seen = b.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+
+    def listed(df: DataFrame) -> DataFrame:
+        """id, word, size, whether the word is one of the id's rare ones."""
+        rows = df.select("id", F.size("w").alias("size"), F.explode("w").alias("word")).join(seen, "word", "left")
+        place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "word"))
+        return rows.select("id", "word", "size", (place <= F.col("size") - F.floor(F.col("size") * least)).alias("rare"))
+
+    left, right = (listed(x).select(F.col("id").alias(f"{side}_id"), "word", F.col("size").alias(f"{side}_size"), F.col("rare").alias(f"{side}_rare")) for x, side in ((a, "left"), (b, "right")))
+    met = left.join(right, "word").filter("left_id <> right_id and (left_rare and left_size <= right_size or right_rare and right_size <= left_size)")
+    pairs = met.select("left_id", "right_id").distinct()
+    both = pairs.join(a.select(F.col("id").alias("left_id"), F.col("w").alias("x")), "left_id").join(b.select(F.col("id").alias("right_id"), F.col("w").alias("y")), "right_id")
+    share = F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y"))
+    return both.select("left_id", "right_id", share.alias("share")).filter(F.col("share") > least)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.scripts import stripped
+
 SCHEMA = "file string, line int, rule string, severity string, message string"
 # fixed values: severities as numbers for totals, and longest values
 SEVERITY = {"ERROR": 2.0, "WARNING": 1.0, "INFO": 0.2}
@@ -126,7 +128,7 @@ DDL_TYPES = "TEXT|MEMO|LONG|INTEGER|SINGLE|DOUBLE|CURRENCY|BIT|DATETIME|BYTE|GUI
 
 def ddl_rules(lines: DataFrame) -> DataFrame:
     """AV001 to AV005, AV007 and AV008 over lines (file, line, text) of SQL DDL, comments gone."""
-    text = F.regexp_replace("text", r"--.*$", "")
+    text = F.regexp_extract("text", r"^((?:[^'\-]|'[^']*'|-(?!-)|'[^']*$)*)", 1)
     column = F.lower(F.regexp_extract(text, rf"(?i)^\s*(\w+)\s+(?:{DDL_TYPES})\b", 1))
     table = F.regexp_extract(text, r"(?i)\bCREATE\s+TABLE\s+\[?(\w+)", 1)
     segments = F.filter(F.split(table, "_"), lambda s: ~s.rlike("^[A-Z][A-Za-z0-9]*$"))
@@ -148,8 +150,8 @@ def ddl_rules(lines: DataFrame) -> DataFrame:
 
 
 def script_rules(lines: DataFrame, fields: DataFrame, banned: list[str], statuses: list[str], demo_domains: list[str]) -> DataFrame:
-    """DG001, DG003, DG008, DG011, DG013, DG015, DG016, DG017, DG019 and DG021 line by line, and DG004 against the known ``fields`` (field)."""
-    text = F.regexp_replace("text", r"//.*$", "")
+    """DG001, DG003, DG008, DG011, DG013, DG015, DG016, DG017 and DG019 line by line, and DG004 against the known ``fields`` (field)."""
+    text = stripped(F.col("text"))
     call = F.regexp_extract(text, rf"\b({'|'.join(banned)})\s*\(", 1)
     address = F.lower(F.regexp_extract(text, r"[\w.+-]+@([\w-]+(?:\.[\w-]+)+)", 1))
     quoted = F.regexp_extract(text, r"'([^']*)'", 1)
@@ -160,7 +162,7 @@ def script_rules(lines: DataFrame, fields: DataFrame, banned: list[str], statuse
         ("DG003", "ERROR", scheduled & text.rlike(r"\bhoursBetween\b"), F.lit("hoursBetween in a schedule")),
         ("DG008", "ERROR", (quoted != "") & ~quoted.rlike(r"^\d{1,4}[-/:]\d{1,2}"), F.concat(F.lit("single quotes: "), quoted)),
         ("DG011", "WARNING", (status != "") & ~status.isin(*statuses), F.concat(F.lit("unknown status "), status)),
-        ("DG013", "WARNING", text.rlike(r"&&") & text.rlike(r"\|\|") & ~text.rlike(r"\([^()]*(?:&&|\|\|)[^()]*\)"), F.lit("mixed AND and OR")),
+        ("DG013", "WARNING", text.rlike(r"&&") & text.rlike(r"\|\|") & ~text.rlike(r"\([^)]*&&[^)]*\)\s*\|\||\|\|\s*\([^)]*&&[^)]*\)"), F.lit("mixed AND and OR")),
         ("DG015", "WARNING", address.isin(*demo_domains), F.concat(F.lit("demo address at "), address)),
         ("DG016", "INFO", (address != "") & ~address.isin(*demo_domains), F.concat(F.lit("address at "), address)),
         ("DG017", "ERROR", text.rlike(r"^\s*(?:return|if|else|for|while|true|false|null|input)\s*=(?!=)"), F.lit("assignment to a reserved word")),
@@ -172,6 +174,41 @@ def script_rules(lines: DataFrame, fields: DataFrame, banned: list[str], statuse
     )
 
 
+def rolled_up(diagnostics: DataFrame, by: list[str]) -> DataFrame:
+    """Count and total severity by the columns, by the first of them alone, and in all (null stands for all)."""
+    return diagnostics.rollup(*by).agg(F.count("*").alias("n_gaps"), F.round(F.sum(_weight()), 6).alias("residual"))
+
+
+def at_least(rows: DataFrame, severity: float) -> DataFrame:
+    return rows.filter(F.col("severity") >= severity)
+
+
+def in_order(diagnostics: DataFrame) -> DataFrame:
+    """By file, line and rule."""
+    return diagnostics.orderBy("file", "line", "rule")
+
+
+def coverage(rows: DataFrame, by: str, covered: Column) -> DataFrame:
+    """Share of a group's rows that are covered, in whole per cent rounded down."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.count_if(covered).alias("n_covered"), F.floor(100 * F.count_if(covered) / F.count("*")).cast("int").alias("percent"))
+
+
+def knowledge_rules(mappings: DataFrame, mentioned: DataFrame) -> DataFrame:
+    """HY017: mappings (table_name, field_name, field, risk) of high or medium risk whose type the knowledge base doesn't mention; HY018: fields that aren't lower-case and don't start with ID where it says nothing of camel case.
+
+    mentioned: word, of the knowledge base in lower case.
+    """
+    words = mentioned.select("word").distinct()
+    risky = mappings.filter(F.lower("risk").isin("high", "medium")).withColumn("word", F.lower("field"))
+    mixed = mappings.filter((F.col("field") != F.lower("field")) & ~F.col("field").startswith("ID")).withColumn("word", F.lit("camelcase"))
+    name = F.concat_ws(".", "table_name", "field_name")
+
+    def out(df: DataFrame, rule: str) -> DataFrame:
+        return df.join(words, "word", "left_anti").select(F.lit("schema").alias("file"), F.lit(0).alias("line"), F.lit(rule).alias("rule"), F.lit("INFO").alias("severity"), name.alias("message"))
+
+    return out(risky, "HY017").unionByName(out(mixed, "HY018"))
+
+
 def by_severity(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.groupBy("severity").agg(F.count("*").alias("n"))
 
@@ -184,8 +221,11 @@ def exit_code(diagnostics: DataFrame) -> DataFrame:
 
 def residual(diagnostics: DataFrame, by: list[str]) -> DataFrame:
     """Count and total severity per group."""
-    weight = F.try_element_at(F.create_map(*(F.lit(x) for pair in SEVERITY.items() for x in pair)), F.col("severity"))
-    return diagnostics.groupBy(*by).agg(F.count("*").alias("n_gaps"), F.round(F.sum(weight), 6).alias("residual"))
+    return diagnostics.groupBy(*by).agg(F.count("*").alias("n_gaps"), F.round(F.sum(_weight()), 6).alias("residual"))
+
+
+def _weight() -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in SEVERITY.items() for x in pair)), F.col("severity"))
 
 
 def hotspots(totals: DataFrame, most: int = 10) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scalars as C
 from weftline.functions import script as S
-from weftline.operators import audit, edges, relational, rules
+from weftline.operators import edges, relational, rules
 from weftline.sources import store
 from weftline.streaming import events as stream
 
@@ -62,10 +62,10 @@ def duplicate_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(l_quantity + 5, 6) AS a, round(l_extendedprice * l_discount, 6) AS b, round(CASE WHEN l_tax = 0 THEN 0 ELSE l_discount / l_tax END, 6) AS c,
-    round(CASE WHEN l_discount = 0 THEN 0 ELSE -l_quantity - l_discount * floor(-l_quantity / l_discount) END, 4) AS d FROM lineitem WHERE l_linenumber <= 2""")
+    round(CASE WHEN l_discount = 0 THEN 0 ELSE -l_quantity - l_discount * floor(-l_quantity / l_discount) END, 4) AS d FROM lineitem""")
 def compound_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, price, d, t = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
-    return _t(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select(
+    return _t(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.round(S.assigned(q, "+=", F.lit(5)), 6).alias("a"), F.round(S.assigned(price, "*=", d), 6).alias("b"),
         F.round(S.assigned(d, "/=", t), 6).alias("c"), F.round(S.assigned(-q, "%=", d), 4).alias("d"),
     )
@@ -123,11 +123,6 @@ def closest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.closest_name(_t(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct(), ["RED WIDGET", "small", "ring bolt", "blue"])
 
 
-@query()
-def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "part").select("p_partkey", relational.fuzzy_score(F.col("p_name"), "rw").alias("score")).filter("score is not null")
-
-
 # --- aggregates
 
 
@@ -243,10 +238,10 @@ def fn_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT l_orderkey, list_sort(list(l_quantity)) AS q FROM lineitem GROUP BY l_orderkey)
-    SELECT l_orderkey, list_append(q, 0.0) AS a, list_distinct(q) IS NOT NULL AS b, len(list_distinct(q))::INTEGER AS c, q[2:3] AS d, list_contains(q, 10.0) AS e, q[1] AS f, list_max(q) AS g, q[len(q) - 1] AS h, len(q)::INTEGER AS i,
-    round(list_avg(q), 6) AS j, list_filter(q, lambda x: x NOT IN (1.0, 2.0)) AS k FROM l WHERE len(q) >= 2""")
+    SELECT l_orderkey, list_append(q, 0.0) AS a, list_distinct(q) IS NOT NULL AS b, len(list_distinct(q))::INTEGER AS c, q[2:3] AS d, list_contains(q, 10.0) AS e, q[1] AS f, list_max(q) AS g, CASE WHEN len(q) > 1 THEN q[len(q) - 1] END AS h, len(q)::INTEGER AS i,
+    round(list_avg(q), 6) AS j, list_filter(q, lambda x: x NOT IN (1.0, 2.0)) AS k FROM l""")
 def fn_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_quantity")).alias("q")).filter(F.size("q") >= 2)
+    rows = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_quantity")).alias("q"))
     q, f = F.col("q"), C.LIST
     return _family(rows, "l_orderkey", {
         "a": f["add"](q, 0.0), "b": f["distinct"](q).isNotNull(), "c": f["size"](f["distinct"](q)), "d": f["subList"](q, 1, 3), "e": f["contains"](q, 10.0), "f": f["get"](q, 0), "g": f["largest"](q), "h": f["nthLargest"](q, 2),
@@ -262,12 +257,12 @@ def fn_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _family(_t(spark, sf_dir, "events"), "event_id", {"k": f["get"](m, "k"), "type": f["get"](m, "type"), "missing": f["get"](m, "none"), "n": f["size"](m), "keys": f["keys"](m), "has": f["containKey"](m, "user")})
 
 
-@query("""SELECT p_partkey, substr(p_name, 2, 3) AS mid, strpos(p_name, 'e') AS instr, regexp_full_match(p_name, 's.*r?ing') AS likes, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS iif, sign(p_size - 20)::DOUBLE AS sgn,
+@query("""SELECT p_partkey, substr(p_name, 2, 3) AS mid, strpos(p_name, 'e') AS instr, regexp_full_match(p_name, 's.*i.g') AS likes, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS iif, sign(p_size - 20)::DOUBLE AS sgn,
     make_date(1998, 2, 3) AS d, (p_size > 10) <> (p_size > 20) AS x FROM part""")
 def fn_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, s, f = F.col("p_name"), F.col("p_size"), C.ACCESS
     return _family(_t(spark, sf_dir, "part"), "p_partkey", {
-        "mid": f["Mid"](n, 2, 3), "instr": f["InStr"](n, "e").cast("long"), "likes": n.rlike("^s.*r?ing$"), "iif": f["IIf"](s > 25, "big", "small"), "sgn": f["Sgn"](s - 20), "d": f["DateSerial"](1998, 2, 3), "x": f["Xor"](s > 10, s > 20),
+        "mid": f["Mid"](n, 2, 3), "instr": f["InStr"](n, "e").cast("long"), "likes": f["Like"](n, "s*i?g"), "iif": f["IIf"](s > 25, "big", "small"), "sgn": f["Sgn"](s - 20), "d": f["DateSerial"](1998, 2, 3), "x": f["Xor"](s > 10, s > 20),
     })
 
 
@@ -384,35 +379,6 @@ def reference_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.reference_rules(rules.input_references(lines), known, mapped)
 
 
-_DDL = ["CREATE TABLE Claims (", "  Date DATETIME,", "  Rate SINGLE,", "  Photo BINARY,", "  [Full Name] TEXT(80),", "  No AUTOINCREMENT", ");", "SELECT * FROM Claims", "CREATE TABLE bad_name (", "INSERT INTO Claims VALUES (1)", "DROP TABLE Old;"]
-
-
-@query()
-def ddl_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.ddl_rules(spark.createDataFrame([("schema.sql", i + 1, x) for i, x in enumerate(_DDL)], "file string, line int, text string"))
-
-
-_SCRIPT = ["x = lpad(input.code, 3);", "status = \"Unknown\";", "n = 'hello';", "if (a == 1 && b == 2 || c == 3) {", "to : \"ann@demo.example.com\"", "to : \"bob@corp.example.org\"", "return = 3;", "Added_User = zoho.adminuserid", "h = hoursBetween(a, b);", "ok = '2024-01-01';"]
-
-
-@query()
-def script_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame([("scheduled/daily.dg", i + 1, x) for i, x in enumerate(_SCRIPT)], "file string, line int, text string")
-    return rules.script_rules(lines, spark.createDataFrame([("amount",)], "field string"), ["lpad", "rpad"], ["Open", "Closed"], ["demo.example.com"])
-
-
-@query()
-def app_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    make = spark.createDataFrame
-    gaps = audit.app_gaps(
-        make([("claims", "Expense approval app", 0, 1), ("notes", "A dashboard of notes", 2, 0)], "app string, overview string, n_pages int, n_blueprints int"),
-        make([("claims", "Claim", "status picklist"), ("notes", "Note", "title text")], "app string, form string, fields string"),
-        make([("claims", "Approve_Claim"), ("claims", "Close_It")], "app string, transition string"),
-        make([("claims", "on_add", "// on validate Claim\ninput.status = \"Open\"; x = Claim[ID == 1]; sendmail [ ]")], "app string, script string, code string"),
-    )
-    return audit.app_residual(gaps)
-
-
 # --- token store
 
 

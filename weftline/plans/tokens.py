@@ -112,14 +112,15 @@ def reachable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.bfs(e, start, 3)
 
 
-_PARTS = "SELECT 's' || l_suppkey AS source_sha, 'p' || l_partkey AS target_sha FROM lineitem WHERE l_suppkey < 20 UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_partkey % 7 = 0"
+_PARTS = "SELECT 's' || l_suppkey AS source_sha, 'p' || l_partkey AS target_sha FROM lineitem UNION ALL SELECT 'p' || l_partkey, 'c' || o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A directed graph between suppliers and parts with parallel edges and ends without outgoing edges."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    s, p = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
-    return lines.filter("l_suppkey < 20").select(s.alias("source_sha"), p.alias("target_sha")).unionAll(lines.filter("l_partkey % 7 = 0").select(p.alias("source_sha"), s.alias("target_sha")))
+    """The directed graph from suppliers to parts to customers of all lines, with parallel edges and ends without outgoing edges."""
+    lines, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    s, p, c = (F.concat(F.lit(k), F.col(x).cast("string")) for k, x in (("s", "l_suppkey"), ("p", "l_partkey"), ("c", "o_custkey")))
+    bought = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.select(s.alias("source_sha"), p.alias("target_sha")).unionAll(bought.select(p.alias("source_sha"), c.alias("target_sha")))
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({_PARTS})), w(node, depth) AS (
@@ -134,16 +135,16 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.neighbours(_parts(spark, sf_dir).withColumn("weight", F.lit(1.0)), "s0", 100)
 
 
-_ROUND = """, g{i} AS (SELECT e.target_sha AS node, sum(0.85 * r.rank / d.degree) AS got FROM r{j} r JOIN e ON e.source_sha = r.node JOIN d ON d.source_sha = r.node GROUP BY e.target_sha),
-    r{i} AS (SELECT n.node, (1 - 0.85) / (SELECT count(*) FROM n) + coalesce(g.got, 0) AS rank FROM n LEFT JOIN g{i} g ON g.node = n.node)"""
+_ROUND = """, g{i} AS MATERIALIZED (SELECT e.target_sha AS node, sum(0.85 * r.rank / d.degree) AS got FROM r{j} r JOIN e ON e.source_sha = r.node JOIN d ON d.source_sha = r.node GROUP BY e.target_sha),
+    r{i} AS MATERIALIZED (SELECT n.node, (1 - 0.85) / (SELECT count(*) FROM n) + coalesce(g.got, 0) AS rank FROM n LEFT JOIN g{i} g ON g.node = n.node)"""
 
 
-@query(f"WITH e AS ({_PARTS}), n AS (SELECT source_sha AS node FROM e UNION SELECT target_sha FROM e), d AS (SELECT source_sha, count(*) AS degree FROM e GROUP BY source_sha), r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank FROM n)"
-       + "".join(_ROUND.format(i=i, j=i - 1) for i in range(1, 6)) + " SELECT node, round(rank, 9) AS rank FROM r5")
+@query(f"WITH e AS MATERIALIZED ({_PARTS}), n AS MATERIALIZED (SELECT source_sha AS node FROM e UNION SELECT target_sha FROM e), d AS MATERIALIZED (SELECT source_sha, count(*) AS degree FROM e GROUP BY source_sha), r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank FROM n)"
+       + "".join(_ROUND.format(i=i, j=i - 1) for i in range(1, 21)) + " SELECT node, round(rank, 9) AS rank FROM r20")
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _parts(spark, sf_dir)
     nodes = e.select(F.col("source_sha").alias("node")).union(e.select("target_sha")).distinct()
-    return traverse.pagerank(e, nodes, 5).select("node", F.round("rank", 9).alias("rank"))
+    return traverse.pagerank(e, nodes).select("node", F.round("rank", 9).alias("rank"))
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -223,16 +224,13 @@ def assemble_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.assembled(_budget(spark, sf_dir))
 
 
-@query(r"""WITH c AS (SELECT doc_id, source, lang, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS w FROM documents WHERE n_chars < 400)
+@query(r"""WITH c AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS w FROM documents)
     SELECT a.doc_id AS left_id, b.doc_id AS right_id, round(len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)), 6) AS overlap
-    FROM c a JOIN c b ON a.source = b.source AND a.lang = b.lang AND a.doc_id < b.doc_id WHERE len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) > 0.6""")
+    FROM c a JOIN c b ON a.doc_id % 20 = 0 AND a.doc_id <> b.doc_id WHERE len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) > 0.6""")
 def near_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases are short documents of one source and language: the shadow cases of one entity."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("n_chars < 400").select("doc_id", "source", "lang", "text")
-    a, b = docs.alias("a"), docs.alias("b")
-    pairs = a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("a.lang") == F.col("b.lang")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    share = retrieval.near_cases(F.col("a.text"), F.col("b.text"))
-    return pairs.select(F.col("a.doc_id").alias("left_id"), F.col("b.doc_id").alias("right_id"), share.alias("share")).filter("share > 0.6").select("left_id", "right_id", F.round("share", 6).alias("overlap"))
+    """The new cases are the documents whose id is divisible by 20; all documents are the known ones."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    return retrieval.near_cases(docs.filter("id % 20 = 0"), docs).select("left_id", "right_id", F.round("share", 6).alias("overlap"))
 
 
 @query(r"""WITH h AS (SELECT url AS page_url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base, unnest(regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1)) AS href FROM pages),

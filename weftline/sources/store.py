@@ -9,8 +9,8 @@ from weftline.operators.lineage import cut
 
 
 def insert_tokens(store: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(store, rejected): keys that the store has, and repeats within the new rows, are refused."""
-    ranked = new.withColumn("_k", F.row_number().over(Window.partitionBy("token_sha").orderBy("token_sha")))
+    """(store, rejected): keys that the store has, and repeats within the new rows but for the least, are refused."""
+    ranked = new.withColumn("_k", F.row_number().over(Window.partitionBy("token_sha").orderBy(*(c for c in new.columns if c != "token_sha"))))
     held = store.select("token_sha")
     fresh = ranked.filter("_k = 1").drop("_k").join(held, "token_sha", "left_anti")
     rejected = ranked.filter("_k > 1").drop("_k").unionByName(ranked.filter("_k = 1").drop("_k").join(held, "token_sha", "left_semi"))
@@ -55,17 +55,21 @@ def exported(rows: DataFrame, database: str) -> DataFrame:
     return rows.select(F.to_json(F.struct("*", F.lit(database).alias("database"))).alias("json"))
 
 
-def batches(rows: DataFrame, order: list[str], record: Column, size: int = 200) -> DataFrame:
-    """batch, n_records, payload: requests of ``size`` records in order, for a sink that takes no more at once.
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their place in the order, from 0, as a long column ``name``.
 
     Rows are numbered in ranges of the order: a range's rows by a window, its start by the ranges' counts.
     """
-    spark = rows.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # written once: another run of the range exchange may cut the ranges elsewhere
-    ranged = cut(rows.select(*order, record.alias("_record")).repartitionByRange(width, *order).withColumn("_part", F.spark_partition_id()))
+    ranged = cut(rows.repartitionByRange(width, *order).withColumn("_part", F.spark_partition_id()))
     counted = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = counted.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per partition
     number = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    placed = ranged.withColumn("_k", number).join(F.broadcast(starts), "_part").withColumn("_i", F.col("_k") + F.col("_before")).withColumn("batch", F.floor(F.col("_i") / size).cast("long"))
+    return ranged.withColumn("_k", number).join(F.broadcast(starts), "_part").withColumn(name, F.col("_k") + F.col("_before")).drop("_k", "_part", "_before")
+
+
+def batches(rows: DataFrame, order: list[str], record: Column, size: int = 200) -> DataFrame:
+    """batch, n_records, payload: requests of ``size`` records in order, for a sink that takes no more at once."""
+    placed = numbered(rows.select(*order, record.alias("_record")), order, "_i").withColumn("batch", F.floor(F.col("_i") / size).cast("long"))
     return placed.groupBy("batch").agg(F.count("*").alias("n_records"), F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_record"))), lambda r: r["_record"])).alias("payload"))
