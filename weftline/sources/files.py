@@ -2,16 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions import script as S
+from weftline.operators.traverse import load_order
+
 
 def csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV with a header as text columns; types are the rules' concern."""
     return spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def numbered_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """``csv`` with file (its name) and line, the record's number from 2 in its file: a file with quoted line breaks is read by one task, in order."""
+    rows = csv(spark, path, columns).select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.monotonically_increasing_id().alias("_id"))
+    return rows.withColumn("line", (F.row_number().over(Window.partitionBy("file").orderBy("_id")) + 1).cast("int")).drop("_id")
+
+
+def preview(spark: SparkSession, path: str, columns: list[str], most: int = 50) -> DataFrame:
+    """The first records of a CSV."""
+    return csv(spark, path, columns).limit(most)
+
+
+def file_rules(files: DataFrame, tables: list[str]) -> DataFrame:
+    """Diagnostics of files (file, header): VD001 where the stem is no known table, VD002 where a known table's header is empty."""
+    stem = F.regexp_replace("file", r"\.[^.]*$", "")
+    known = stem.isin(*tables)
+    found = F.when(~known, F.struct(F.lit("VD001").alias("rule"), F.lit("INFO").alias("severity"), F.concat(F.lit("unknown table "), stem).alias("message"))).when(
+        F.trim(F.coalesce("header", F.lit(""))) == "", F.struct(F.lit("VD002").alias("rule"), F.lit("ERROR").alias("severity"), F.lit("no header").alias("message"))
+    )
+    return files.select("file", F.lit(1).alias("line"), found.alias("f")).filter("f is not null").select("file", "line", "f.rule", "f.severity", "f.message")
+
+
+def export_tables(tables: dict[str, DataFrame], keys: list[tuple[str, str]], folder: str) -> list[str]:
+    """Writes each table as CSV with a header under folder/name, as the exporter prints values: parents before children (keys: child, parent), then the rest by name.
+
+    System tables (MSys*) are left out. Returns the names in order; only names are looped over here.
+    """
+    named = {n: df for n, df in tables.items() if not n.startswith("MSys")}
+    first = [n for n in load_order([k for k in keys if k[0] in named and k[1] in named]) if n in named]
+    order = first + sorted(set(named) - set(first))
+    kinds = {"string": "text", "boolean": "boolean", "timestamp": "time", "timestamp_ntz": "time", "date": "time", "double": "decimal", "float": "decimal"}
+    for n in order:
+        df = named[n]
+        printed = [S.exported(F.col(c), kinds.get(t, "decimal" if t.startswith("decimal") else "integer")).alias(c) for c, t in df.dtypes]
+        df.select(printed).write.option("header", True).option("emptyValue", "").mode("overwrite").csv(f"{folder}/{n}")
+    return order
+
+
 def for_upload(rows: DataFrame, excluded: list[str]) -> DataFrame:
     """record: a map of the non-empty values of the other columns; records without any drop out."""
     kept = [c for c in rows.columns if c not in excluded]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,11 @@ def replace_module(table: DataFrame, new: DataFrame, module: str) -> DataFrame:
     return table.filter(~F.col("module").eqNullSafe(F.lit(module))).unionByName(new.select(table.columns))
 
 
+def purged(store: DataFrame) -> tuple[DataFrame, int]:
+    """The store without its tokens, and how many went."""
+    return store.filter("false"), store.count()
+
+
 def exported(rows: DataFrame, database: str) -> DataFrame:
     return rows.select(F.to_json(F.struct("*", F.lit(database).alias("database"))).alias("json"))
 
@@ -69,6 +76,12 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return ranged.withColumn("_k", number).join(F.broadcast(starts), "_part").withColumn(name, F.col("_k") + F.col("_before")).drop("_k", "_part", "_before")
 
 
+def ordered_batches(tables: dict[str, DataFrame], order: list[str], key: str, size: int = 200) -> DataFrame:
+    """place, table_name, batch, n_records, payload of all tables in the order of upload (parents first); each has a column ``key``."""
+    parts = [batches(tables[n], [key], F.struct("*"), size).select(F.lit(i).alias("place"), F.lit(n).alias("table_name"), "batch", "n_records", "payload") for i, n in enumerate(order)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def batches(rows: DataFrame, order: list[str], record: Column, size: int = 200) -> DataFrame:
     """batch, n_records, payload: requests of ``size`` records in order, for a sink that takes no more at once."""
     placed = numbered(rows.select(*order, record.alias("_record")), order, "_i").withColumn("batch", F.floor(F.col("_i") / size).cast("long"))
