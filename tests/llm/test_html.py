@@ -114,3 +114,14 @@ def test_wrappers_with_words_of_noise_stay():
     ):
         assert html.main_texts([page]) == ["The whole story is told here"], page
     assert html.main_texts(["<div>Body text that has no mark of its own</div><div class='sidebar'><article>Tease</article></div>"]) == ["Body text that has no mark of its own\nTease"]
+
+
+def test_unique_runs_of_covered_blocks_stay():
+    opening = "welcome to the pages of our house where everything you read is told"
+    pages = [f"<p>{opening} {end}</p><p>own text of page {n} stands here alone</p>" for n, end in enumerate(("and now a tale of seven red foxes", "but first the price of wheat in may", "17", "while rivers rise in the early spring"))]
+    got = html.main_texts(pages)
+    assert got[0].split("\n")[0] == "and now a tale of seven red foxes"
+    assert got[1].split("\n")[0] == "but first the price of wheat in may"
+    assert got[2] == "own text of page 2 stands here alone"
+    assert html.unique_runs("a b c d e f", np.array([1, 1, 0, 0, 0, 0], bool)) == "c d e f"
+    assert html.unique_runs("a b c d e f", np.array([0, 0, 0, 1, 1, 1], bool)) == ""

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import itertools
+from collections import Counter, defaultdict
+
 import numpy as np
 
 from weftline.llm import groups, near
@@ -84,3 +87,23 @@ def test_odd_rows(odd_docs, no_docs):
     assert [r.n_links for r in got if r.doc_id == 1] == [1, 1]
     assert all(r.n_links == 0 and r.class_id == r.doc_id for r in got if r.doc_id in (2, 3, 4))
     assert near.near_classes(no_docs).count() == 0
+
+
+def test_links_of_the_documents_by_brute_force(spark):
+    """Every pair of sf0.01 with Jaccard similarity of 0.8 or more over 5-word shingles is linked, and no other."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = {}
+    for r in rows:
+        w = r.text.lower().split() if r.text else []
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    holders = defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            holders[g].append(i)
+    shared = Counter((a, b) for ids in holders.values() for a, b in itertools.combinations(sorted(ids), 2))
+    linked = {p for p, n in shared.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+    links = Counter(i for p in linked for i in p)
+    got = {r.doc_id: r.n_links for r in near.near_classes(spark.createDataFrame(rows)).collect()}
+    assert len(linked) > 50
+    missed = sum(abs(links[i] - n) for i, n in got.items())
+    assert missed <= 2 * len(linked) // 100  # recall of the bands is 0.999 at the threshold

@@ -3,8 +3,8 @@
 Each page's HTML is read into text blocks, each with its place in the page: inside or outside a main region
 (article, main, or an element named as content). The suffixes of the blocks' token streams, hashed by prefix doubling
 up to DEPTH tokens and seeded by the host, are counted over all pages of the host, however many: those that stand on
-several pages with distinct token streams are repeated. Blocks outside a main region that such suffixes cover are
-boilerplate; the unique runs stay. In a main region, where articles may be copied, a block goes only if such suffixes
+several pages with distinct token streams are repeated. Of blocks outside a main region that such suffixes cover only
+the unique runs of UNIQUE tokens or more stay. In a main region, where articles may be copied, a block goes only if such suffixes
 stand on SITE_SHARE of the host's pages, and not if most of the region would go: that is a copy. Pages with equal
 token streams count once; short whole blocks, such as headings, and nearly whole pages go only by SITE_SHARE too.
 """
@@ -28,6 +28,7 @@ from weftline.llm.session import cut, mapped
 
 DEPTH = 8  # tokens of a repeated substring; shorter blocks repeat as a whole
 COVERED = 0.5  # share of a block's tokens under repeated substrings that makes it boilerplate
+UNIQUE = 4  # least tokens of a run of a covered block that stays; shorter ones are page numbers, dates and the like
 LEAST_PAGES = 3  # distinct pages of a host with a suffix that is repeated; of two, one may be a copy of the other
 COPIED = 0.9  # share of a page's tokens under repeats that aren't the site's that makes it a copy
 SITE_PAGES = 5  # least distinct pages, and
@@ -298,8 +299,11 @@ def _texts(s: Streams, counts: tuple[np.ndarray, np.ndarray]) -> list[str]:
     number, all_ = _found(counts, s.value), _found(counts, s.host)[s.page]
     count = np.diff(s.first)
 
+    def cover(suffixes: np.ndarray) -> np.ndarray:
+        return covered(np.where(suffixes, s.length, 0))
+
     def boilerplate(suffixes: np.ndarray) -> np.ndarray:
-        under = np.r_[0, np.cumsum(covered(np.where(suffixes, s.length, 0)))]
+        under = np.r_[0, np.cumsum(cover(suffixes))]
         return (under[s.first[1:]] - under[s.first[:-1]]) > COVERED * np.maximum(count, 1)
 
     def tokens(some: np.ndarray) -> np.ndarray:
@@ -307,20 +311,36 @@ def _texts(s: Streams, counts: tuple[np.ndarray, np.ndarray]) -> list[str]:
         return np.bincount(s.owner[some], count[some], len(s.stream))
 
     wide = (number >= LEAST_PAGES) & (number >= SITE_SHARE * all_)
-    repeats, whole = boilerplate(wide | (number >= LEAST_PAGES) & (s.length == DEPTH)), boilerplate(wide)
+    often = wide | (number >= LEAST_PAGES) & (s.length == DEPTH)
+    repeats, whole = boilerplate(often), boilerplate(wide)
     repeats &= whole | (tokens(repeats & ~whole) <= COPIED * tokens(~whole))[s.owner]
     site = s.inside & boilerplate(wide & (number >= SITE_PAGES))
     site &= (2 * tokens(site) <= tokens(s.inside))[s.owner]
     # a page with a main region has its article there; of another page the blocks that are its own
     has_main = np.zeros(len(s.stream), bool)
     has_main[s.owner[s.inside]] = True
-    kept = np.where(has_main[s.owner], s.inside & ~site, ~repeats)
+    asked = np.where(has_main[s.owner], s.inside, True)
+    gone = np.where(has_main[s.owner], site, repeats)
+    under = {True: cover(wide & (number >= SITE_PAGES)), False: cover(often)}  # by whether the page has a main region
     lines: list[list[str]] = [[] for _ in s.stream]
-    for i in np.flatnonzero(kept):
-        lines[s.owner[i]].append(s.texts[i])
+    for i in np.flatnonzero(asked):
+        text = s.texts[i]
+        if gone[i]:
+            text = unique_runs(text, under[bool(has_main[s.owner[i]])][s.first[i] : s.first[i + 1]])
+        if text:
+            lines[s.owner[i]].append(text)
     return ["\n".join(x) for x in lines]
 
 
+def unique_runs(text: str, under: np.ndarray) -> str:
+    """The runs of UNIQUE or more tokens of a block that aren't covered, joined by blanks; none if tokens aren't its words."""
+    words = text.split(" ")
+    if len(words) != len(under):
+        return ""
+    edge = np.flatnonzero(np.diff(np.r_[True, under, True].astype(np.int8)))
+    return " ".join(" ".join(words[a:b]) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= UNIQUE)
+
+
 def main_texts(pages: list[str]) -> list[str]:
     """The main text of each of some pages of one host."""
     s = streams(pages, np.zeros(len(pages), np.uint64))
