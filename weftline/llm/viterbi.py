@@ -248,7 +248,11 @@ def _encoded(path: str):
 
 
 def encode_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``docs`` with ids, an array of piece ids of the whole text. Null text: null; empty: no ids. A column ids is replaced, others stay."""
+    """``docs`` with ids, an array of piece ids of the whole text, however long. Null text: null; empty: no ids.
+
+    Of segmentations with equal sums the one with the longer last piece counts. Repeated rows repeat, an empty table gives no
+    rows. A column ids is replaced, others stay whatever their names.
+    """
     docs = docs.drop("ids")
     return mapped(docs, _encoded(path or P.default_path()), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
@@ -271,7 +275,9 @@ def _decoded(path: str):
 
 
 def decode_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``docs`` with decoded, the text of the column ids (null: null). A column decoded is replaced, others stay."""
+    """``docs`` with decoded, the text of the column ids (null: null; no ids: empty), of any length. Repeated rows repeat, an
+    empty table gives no rows. A column decoded is replaced, others stay.
+    """
     docs = docs.drop("decoded")
     return mapped(docs, _decoded(path or P.default_path()), T.StructType([*docs.schema.fields, T.StructField("decoded", T.StringType())]))
 
@@ -289,6 +295,9 @@ def _counted(path: str):
 
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``docs`` with n_pretokens and n_tokens of the whole text; null and empty texts have 0. Columns with these names are replaced, others stay."""
+    """``docs`` with n_pretokens and n_tokens of the whole text, however long; null and empty texts have 0. Ties are as in
+    ``encode_texts``, so n_tokens is its number of ids. Repeated rows repeat, an empty table gives no rows. Columns with these
+    names are replaced, others stay.
+    """
     docs = docs.drop("n_pretokens", "n_tokens")
     return mapped(docs, _counted(path or P.default_path()), T.StructType([*docs.schema.fields, T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())]))
