@@ -37,35 +37,35 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, root) of every node that has an edge and is not the least of its component.
 
-    ``edges`` has the columns a and b. Alternates the large-star and small-star steps until the
-    edges stay the same; each step is an aggregation with map-side minima and an equi-join, and each
+    ``edges`` has the columns a and b. Alternates the large-star and small-star steps until the edges
+    are stars around least nodes; each step is an aggregation with map-side minima and an equi-join, and each
     round is checkpointed. The minima of nodes that have over a HOT-th of all ends, of which there can be only HOT, are
     broadcast, so that no task gets all edges of a hub. Null ends and loops are left out; no edges give no rows.
     """
     now = cut(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = _digest(now)
     for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = _told(both, least, 2 * seen[0] / HOT).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        now = cut(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        digest = _digest(now)
-        if digest == seen:
+        turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+        both = now.select(F.inline(F.array(F.struct("a", "b"), turned)))
+        ends = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"), F.count_if(F.col("b") < F.col("a")).alias("up")).persist()
+        most, total, open_ends = ends.agg(F.max("n"), F.sum("n"), F.count_if(F.expr("up > 1 or up = 1 and n > 1"))).first()
+        if not open_ends:
+            ends.unpersist()
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = digest
+        large = _told(now, ends.select(F.col("a").alias("b"), F.least("a", "m").alias("m"), "n"), most, total / HOT).select("a", F.col("m").alias("b"))
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        now = cut(small.select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).filter("a <> b").distinct())
+        ends.unpersist()
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def _told(both: DataFrame, least: DataFrame, many: float) -> DataFrame:
-    """``both`` with each node's minimum m; those of nodes with over ``many`` ends, fewer than HOT, are broadcast."""
-    if (least.agg(F.max("n")).first()[0] or 0) <= many:
-        return both.join(least.drop("n"), "a")
-    told = both.join(F.broadcast(least.filter(F.col("n") > many).drop("n")), "a", "left")
-    rest = told.filter("m is null").drop("m").join(least.filter(F.col("n") <= many).drop("n"), "a")
-    return told.filter("m is not null").unionByName(rest)
+def _told(edges: DataFrame, least: DataFrame, most: int, many: float) -> DataFrame:
+    """``edges`` with the minimum m of their end b; minima of ends with over ``many`` edges, fewer than HOT, are broadcast.
 
-
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+    Edges of such a hub are dealt by their other end, and meet nothing in the join of the rest.
+    """
+    if most <= many:
+        return edges.join(least.drop("n"), "b")
+    hubs = least.filter(F.col("n") > many).select("b", F.col("m").alias("hub_m"))
+    told = edges.join(F.broadcast(hubs), "b", "left").withColumn("at", F.when(F.col("hub_m").isNull(), F.col("b")).otherwise(F.col("a"))).withColumn("hub", F.col("hub_m").isNotNull())
+    rest = least.filter(F.col("n") <= many).select(F.col("b").alias("at"), F.lit(False).alias("hub"), "m")
+    return told.join(rest, ["at", "hub"], "left").select("a", "b", F.coalesce("hub_m", "m").alias("m"))
