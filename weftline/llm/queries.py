@@ -12,6 +12,7 @@ from weftline.llm.fingerprint import fingerprints
 from weftline.llm.html import extract
 from weftline.llm.near import near_classes
 from weftline.llm.packing import pack
+from weftline.llm.phrases import collocations
 from weftline.llm.pii import replace_pii
 from weftline.llm.session import table
 from weftline.llm.topk import top_k
@@ -79,6 +80,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_html_extraction": op2_html_extraction,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,4 +114,39 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op13_phrase_collocations": """
+        WITH w AS (
+            SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w
+            FROM (
+                SELECT coalesce(lang, 'und') AS lang,
+                       unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+                FROM documents
+            )
+        ), t AS (
+            SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+        ), f AS (
+            SELECT lang, g, len(g) AS m, count(*) AS f
+            FROM (SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda m: list_transform(range(1, len(w) - m + 2), lambda i: w[i : i + m - 1])))) AS g FROM w)
+            GROUP BY lang, g HAVING count(*) >= 100
+        ), c AS (
+            SELECT f.lang, f.g, f.m, f.f AS a, k.k FROM f, (SELECT unnest(range(1, 5)) AS k) AS k WHERE k.k < f.m
+        ), s AS (
+            SELECT c.lang, c.g, c.m, c.a, x.f AS l, y.f AS r, t.n, c.k,
+                   CAST(CAST(1000 AS HUGEINT) * c.a * t.n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+            FROM c JOIN t ON t.lang = c.lang
+            JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : c.k] JOIN f y ON y.lang = c.lang AND y.g = c.g[c.k + 1 : c.m]
+        ), b AS (
+            SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+        ), i AS (
+            SELECT lang, g, max(f) AS most
+            FROM (SELECT lang, f, unnest(flatten(list_transform(range(2, m), lambda p: list_transform(range(1, m - p + 2), lambda i: g[i : i + p - 1])))) AS g FROM f WHERE m > 2)
+            GROUP BY lang, g
+        ), o AS (
+            SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, b.l, b.r, b.n, b.score
+            FROM b LEFT JOIN i ON i.lang = b.lang AND i.g = b.g WHERE i.most IS NULL OR 100 * i.most < 100 * b.a
+        ), z AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM o
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM z WHERE rank <= 2000
+    """,
 }
