@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import langid, quality, whitening
+from weftline.llm import langid, quality, toxicity, whitening
 from weftline.llm.fingerprint import fingerprints
 from weftline.llm.html import extract
 from weftline.llm.near import near_classes
@@ -80,6 +80,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~toxicity.held_out()))
+    return toxicity.rate(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_toxicity": op12_toxicity,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 
