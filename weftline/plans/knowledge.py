@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +26,11 @@ def query(sql: str | None = None):
 
 # --- pages to markdown
 
-_DECODED = "piece"
-for _a, _b in markdown.REFERENCES:
-    _DECODED = f"replace({_DECODED}, '{_a}', '{_b.replace(chr(39), chr(39) * 2)}')"
+# all named references of the standard, for the SQL
+_NAMES = ", ".join("'{}': '{}'".format(k, v.replace("'", "''")) for k, v in sorted(html.entities.html5.items()))
+_DECODED = f"""array_to_string(list_transform(regexp_extract_all(piece, '(&#?[0-9a-zA-Z]{{1,32}};|[^&]+|&)', 1), lambda x: CASE
+            WHEN regexp_matches(x, '^&#[0-9]+;$') THEN chr(CAST(regexp_extract(x, '[0-9]+') AS INTEGER)) WHEN regexp_matches(x, '^&#[xX][0-9a-fA-F]+;$') THEN chr(CAST('0x' || regexp_extract(x, '^&#.([0-9a-fA-F]+)', 1) AS INTEGER))
+            WHEN x LIKE '&_%' THEN coalesce(map_extract(MAP {{{_NAMES}}}, substr(x, 2))[1], x) ELSE x END), '')"""
 
 
 def _cases(values: dict[str, str]) -> str:
@@ -36,18 +40,25 @@ def _cases(values: dict[str, str]) -> str:
 # the tags of a page in order, with list depth, preformatted text and links as windows
 MARKDOWN_SQL = f"""
 WITH pieces AS (
-    SELECT page_id, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS i FROM (SELECT page_id, regexp_extract_all(html, '{markdown.PIECE}', 1) AS p FROM pages)
+    SELECT page_id, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS i
+    FROM (
+        SELECT page_id, regexp_extract_all(html, '(?s)(<!--.*?-->|<(?i:script)(?:\\s[^>]*)?>.*?</(?i:script)\\s*>|<(?i:style)(?:\\s[^>]*)?>.*?</(?i:style)\\s*>|</?[a-zA-Z](?:[^>"'']|"[^"]*"|''[^'']*'')*>|<[!?/][^>]*>|[^<]+|<)', 1) AS p FROM pages
+    )
+), flagged AS (
+    SELECT *, regexp_matches(piece, '(?is)^<(script|style)(\\s[^>]*)?>.*</') AS raw FROM pieces
 ), tags AS (
-    SELECT *, lower(regexp_extract(piece, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name, starts_with(piece, '</') AS shut,
-           coalesce(nullif(regexp_extract(piece, '(?i)\\shref\\s*=\\s*"([^"]*)"', 1), ''), regexp_extract(piece, '(?i)\\shref\\s*=\\s*''([^'']*)''', 1)) AS href_ FROM pieces
+    SELECT *, CASE WHEN raw THEN '' ELSE lower(regexp_extract(piece, '^</?([a-zA-Z][^\\s/>]*)', 1)) END AS name, starts_with(piece, '</') AS shut,
+           coalesce(nullif(regexp_extract(piece, '(?i)\\shref\\s*=\\s*"([^"]*)"', 1), ''), regexp_extract(piece, '(?i)\\shref\\s*=\\s*''([^'']*)''', 1)) AS href_ FROM flagged
 ), placed AS (
     SELECT *, greatest(0, sum(CASE WHEN name IN ('ul', 'ol') THEN CASE WHEN shut THEN -1 ELSE 1 END ELSE 0 END) OVER w) AS depth,
            coalesce(last_value(CASE WHEN name = 'pre' THEN NOT shut END IGNORE NULLS) OVER w, false) AS pre, coalesce(last_value(CASE WHEN name = 'a' THEN NOT shut END IGNORE NULLS) OVER w, false) AS linked,
            last_value(CASE WHEN name = 'a' AND NOT shut THEN href_ END IGNORE NULLS) OVER w AS href, min(CASE WHEN name = 'a' AND shut THEN i END) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS link_end
     FROM tags WINDOW w AS (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING)
 ), made AS (
-    SELECT *, name = '' AND NOT regexp_matches(piece, '^<[!?/]') AS is_text, CASE
-        WHEN name = '' AND NOT regexp_matches(piece, '^<[!?/]') THEN CASE WHEN linked AND link_end IS NULL THEN '' ELSE {_DECODED} END
+    SELECT *, raw OR name = '' AND NOT regexp_matches(piece, '^<[!?/]') AS is_text, CASE
+        WHEN (raw OR name = '' AND NOT regexp_matches(piece, '^<[!?/]')) AND linked AND link_end IS NULL THEN ''
+        WHEN raw THEN regexp_extract(piece, '(?is)^<(?:script|style)[^>]*>(.*)</[a-z]+\\s*>$', 1)
+        WHEN name = '' AND NOT regexp_matches(piece, '^<[!?/]') THEN {_DECODED}
         WHEN name = '' THEN ''
         WHEN shut THEN CASE WHEN regexp_matches(name, '^h[1-6]$') THEN chr(10) WHEN name = 'a' THEN '](' || coalesce(href, '') || ')' WHEN name = 'code' THEN CASE WHEN pre THEN '' ELSE '`' END ELSE {_cases(markdown.CLOSES)} END
         WHEN regexp_matches(name, '^h[1-6]$') THEN chr(10) || repeat('#', CAST(substr(name, 2, 1) AS INTEGER)) || ' '
@@ -92,12 +103,12 @@ def html_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""SELECT page_id, 'site/' || CASE WHEN trim(p, '/') = '' THEN 'index' ELSE replace(trim(p, '/'), '/', '_') END || '.md' AS md_path, CASE WHEN page_id % 2 = 0 THEN ['site', 'start', url] ELSE ['site', url] END AS crumbs,
-    '"' || replace(replace(replace(replace(substr(html, 1, 300), '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '') || '"' AS quoted FROM (SELECT *, regexp_extract(url, '^[a-zA-Z][\w+.\-]*://[^/?#]*([^?#]*)', 1) AS p FROM pages)""")
+    '"' || replace(replace(replace(replace(html, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '') || '"' AS quoted FROM (SELECT *, regexp_extract(url, '^[a-zA-Z][\w+.\-]*://[^/?#]*([^?#]*)', 1) AS p FROM pages)""")
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     parent = F.when(F.col("page_id") % 2 == 0, "start")
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select(
         "page_id", markdown.markdown_path(F.col("url"), F.lit("site")).alias("md_path"), markdown.breadcrumb(F.col("url"), parent, F.lit("site")).alias("crumbs"),
-        F.concat(F.lit('"'), markdown.yaml_escaped(F.substring("html", 1, 300)), F.lit('"')).alias("quoted"),
+        F.concat(F.lit('"'), markdown.yaml_escaped(F.col("html")), F.lit('"')).alias("quoted"),
     )
 
 
