@@ -85,3 +85,66 @@ def front_matter(files: DataFrame) -> DataFrame:
 def database(spark: SparkSession, url: str, table: str, options: dict[str, str] | None = None) -> DataFrame:
     """A table over JDBC, for migration sources whose driver is on the class path."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **(options or {})).load()
+
+
+CELLS = 1000  # in which the keys of a scanned table are counted
+
+
+def key_ranges(spark: SparkSession, url: str, table: str, key: str, parts: int, options: dict[str, str] | None = None) -> list[str]:
+    """Conditions that part the rows of a database table by a numeric key into about ``parts`` ranges of like numbers of rows; together they hold every row once.
+
+    The database is asked for the key's bounds and then for the counts of CELLS equal cells between them, so that a gap or a crowd of keys makes
+    ranges wider or narrower. One cell isn't parted further. Null keys go with the first range; an empty table is one range.
+    """
+    def asked(query: str) -> DataFrame:
+        return spark.read.format("jdbc").options(url=url, query=query, **(options or {})).load()
+
+    low, high = asked(f"select min({key}) as low, max({key}) as high from {table}").first()
+    if low is None:
+        return ["1 = 1"]
+    width = max(1, -(-(int(high) - int(low) + 1) // CELLS))
+    cell = f"({key} - ({int(low)})) / {width}"
+    counts = sorted((int(c), int(n)) for c, n in asked(f"select c, count(*) as n from (select cast({cell} as bigint) as c from {table} where {key} is not null) t group by c").collect())  # at most CELLS rows
+    goal, held, cuts = sum(n for _, n in counts) / max(1, parts), 0, []
+    for c, n in counts[:-1]:
+        held += n
+        if held >= goal:
+            cuts.append(int(low) + (c + 1) * width)
+            held = 0
+    bounds = [None, *cuts, None]
+    return [
+        " and ".join([*([f"{key} >= {a}"] if a is not None else []), *([f"{key} < {b}"] if b is not None else [])]) + (f" or {key} is null" if a is None and b is not None else "") or "1 = 1"
+        for a, b in zip(bounds, bounds[1:], strict=False)
+    ]
+
+
+def database_ranges(spark: SparkSession, url: str, table: str, key: str, parts: int, options: dict[str, str] | None = None) -> DataFrame:
+    """A database table read by ``parts`` tasks or so, each a range of a numeric key; filters and columns go to the database with it."""
+    return spark.read.jdbc(url, table, predicates=[f"({r})" for r in key_ranges(spark, url, table, key, parts, options)], properties=options or {})
+
+
+def import_order(spark: SparkSession, url: str, schema: str, options: dict[str, str] | None = None) -> list[str]:
+    """Tables of a database schema so that those a foreign key points to come first, by the database's own catalogue; ties by name. A cycle raises, a key to itself doesn't count."""
+    jvm = spark.sparkContext._jvm
+    properties = jvm.java.util.Properties()
+    for k, v in (options or {}).items():
+        properties.setProperty(k, v)
+    if options and "driver" in options:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(options["driver"])
+    connection = jvm.java.sql.DriverManager.getConnection(url, properties)
+    try:
+        catalogue = connection.getMetaData()
+        found = catalogue.getTables(None, schema, "%", None)
+        names = []
+        while found.next():
+            if found.getString("TABLE_TYPE") == "TABLE":
+                names.append(found.getString("TABLE_NAME"))
+        pairs = []
+        for name in names:
+            keys = catalogue.getImportedKeys(None, schema, name)
+            while keys.next():
+                pairs.append((name, keys.getString("PKTABLE_NAME")))
+    finally:
+        connection.close()
+    ordered = load_order([p for p in pairs if p[0] != p[1]])
+    return ordered + sorted(set(names) - set(ordered))
