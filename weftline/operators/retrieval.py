@@ -171,8 +171,10 @@ def near_cases(cases: DataFrame, known: DataFrame, least: float = 0.6) -> DataFr
         return rows.select("id", "word", "size", (place <= F.col("size") - F.floor(F.col("size") * least)).alias("rare"))
 
     left, right = (listed(x).select(F.col("id").alias(f"{side}_id"), "word", F.col("size").alias(f"{side}_size"), F.col("rare").alias(f"{side}_rare")) for x, side in ((a, "left"), (b, "right")))
-    met = left.join(right, "word").filter("left_id <> right_id and (left_rare and left_size <= right_size or right_rare and right_size <= left_size)")
-    pairs = met.select("left_id", "right_id").distinct()
+    # a word that is rare on neither side never meets itself
+    rising = left.filter("left_rare").join(right, "word").filter("left_id <> right_id and left_size <= right_size")
+    falling = right.filter("right_rare").join(left, "word").filter("left_id <> right_id and right_size <= left_size")
+    pairs = rising.select("left_id", "right_id").unionByName(falling.select("left_id", "right_id")).distinct()
     both = pairs.join(a.select(F.col("id").alias("left_id"), F.col("w").alias("x")), "left_id").join(b.select(F.col("id").alias("right_id"), F.col("w").alias("y")), "right_id")
     share = F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y"))
     return both.select("left_id", "right_id", share.alias("share")).filter(F.col("share") > least)

@@ -1,4 +1,4 @@
-"""Queries over a stored index of the page tokens: phrases, modules, changes."""
+"""Queries over a stored index of the page tokens (phrases, modules, changes), and over the links of pages and their hosts."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators import links
 from weftline.operators.lineage import cut, shared
 from weftline.plans.pages import TOKENS_SQL, page_tokens
 from weftline.sources import textindex
@@ -76,3 +77,30 @@ def indexed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     textindex.apply_batch(path, older, 1)
     textindex.apply_batch(path, gone, 3)
     return textindex.read(spark, path).select("term", "token_sha", F.size("positions").cast("long").alias("tf"), F.col("positions")[0].alias("first"))
+
+
+@query(r"""WITH h AS (SELECT DISTINCT url AS page_url, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '<a\s[^>]*?href="([^"]*)"', 1)) AS href FROM pages),
+        t AS (SELECT page_url, regexp_replace(regexp_extract(page_url, '^(https?://[^/?#]+)', 1) || regexp_replace(href, '#.*$', ''), '[/?]+$', '') AS target FROM h WHERE starts_with(href, '/') AND NOT starts_with(href, '//'))
+    SELECT DISTINCT page_url, target FROM t WHERE NOT regexp_matches(target, '^https?://[^/?#]+/([^?#]*/)?[^/?#]*\.[^./?#]+$') OR regexp_matches(target, '\.html?$')""")
+def site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of every page to pages of its own host."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("page_url"), "html")
+    return links.page_links(pages, same_section=False).select("page_url", "target").distinct()
+
+
+ALIAS = {"alias.example.com": "main.example.com"}
+
+
+@query(r"""WITH p AS (SELECT 'https://alias.example.com/p/' || page_id AS url, page_id, sha256(trim(regexp_replace(html, '\s+', ' ', 'g'))) AS h FROM pages WHERE html <> ''),
+        r AS (SELECT *, row_number() OVER (ORDER BY md5(url), url) AS k FROM p), s AS (SELECT * FROM r WHERE k <= greatest(1, CAST(floor((SELECT count(*) FROM p) * 0.3::DOUBLE) AS BIGINT))),
+        c AS (SELECT (SELECT count(*) FROM p) AS pool, count(*) AS sampled, count(*) FILTER (WHERE page_id % 5 <> 0) AS compared, count(*) FILTER (WHERE page_id % 5 <> 0 AND page_id % 7 <> 0) AS equal FROM s)
+    SELECT 'alias.example.com' AS alias, 'main.example.com' AS canonical, *, equal / compared AS share, equal / compared >= 0.8 AS equivalent FROM c""")
+def alias_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page under an alias host; its main host lacks every fifth and serves another text for every seventh."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").filter("html <> ''").select("page_id", "html")
+
+    def under(name: str, html) -> DataFrame:
+        return p.select(F.concat(F.lit(f"https://{name}/p/"), F.col("page_id").cast("string")).alias("url"), html.alias("html"), "page_id")
+
+    main = under("main.example.com", F.when(F.col("page_id") % 7 == 0, F.lit("another text")).otherwise(F.col("html"))).filter("page_id % 5 <> 0")
+    return links.alias_sample(under("alias.example.com", F.col("html")).unionByName(main).drop("page_id"), ALIAS)
