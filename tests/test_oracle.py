@@ -7,11 +7,11 @@ import math
 import duckdb
 import pytest
 
-from weftline.plans import catalogue, knowledge, lint, records, search, tokens
+from weftline.plans import catalogue, flows, knowledge, lint, records, search, tokens
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PLANS = (records, tokens, knowledge, catalogue, lint, search)
+PLANS = (records, tokens, knowledge, catalogue, lint, search, flows)
 QUERIES, SQL = ({k: v for p in PLANS for k, v in getattr(p, part).items()} for part in ("QUERIES", "SQL"))
 
 

@@ -74,3 +74,67 @@ def load_order(keys: list[tuple[str, str]]) -> list[str]:
         order.append(ready[0])
         del wants[ready[0]]
     return order
+
+
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, level of ``nodes`` (node) and all ends of ``edges`` (node, needs): 0 without needs, else one above the greatest of what is needed; null in a cycle or behind one.
+
+    One level is an anti-join of the open nodes with the edges whose need isn't placed yet. Repeated edges count once, an edge to itself doesn't count, null ends are left out.
+    Only whether a level is empty comes to the driver.
+    """
+    plain = edges.filter("node is not null and needs is not null")
+    left = cut(nodes.filter("node is not null").select("node").union(plain.select("node")).union(plain.select("needs")).distinct())
+    open_ = cut(plain.filter("node <> needs").select("node", "needs").distinct())
+    done, level = None, 0
+    while True:
+        ready = cut(left.join(open_, "node", "left_anti").withColumn("level", F.lit(level)))
+        if ready.isEmpty():
+            break
+        done = ready if done is None else done.unionByName(ready)
+        left = cut(left.join(ready, "node", "left_anti"))
+        open_ = cut(open_.join(ready.select(F.col("node").alias("needs")), "needs", "left_anti").select("node", "needs"))
+        level += 1
+    rest = left.withColumn("level", F.lit(None).cast("int"))
+    return rest if done is None else done.unionByName(rest)
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """cycle, node of every node that can reach itself by way of another one: strongly connected nodes of ``edges`` (node, needs), named after the least of them.
+
+    In each round nodes without a way in or out go first. Then every node learns the greatest node that reaches it, which parts the rest into
+    colours; what reaches its colour's node within the colour is strongly connected with it, and leaves. Each step is a join and an aggregation; whether
+    anything is left comes to the driver.
+    """
+    left = cut(edges.filter("node <> needs").select(F.col("node").alias("a"), F.col("needs").alias("b")).distinct())
+    found = None
+    while not left.isEmpty():
+        size = None
+        while size != (size := left.count()):
+            inner = left.select(F.col("a").alias("n")).distinct().join(left.select(F.col("b").alias("n")).distinct(), "n")
+            left = cut(left.join(inner.withColumnRenamed("n", "a"), "a", "left_semi").join(inner.withColumnRenamed("n", "b"), "b", "left_semi").select("a", "b"))
+        if not size:
+            break
+        colour = left.select(F.col("a").alias("n")).distinct().withColumn("c", F.col("n"))
+        changed = 1
+        while changed:
+            told = left.join(colour.withColumnRenamed("n", "a"), "a").groupBy(F.col("b").alias("n")).agg(F.max("c").alias("d"))
+            new = cut(colour.join(told, "n", "left").select("n", F.greatest("c", F.coalesce("d", "c")).alias("c"), (F.col("d") > F.col("c")).alias("up")))
+            changed = new.filter("up").limit(1).count()
+            colour = new.select("n", "c")
+        start, end = colour.select(F.col("n").alias("a"), F.col("c").alias("ca")), colour.select(F.col("n").alias("b"), F.col("c").alias("cb"))
+        same = cut(left.join(start, "a").join(end, "b").filter("ca = cb").select("a", "b", "ca"))
+        strong = cut(colour.filter("n = c"))
+        front = strong
+        while True:
+            front = cut(same.join(front.select(F.col("n").alias("b")), "b").select(F.col("a").alias("n"), F.col("ca").alias("c")).distinct().join(strong, "n", "left_anti"))
+            if front.isEmpty():
+                break
+            strong = cut(strong.unionByName(front))
+        least = strong.groupBy("c").agg(F.min("n").alias("cycle"), F.count("*").alias("size")).filter("size > 1")
+        named = strong.join(least, "c").select("cycle", F.col("n").alias("node"))
+        found = named if found is None else found.unionByName(named)
+        gone = strong.select("n")
+        left = cut(left.join(gone.withColumnRenamed("n", "a"), "a", "left_anti").join(gone.withColumnRenamed("n", "b"), "b", "left_anti").select("a", "b"))
+    if found is None:
+        return edges.select(F.col("node").alias("cycle"), "node").filter("false")
+    return cut(found)
