@@ -106,3 +106,19 @@ def test_the_rest_works_without_the_corpus_part(tmp_path):
     n, with_sql, corpus = out.stdout.split()[-3:]
     assert int(n) >= int(with_sql) > 100
     assert corpus == "False"
+
+
+def test_numbers_with_exponents(spark):
+    from weftline.functions import script
+
+    rows = spark.createDataFrame([(x,) for x in ("1.5e3", "1e3", "2.E-1", ".5e1", "1.5e", "7", "-0.5", "x", None)], "t string")
+    got = [r[0] for r in rows.select(script.to_number(F.col("t"))).collect()]
+    assert got == [1500.0, 0.0, 0.2, 5.0, 0.0, 7.0, -0.5, 0.0, 0.0]
+
+
+def test_repeated_edges_leave_nothing_to_chance(spark):
+    keys = spark.createDataFrame([("a",), ("b",)], "token_sha string")
+    schema = "source_sha string, target_sha string, rel_type string, weight double"
+    there = spark.createDataFrame([("b", "a", "X", 0.9)], schema)
+    new = spark.createDataFrame([("a", "b", "X", 0.7), ("a", "b", "X", 0.2), ("b", "a", "X", 0.1), ("a", "gone", "X", 0.5)], schema).repartition(3)
+    assert sorted(map(tuple, store.insert_edges(there, new, keys).collect())) == [("a", "b", "X", 0.2), ("b", "a", "X", 0.9)]

@@ -74,9 +74,9 @@ def assigned(target: Column, operator: str, value: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """Text without ``.`` must be an integer and other text a plain decimal; everything else is 0. An exponent is not read."""
+    """Text without ``.`` must be an integer and other text a decimal, with an exponent if there is one; everything else is 0."""
     t = F.regexp_replace(c, r"^\s+|\s+$", "")
-    return F.when(t.rlike(r"^[+-]?(\d+|\d*\.\d+|\d+\.)$"), t.try_cast("double")).otherwise(F.lit(0.0))
+    return F.when(t.rlike(r"^[+-]?(\d+|(\d*\.\d+|\d+\.)([eE][+-]?\d+)?)$"), t.try_cast("double")).otherwise(F.lit(0.0))
 
 
 def to_text(c: Column) -> Column:

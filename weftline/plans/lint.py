@@ -276,10 +276,9 @@ def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.by_severity(_facts(spark, sf_dir))
 
 
-@query(_FACTS + " SELECT file, line, rule, severity, 'm' AS message FROM d ORDER BY file, line, rule LIMIT 50")
+@query(_FACTS + " SELECT file, line, rule, severity, 'm' AS message FROM d ORDER BY file, line, rule")
 def diagnostics_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report shows the first fifty."""
-    return rules.in_order(_facts(spark, sf_dir)).limit(50)
+    return rules.in_order(_facts(spark, sf_dir))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_tax AS severity FROM lineitem WHERE l_tax >= 0.05")

@@ -389,10 +389,11 @@ def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select(F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("token_sha"), F.col("source").alias("module"), F.col("n_chars").cast("double").alias("weight"))
 
 
-@query(f"WITH t AS ({_TOKENS}) SELECT token_sha, module, weight FROM t WHERE weight < 1000 UNION ALL SELECT token_sha, module, weight FROM t WHERE weight >= 1000 AND weight < 3000")
+@query(f"WITH t AS ({_TOKENS}) SELECT token_sha, module, weight FROM t")
 def token_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tokens are inserted, of which the store has the short ones already."""
     t = _store(spark, sf_dir)
-    return store.insert_tokens(t.filter("weight < 1000"), t.filter("weight < 3000"))[0]
+    return store.insert_tokens(t.filter("weight < 1000"), t)[0]
 
 
 @query(f"WITH t AS ({_TOKENS}) SELECT token_sha, module, CASE WHEN module = 'src1' THEN 9.0::DOUBLE ELSE weight END AS weight FROM t WHERE module <> 'src2'")

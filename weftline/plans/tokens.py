@@ -104,12 +104,12 @@ def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(EDGES_SQL.replace("WITH raw", "WITH RECURSIVE raw", 1) + """, walk(node, depth) AS (
-    SELECT token_sha, 0 FROM tokens WHERE paragraph = 0 UNION SELECT e.target_sha, depth + 1 FROM walk JOIN edges e ON e.source_sha = walk.node WHERE depth < 3)
+    SELECT token_sha, 0 FROM tokens WHERE paragraph = 0 UNION SELECT e.target_sha, depth + 1 FROM walk JOIN edges e ON e.source_sha = walk.node)
     SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node""")
 def reachable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = page_edges(spark, sf_dir)
     start = page_tokens(spark, sf_dir).filter("paragraph = 0").select(F.col("token_sha").alias("node"))
-    return traverse.bfs(e, start, 3)
+    return traverse.bfs(e, start)
 
 
 _PARTS = "SELECT 's' || l_suppkey AS source_sha, 'p' || l_partkey AS target_sha FROM lineitem UNION ALL SELECT 'p' || l_partkey, 'c' || o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey"

@@ -32,11 +32,12 @@ def update_weights(store: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def insert_edges(edges: DataFrame, new: DataFrame, store: DataFrame) -> DataFrame:
-    """Edges whose ends both exist and that aren't there yet join; the first weight of a repeated edge stays."""
+    """Edges whose ends both exist and that aren't there yet join; of a repeated new edge the one of the least weight counts, of one that is there already the weight there stays."""
     keys = store.select("token_sha")
     known = new.join(keys.withColumnRenamed("token_sha", "source_sha"), "source_sha", "left_semi").join(keys.withColumnRenamed("token_sha", "target_sha"), "target_sha", "left_semi")
     pk = ["source_sha", "target_sha", "rel_type"]
-    return edges.unionByName(known.dropDuplicates(pk).join(edges.select(pk), pk, "left_anti").select(edges.columns))
+    least = known.withColumn("_k", F.row_number().over(Window.partitionBy(*pk).orderBy("weight", *(c for c in new.columns if c not in (*pk, "weight"))))).filter("_k = 1").drop("_k")
+    return edges.unionByName(least.join(edges.select(pk), pk, "left_anti").select(edges.columns))
 
 
 def upsert(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
