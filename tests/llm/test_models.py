@@ -173,3 +173,10 @@ def test_every_language_is_learned(spark):
         a, b = (sorted((r.doc_id, r.lang_pred, r.score) for r in langid.identify(frame, m).collect()) for m in (whole, small))
         assert [x[:2] for x in a] == [x[:2] for x in b]
         assert np.allclose([x[2] for x in a], [x[2] for x in b], rtol=1e-6)
+
+
+def test_language_keeps_a_column_of_its_own_name(spark):
+    docs = spark.createDataFrame([(1, "plain words", "en", 7), (2, "einfache Wörter", "de", 8)], "doc_id long, text string, lang string, _Lang_Top int")
+    got = langid.identify(docs, langid.fit(docs))
+    assert got.columns == ["doc_id", "text", "lang", "_Lang_Top", "lang_pred", "score"]
+    assert sorted((r.doc_id, r._Lang_Top) for r in got.collect()) == [(1, 7), (2, 8)]

@@ -107,3 +107,11 @@ def test_links_of_the_documents_by_brute_force(spark):
     assert len(linked) > 50
     missed = sum(abs(links[i] - n) for i, n in got.items())
     assert missed <= 2 * len(linked) // 100  # recall of the bands is 0.999 at the threshold
+
+
+def test_bands_reach_their_recall():
+    for threshold in (0.03, 0.1, 0.3, 0.5, 0.8, 0.95, 1.0):
+        for recall in (0.9, 0.999):
+            bands, rows = near.bands_for(threshold, recall)
+            assert 1 - (1 - threshold**rows) ** bands >= recall - 1e-12
+            assert rows == 1 or bands * rows <= 160

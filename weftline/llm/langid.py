@@ -264,6 +264,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     docs = docs.drop("lang_pred", "score")
     if not model.languages:
         return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    own = {c: f"_own_{i}_{c}" for i, c in enumerate(docs.columns) if c.lower() == TOP}
+    docs = docs.withColumnsRenamed(own)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField(TOP, T.DoubleType())])
     first = 0
     for i, probability in enumerate(model.probability):
@@ -272,7 +274,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         if i and i % CHAINED == 0:
             docs = cut(docs)
         docs = mapped(docs, _score(model.path, model.languages[some], probability, model.prior[some], i > 0), schema)
-    return docs.drop(TOP)
+    return docs.drop(TOP).withColumnsRenamed({new: c for c, new in own.items()})
 
 
 def held_out() -> Column:

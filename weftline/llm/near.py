@@ -25,11 +25,11 @@ from weftline.llm.session import cut, mapped
 
 
 def bands_for(threshold: float, recall: float, most_hashes: int = 160) -> tuple[int, int]:
-    """(bands, rows): the most rows for which bands that reach ``recall`` at ``threshold`` need no more than ``most_hashes`` hashes."""
-    best = (1, 1)
+    """(bands, rows): the most rows for which bands that reach ``recall`` at ``threshold`` need no more than ``most_hashes`` hashes; where even one row needs more, as many as it needs."""
+    best = (0, 0)
     for rows in range(1, most_hashes + 1):
         bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))) if threshold < 1 else 1
-        if bands * rows > most_hashes:
+        if bands * rows > most_hashes and rows > 1:
             break
         best = (bands, rows)
     return best
