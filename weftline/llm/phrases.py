@@ -1,9 +1,9 @@
 """Phrase collocation mining: candidates from sketch upper bounds, exact counts by guarded automata.
 
-A phrase is as frequent as a threshold only if all its words and pairs are. A first sketch bounds the counts of words and
-pairs of neighbours; texts then fall into runs, the longest stretches whose pairs reach the threshold there. Equal
-runs become one row with their number, so what the corpus repeats is scanned once. A second sketch over the runs bounds phrases
-of all lengths; those that reach the threshold are the candidates. They are dealt to blocks by their first two words, each block
+A phrase is as frequent as a threshold only if all its words, pairs and triples are. A first sketch bounds the counts of words and
+pairs of neighbours, a second one those of triples whose pairs reach the threshold. Texts then fall into runs: the longest stretches whose
+triples reach it, and the pairs that do so outside of them. Equal runs become one row with their number, so what the corpus repeats is scanned
+once. A third sketch over the runs bounds phrases of all lengths; those that reach the threshold are the candidates. They are dealt to blocks by their first two words, each block
 is compiled into automata, and shards of the runs are scanned for overlapping matches: a phrase matches between blanks only.
 The sums are exact counts, and thresholds apply to them. Sketches never decide more than what is worth counting; where
 they are too narrow for a corpus, there is more to count.
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import bytetext as B
-from weftline.llm.session import cut, mapped
+from weftline.llm.session import cut, dropped, mapped, stored
 
 LONGEST = 5  # words
 SLICE = 1 << 20  # bytes of text that are counted at once
@@ -102,7 +102,17 @@ def _kind(least: int) -> type:
     return np.uint8 if least < 1 << 8 else np.uint16 if least < 1 << 16 else np.uint32
 
 
-def _counted(bits: int, least: int, lengths: range, weighted: bool):
+def _linked(words: Words, sketch: Sketch) -> tuple[np.ndarray, np.ndarray]:
+    """Which words reach the threshold, and which of them do so with their next one."""
+    known = sketch.reach(words.grams(1, words.joined)[1])
+    linked = words.joined.copy()
+    linked[:-1] &= known[:-1] & known[1:]
+    pair, hashes = words.grams(2, linked)
+    linked[pair] = sketch.reach(hashes)
+    return known, linked
+
+
+def _counted(bits: int, least: int, lengths: range, weighted: bool, below: Sketch | None):
     """Rows of a task's sketch: a block of buckets, the places that aren't zero and their counts, which stop at the type's greatest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,8 +121,9 @@ def _counted(bits: int, least: int, lengths: range, weighted: bool):
         for batch in B.slices(batches, "text", SLICE):
             words = Words(batch.column("text"), batch.column("lang"))
             n = batch.column("n").to_numpy() if weighted else None
+            linked = words.joined if below is None else _linked(words, below)[1]
             for length in lengths:
-                first, hashes = words.grams(length, words.joined)
+                first, hashes = words.grams(length, linked)
                 place, back, times = np.unique(hashes >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
                 if weighted:
                     times = np.bincount(back, np.minimum(n[words.text[first]], most), len(place)).astype(np.int64)
@@ -144,12 +155,15 @@ def _heavy(least: int, size: int):
 
 
 class Sketch:
-    """Which buckets of a count-min sketch with one row reach the threshold. ``reach`` holds for every phrase whose count does."""
+    """Which buckets of a count-min sketch with one row reach the threshold. ``reach`` holds for every phrase whose count does.
+
+    With a sketch ``below`` of words and pairs only phrases are counted whose pairs reach the threshold there.
+    """
 
-    def __init__(self, rows: DataFrame, least: int, lengths: range, text_bytes: int, weighted: bool = False):
+    def __init__(self, rows: DataFrame, least: int, lengths: range, text_bytes: int, weighted: bool = False, below: Sketch | None = None):
         self.bits = min(MOST_BITS, max(12, (4 * text_bytes // least).bit_length()))
         size = 1 << min(self.bits, BLOCK_BITS)
-        parts = mapped(rows, _counted(self.bits, least, lengths, weighted), "block int, places binary, counts binary")
+        parts = mapped(rows, _counted(self.bits, least, lengths, weighted, below), "block int, places binary, counts binary")
         blocks = mapped(parts.repartition("block"), _heavy(least, size), "block int, bits binary").toArrow()  # an eighth of 2 ** MOST_BITS bytes at most
         self.packed = np.zeros((1 << self.bits) // 8, np.uint8)
         for block, packed in zip(blocks["block"].to_pylist(), blocks["bits"].to_pylist(), strict=True):
@@ -163,8 +177,8 @@ class Sketch:
 TOTAL, WORD, RUN = 0, 1, 2
 
 
-def _parted(sketch: Sketch):
-    """Rows (lang, kind, gram, n): numbers of words, the frequent words, and the runs of two words and more."""
+def _parted(sketch: Sketch, triples: Sketch):
+    """Rows (lang, kind, gram, n): numbers of words, the frequent words, and the runs of two words and more. Each frequent pair is in one run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.slices(batches, "text", SLICE):
@@ -175,16 +189,17 @@ def _parted(sketch: Sketch):
             ones = pa.array(np.ones(len(every), np.int64))
             langs = words.lang(every)
             yield _summed(langs, TOTAL, pa.repeat(pa.scalar("", pa.large_string()), len(every)), ones)
-            known = sketch.reach(words.grams(1, words.joined)[1])
+            known, linked = _linked(words, sketch)
             chosen = every[known]
             yield _summed(langs.filter(pa.array(known)), WORD, words.strings(chosen, np.ones(len(chosen), np.int64)), ones.slice(0, len(chosen)))
-            linked = words.joined.copy()
-            linked[:-1] &= known[:-1] & known[1:]
-            pair, hashes = words.grams(2, linked)
-            linked[pair] = sketch.reach(hashes)
-            begins = np.flatnonzero(linked & ~np.r_[False, linked[:-1]])
-            ends = np.flatnonzero(~linked & np.r_[False, linked[:-1]])  # the last word of each run
-            yield _summed(words.lang(begins), RUN, words.strings(begins, ends - begins + 1), ones.slice(0, len(begins)))
+            third, hashes = words.grams(3, linked)
+            chain = np.zeros(len(linked) + 1, bool)
+            chain[third] = triples.reach(hashes)
+            before = np.r_[False, chain[:-1]]
+            begins, ends = np.flatnonzero(chain & ~before), np.flatnonzero(~chain & before)  # ends: the last but one word of each run
+            alone = np.flatnonzero(linked & ~chain[:-1] & ~before[:-1])
+            first, count = np.r_[begins, alone], np.r_[ends - begins + 2, np.full(len(alone), 2)]
+            yield _summed(words.lang(first), RUN, words.strings(first, count), pa.array(np.ones(len(first), np.int64)))
 
     return run
 
@@ -246,14 +261,15 @@ def count_phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST) ->
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     schema = "lang string, kind int, gram string, n long"
-    parted = mapped(texts, _parted(Sketch(texts, least, range(1, 3), total)), schema)
-    counts = cut(parted.groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")))
-    totals = counts.filter(F.col("kind") == TOTAL).select("lang", "n")
+    pairs = Sketch(texts, least, range(1, 3), total)
+    triples = Sketch(texts, least, range(3, 4), total, below=pairs)
+    counts, path = stored(mapped(texts, _parted(pairs, triples), schema).groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")))
+    totals = cut(counts.filter(F.col("kind") == TOTAL).select("lang", "n"))
     words = counts.filter((F.col("kind") == WORD) & (F.col("n") >= least)).select("lang", F.rtrim("gram").alias("phrase"), F.col("n").alias("f"))
     runs = counts.filter(F.col("kind") == RUN).select("lang", F.col("gram").alias("text"), "n")
     total = runs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sketch = Sketch(runs, least, range(2, longest + 1), total, weighted=True)
-    candidates = cut(mapped(runs, _candidates(sketch, longest), schema).select("lang", "gram").distinct())
+    candidates, other = stored(mapped(runs, _candidates(sketch, longest), schema).select("lang", "gram").distinct())
     blocks = 1 + candidates.count() // AUTOMATON
     shards = 1 + total // (blocks * SHARD_BYTES)
     own = _words("gram")
@@ -266,7 +282,10 @@ def count_phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST) ->
     sent = runs.select(F.explode(owners).alias("block"), F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int").alias("shard"), "lang", "text", "n")
     together = dealt.withColumn("shard", F.col("shard").cast("int")).unionByName(sent).repartition(blocks * shards, "block", "shard").sortWithinPartitions("block", "shard", F.col("n").isNotNull())
     found = mapped(together, _scanned, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-    return cut(words.unionByName(found.filter(F.col("f") >= least).withColumn("phrase", F.rtrim("phrase")))), totals
+    phrases = cut(words.unionByName(found.filter(F.col("f") >= least).withColumn("phrase", F.rtrim("phrase"))))
+    for table in (path, other):
+        dropped(docs.sparkSession, table)
+    return phrases, totals
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
