@@ -122,3 +122,21 @@ def test_repeated_edges_leave_nothing_to_chance(spark):
     there = spark.createDataFrame([("b", "a", "X", 0.9)], schema)
     new = spark.createDataFrame([("a", "b", "X", 0.7), ("a", "b", "X", 0.2), ("b", "a", "X", 0.1), ("a", "gone", "X", 0.5)], schema).repartition(3)
     assert sorted(map(tuple, store.insert_edges(there, new, keys).collect())) == [("a", "b", "X", 0.2), ("b", "a", "X", 0.9)]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("x = f(a, g(b, c), [1, 2], {\"k, v\": 3});", [("g", ["b", "c"]), ("f", ["a", "g(b, c)", "[1, 2]", "{\"k, v\": 3}"])]),
+    ("f()", [("f", [])]), ("if (a == b(1)) {", [("b", ["1"]), ("if", ["a == b(1)"])]), ("f(a, g(b)", [("g", ["b"])]), ("(a, b) )", []), ("", []), ("s = \"f(a, b)\" + h(\"(,\", x )", [("h", ["\"(,\"", "x"])]),
+    ("T = IfNull(v.get(\"t\"), 500.0)", [("get", ["\"t\""]), ("ifnull", ["v.get(\"t\")", "500.0"])]),
+])
+def test_calls_follow_brackets(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(scripts.calls_of(F.col("t"))).first()[0]
+    assert [(c.name, c.args) for c in got] == want
+
+
+def test_thresholds_of_assignments_and_fallbacks(spark):
+    lines = ["Threshold_a = 500;", "v = ifnull(x.get(1, 2), 700); // threshold", "threshold = ifnull(f(a, b), 700)", "threshold = 999.99", "other = 3", "my.threshold=12.5.1", "a = b.threshold1 = 7"]
+    df = spark.createDataFrame([("s", i, t) for i, t in enumerate(lines, 1)], "file string, line int, text string")
+    none = spark.createDataFrame([], "function string, n_params int")
+    got = sorted((r.line, r.message) for r in scripts.file_rules(df, [], ["none"], none).filter("rule = 'DG014'").collect())
+    assert got == [(1, "threshold 500.0"), (3, "threshold 700.0")]

@@ -127,6 +127,7 @@ def assembled(rows: DataFrame) -> DataFrame:
     section = F.trim(F.regexp_replace("section", r"[\[\]()]", ""))
     text = F.trim("content")
     kind = F.col("content_type")
+    # fixed values: how the assembled text marks callouts, code and headings
     body = (
         F.when(kind == "NOTE", F.concat(F.lit("> **Note:** "), text, F.lit("\n")))
         .when(kind == "IMPORTANT", F.concat(F.lit("> **Important:** "), text, F.lit("\n")))

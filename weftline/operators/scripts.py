@@ -121,22 +121,56 @@ def variable_rules(lines: DataFrame, fields: DataFrame, keys: DataFrame) -> Data
     ])
 
 
+_TOKEN = r'("[^"]*"|[A-Za-z_]\w*\s*\(|[(\[{]|[)\]}]|,|[^"A-Za-z_()\[\]{},]+|[A-Za-z_]\w*|")'
+
+
+def calls_of(text: Column) -> Column:
+    """The calls of a line as an array of (name, args), inner calls before outer ones: names in lower case, arguments as they are written.
+
+    A fold over the line's tokens keeps a stack of what is open, so commas in brackets, inner calls and strings part no arguments. Calls that don't close on the line drop out.
+    """
+    frame, call = "struct<name:string,args:array<string>,cur:string>", "struct<name:string,args:array<string>>"
+    start = F.struct(F.array().cast(f"array<{frame}>").alias("open"), F.array().cast(f"array<{call}>").alias("done"))
+
+    def grown(frames: Column, token: Column) -> Column:
+        return F.transform(frames, lambda f: F.struct(f["name"].alias("name"), f["args"].alias("args"), F.concat(f["cur"], token).alias("cur")))
+
+    def step(state: Column, token: Column) -> Column:
+        open_, done = state["open"], state["done"]
+        empty = F.size(open_) == 0
+        top = F.element_at(open_, -1)
+        below = grown(F.slice(open_, 1, F.greatest(F.size(open_) - 1, F.lit(0))), token)
+        last = F.trim(top["cur"])
+        args = F.when((F.size(top["args"]) == 0) & (last == ""), top["args"]).otherwise(F.concat(top["args"], F.array(last)))
+        name = F.when(token.endswith("(") & (F.length(token) > 1), F.lower(F.regexp_extract(token, r"^\w+", 0))).otherwise("")
+        pushed = F.concat(grown(open_, token), F.array(F.struct(name.alias("name"), F.array().cast("array<string>").alias("args"), F.lit("").alias("cur"))))
+        parted = F.concat(below, F.array(F.struct(top["name"].alias("name"), F.concat(top["args"], F.array(last)).alias("args"), F.lit("").alias("cur"))))
+        closes = token.isin(")", "]", "}")
+        next_open = F.when(token.rlike(r"[(\[{]$") & ~token.startswith('"'), pushed).when(empty, open_).when(closes, below).when(token == ",", parted).otherwise(grown(open_, token))
+        found = F.concat(done, F.array(F.struct(top["name"].alias("name"), args.alias("args"))))
+        return F.struct(next_open.alias("open"), F.when(closes & ~empty & (top["name"] != ""), found).otherwise(done).alias("done"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1)), start, step, lambda state: state["done"])
+
+
 def file_rules(lines: DataFrame, variables: list[str], banned: list[str], signatures: DataFrame) -> DataFrame:
     """DG002, DG014, DG018, DG020, DG021 and DG025 line by line and file by file; signatures: function, n_params (the widest)."""
     rows = lines.select("file", "line", stripped(F.col("text")).alias("text"))
     named = rows.select("file", "line", F.explode(F.regexp_extract_all("text", F.lit(r"\b(zoho\.\w+(?:\.\w+)*)"), F.lit(1))).alias("name"))
-    number = F.coalesce(F.nullif(F.regexp_extract("text", r"(?i)\bthreshold\w*\s*=\s*(\d+\.?\d*)", 1), F.lit("")), F.when(F.contains(F.lower("text"), F.lit("threshold")), F.regexp_extract("text", r"ifnull\s*\([^,]+,\s*(\d+\.?\d*)\s*\)", 1)))
+    sides = F.split("text", "=", 2)
+    left, right = F.lower(F.trim(F.get(sides, F.lit(0)))), F.trim(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+    assigned = F.when(F.element_at(F.split(left, r"\W+"), -1).startswith("threshold"), F.regexp_extract(right, r"^[0-9][0-9.]*", 0))
+    called = rows.select("file", "line", "text", F.explode_outer(calls_of(F.col("text"))).alias("c")).select("file", "line", "text", "c.name", "c.args")
+    fallback = F.when((F.col("name") == "ifnull") & (F.size("args") == 2) & F.contains(F.lower("text"), F.lit("threshold")), F.get("args", F.lit(1)))
+    numbers = rows.select("file", "line", assigned.alias("x")).unionByName(called.select("file", "line", fallback.alias("x"))).select("file", "line", F.col("x").try_cast("double").alias("x"))
     api = F.contains("file", F.lit("custom_api"))
     maps = rows.filter(api).groupBy("file").agg(F.max(F.col("text").rlike(r"\bMap\s*\(\s*\)|\.put\s*\(")).alias("has"))
     task = F.regexp_extract("text", r"(?i)\b(alert\b|cancel\s+submit\b)", 1)
-    call = r"(?:^|[=\s.])(\w+)\s*\(([^)]*)\)"
-    calls = rows.select("file", "line", F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(call), F.lit(1)).alias("name"), F.regexp_extract_all("text", F.lit(call), F.lit(2)).alias("args"))).alias("c")).select("file", "line", F.lower("c.name").alias("function"), F.trim("c.args").alias("args"))
-    bare = F.regexp_replace("args", r"\[[^\]]*\]", "")
-    n = F.when(F.col("args") == "", 0).otherwise(F.size(F.split(bare, ",")))
-    arity = calls.filter(~F.col("function").isin(*NO_CALLS)).join(signatures, "function").withColumn("n", n).filter("n > n_params")
+    n = F.size("args")
+    arity = called.filter("name is not null").withColumnRenamed("name", "function").filter(~F.col("function").isin(*NO_CALLS)).join(signatures, "function").withColumn("n", n).filter("n > n_params")
     return _all([
         _found(named.filter(F.col("name").isin(*banned)), "DG002", "ERROR", F.concat(F.lit("banned "), F.col("name"))),
-        _found(rows.withColumn("x", number.try_cast("double")).filter(F.col("x").isNotNull() & ~F.col("x").isin(*THRESHOLDS)), "DG014", "WARNING", F.concat(F.lit("threshold "), F.col("x").cast("string"))),
+        _found(numbers.filter(F.col("x").isNotNull() & ~F.col("x").isin(*THRESHOLDS)).distinct(), "DG014", "WARNING", F.concat(F.lit("threshold "), F.col("x").cast("string"))),
         _found(named.filter(~F.col("name").isin(*variables, *banned)), "DG018", "WARNING", F.concat(F.lit("unknown "), F.col("name"))),
         _found(maps.filter(~F.col("has")), "DG020", "WARNING", F.lit("no response map"), F.lit(1)),
         _found(rows.filter(api & (task != "")), "DG021", "ERROR", F.concat(F.lit("form task "), F.regexp_replace(task, r"\s+", " "))),

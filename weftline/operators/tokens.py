@@ -15,6 +15,7 @@ CONTENT_WEIGHTS = {
 
 
 def callout_pattern(label: str) -> str:
+    # fixed value: how a callout is written
     return rf"(?im)^(?:>\s*)?(?:\*\*|__){label}[:.]?(?:\*\*|__)[:.]?\s*(.+)"
 
 

@@ -38,6 +38,7 @@ def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.infer(page_tokens(spark, sf_dir))
 
 
+# fixed values in the SQL below: the patterns and weights of ``tokens.CALLOUTS``, ``RETURN_TYPES`` and ``CONTENT_WEIGHTS``, said a second time as the oracle
 TOKENS_SQL = r"""
 WITH raw AS (
     SELECT source AS module, 'doc/' || doc_id AS page_url, doc_id, unnest(string_split(text, chr(10))) AS l,
