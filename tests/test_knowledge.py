@@ -140,3 +140,26 @@ def test_thresholds_of_assignments_and_fallbacks(spark):
     none = spark.createDataFrame([], "function string, n_params int")
     got = sorted((r.line, r.message) for r in scripts.file_rules(df, [], ["none"], none).filter("rule = 'DG014'").collect())
     assert got == [(1, "threshold 500.0"), (3, "threshold 700.0")]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_guard_scopes_by_a_stack(spark, seed):
+    rng = random.Random(seed)
+    kinds = ["if (v != null) {", "if (w == null) { return; }", "if (x > 1) {", "}", "}}", "a = v.f;", "b = w.g;", "if (v == null) { v.f }", "// }", "c = 1;"]
+    rows = [(f"f{f}", i, t) for f in range(12) for i, t in enumerate(["v = F[a == 1];", "w = G[b];", *rng.choices(kinds, k=14)], 1)]
+    want = set()
+    for f in range(12):
+        depth, open_, said = 0, [], set()
+        for _, i, t in (r for r in rows if r[0] == f"f{f}"):
+            t = t.split("//")[0]
+            depth += t.count("{") - t.count("}")
+            open_ = [(v, d) for v, d in open_ if depth >= d]
+            for v in ("v", "w"):
+                if f"{v} != null" in t or f"{v} == null" in t:
+                    open_.append((v, depth))
+                if f"{v}." in t and v not in said and all(o != v for o, _ in open_):
+                    said.add(v)
+                    want.add((f"f{f}", i, f"no null check of {v}"))
+    none = spark.createDataFrame([], "form string, field string, parent string")
+    found = scripts.variable_rules(spark.createDataFrame(rows, "file string, line int, text string"), none.select("form", "field"), none)
+    assert {(r.file, r.line, r.message) for r in found.filter("rule = 'DG005'").collect()} == want

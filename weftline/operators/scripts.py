@@ -96,19 +96,45 @@ def bindings(lines: DataFrame) -> DataFrame:
     return found.filter("variable <> ''").groupBy("file", "variable").agg(F.min("line").alias("bound"), F.min_by("form", "line").alias("form"))
 
 
+def guards(lines: DataFrame) -> DataFrame:
+    """file, variable, line, end of every ``v == null`` or ``v != null``: the guard holds from its line up to ``end``, the first later line that ends less deep in braces; null: to the end of the file.
+
+    A line whose depth falls from p to q closes the levels q + 1 to p, so a guard's end is the next close of its own level: an as-of join by file and level.
+    """
+    text = stripped(F.col("text"))
+    found = lines.select("file", "line", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(\w+)\s*[!=]=\s*null\b"), F.lit(1)))).alias("variable"))
+    deep = depths(lines).select("file", "line", "braces")
+    fell = deep.withColumn("before", F.lag("braces", 1, 0).over(Window.partitionBy("file").orderBy("line"))).filter("braces < before")
+    closed = fell.select("file", F.explode(F.sequence(F.col("braces") + 1, F.col("before"))).alias("level"), "line", F.lit(None).cast("string").alias("variable"), F.col("line").alias("close"))
+    opened = found.join(deep, ["file", "line"]).select("file", F.col("braces").alias("level"), "line", "variable", F.lit(None).cast(closed.schema["close"].dataType).alias("close"))
+    later = Window.partitionBy("file", "level").orderBy("line").rangeBetween(1, Window.unboundedFollowing)
+    ends = opened.unionByName(closed).withColumn("end", F.min("close").over(later))
+    return ends.filter("variable is not null").select("file", "variable", "line", "end")
+
+
+def unguarded(lines: DataFrame, bound: DataFrame, uses: DataFrame) -> DataFrame:
+    """The ``uses`` (file, variable, line) that no guard's scope encloses; guards count from the line on which their variable is bound (file, variable, bound).
+
+    The farthest end of the guards up to a use is a running maximum by file and variable: a scope encloses the use if that lies behind it.
+    """
+    far = F.lit(1 << 40)
+    spans = guards(lines).join(bound, ["file", "variable"]).filter("line >= bound").select("file", "variable", "line", F.coalesce("end", far).cast("long").alias("end"), F.lit(False).alias("use"))
+    both = uses.select("file", "variable", "line").distinct().select("*", F.lit(None).cast("long").alias("end"), F.lit(True).alias("use")).unionByName(spans)
+    reach = F.max("end").over(Window.partitionBy("file", "variable").orderBy("line"))  # with equal lines: a use on the guard's own line is inside
+    return both.withColumn("reach", F.coalesce(reach, F.lit(0))).filter("use and reach <= line").select("file", "variable", "line")
+
+
 def variable_rules(lines: DataFrame, fields: DataFrame, keys: DataFrame) -> DataFrame:
     """DG005, DG023 and DG024 over variables bound to form queries.
 
-    DG005: used as ``v.field`` with no ``v == null`` or ``v != null`` on an earlier line, once per variable (whether the
-    guard's block encloses the use isn't followed). DG023: an insert gives a foreign key (keys: form, field, parent) the
+    DG005: used as ``v.field`` outside the scope of every guard, as ``unguarded`` has them, once per variable. DG023: an insert gives a foreign key (keys: form, field, parent) the
     ID of a record of another form. DG024: a field that the form (fields: form, field) hasn't; forms without known fields pass.
     """
     text = stripped(F.col("text"))
     uses = lines.select("file", "line", F.explode(F.arrays_zip(F.regexp_extract_all(text, F.lit(r"\b(\w+)\.(\w+)"), F.lit(1)).alias("variable"), F.regexp_extract_all(text, F.lit(r"\b(\w+)\.(\w+)"), F.lit(2)).alias("field"))).alias("u")).select("file", "line", "u.variable", "u.field")
-    guards = lines.select("file", "line", F.explode(F.regexp_extract_all(text, F.lit(r"\b(\w+)\s*[!=]=\s*null\b"), F.lit(1))).alias("variable")).groupBy("file", "variable").agg(F.min("line").alias("guarded"))
     bound = bindings(lines)
     used = uses.join(bound, ["file", "variable"]).filter("line > bound")
-    bare = used.join(guards, ["file", "variable"], "left").filter("guarded is null or guarded > line").groupBy("file", "variable").agg(F.min("line").alias("line"))
+    bare = unguarded(lines, bound, used).groupBy("file", "variable").agg(F.min("line").alias("line"))
     known = fields.select(F.lower("form").alias("f"), F.lower("field").alias("k")).distinct()
     lost = used.withColumns({"f": F.lower("form"), "k": F.lower("field")}).join(known.select("f").distinct(), "f", "left_semi").join(known, ["f", "k"], "left_anti").filter("k <> 'id'")
     given = blocks(lines).filter("kind = 'insert'").select("file", F.lower("target").alias("f"), F.explode("fields").alias("x")).select("file", "f", F.lower("x.name").alias("k"), F.regexp_extract("x.value", r"^(\w+)\.ID$", 1).alias("variable"), F.col("x.line").alias("line"))

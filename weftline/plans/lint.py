@@ -306,3 +306,19 @@ def line_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.when(k % 5 == 0, 'a { "}"').when(k % 5 == 1, "} // {").otherwise("x"))
     text = F.concat(F.when(k % 7 == 0, "((").when(k % 7 == 1, "))").otherwise(""), text)
     return scripts.depths(_t(spark, sf_dir, "orders").select(F.concat(F.lit("b"), (k % 3).cast("string")).alias("file"), k.cast("int").alias("line"), text.alias("text")))
+
+
+@query("""WITH raw AS (SELECT 's' || l_orderkey AS file, l_linenumber + 1 AS line, (l_suppkey + l_linenumber) % 5 AS k FROM lineitem),
+        l AS (SELECT file, line, k, sum(CASE k WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line) AS depth FROM raw),
+        g AS (SELECT file, line, (SELECT min(x.line) FROM l x WHERE x.file = l.file AND x.line > l.line AND x.depth < l.depth) AS ends FROM l WHERE k = 0),
+        u AS (SELECT file, line FROM l WHERE k IN (2, 3) AND NOT EXISTS (SELECT 1 FROM g WHERE g.file = l.file AND g.line <= l.line AND (g.ends IS NULL OR g.ends > l.line)))
+    SELECT file, CAST(min(line) AS INTEGER) AS line, 'DG005' AS rule, 'ERROR' AS severity, 'no null check of v' AS message FROM u GROUP BY file""")
+def guard_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script per order whose lines guard, use and close blocks in many orders: guards that close before the use don't count."""
+    k = (F.col("l_suppkey") + F.col("l_linenumber")) % 5
+    text = F.when(k == 0, "if (v != null) {").when(k == 1, "}").when(k.isin(2, 3), "x = v.total;").otherwise("y = 1;")
+    body = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("s"), F.col("l_orderkey").cast("string")).alias("file"), (F.col("l_linenumber") + 1).cast("int").alias("line"), text.alias("text"))
+    heads = body.select("file").distinct().select("file", F.lit(1).alias("line"), F.lit("v = orders[ID == 1];").alias("text"))
+    none = spark.createDataFrame([], "form string, field string, parent string")
+    found = scripts.variable_rules(body.unionByName(heads), none.select("form", "field"), none)
+    return found.filter("rule = 'DG005'").select("file", "line", "rule", "severity", "message")
