@@ -82,16 +82,17 @@ def page_events(pages: DataFrame, key: str) -> DataFrame:
     whole = rf"(?s)^(<[a-zA-Z]+{_REST}>)(.*?)(</[^>]*>)$"
 
     def parts(piece: Column) -> Column:
-        raw = piece.rlike(_RAW_PIECE) & piece.rlike(r"(?is)</(script|style)\s*>$")
+        raw = piece.rlike(r"(?is)^<(script|style)(?=[\s/>]).*</\1\s*>\z")
+        broken = piece.rlike(_RAW_PIECE) & ~raw  # without an end: its text is lost
         three = F.array(*(F.struct(F.regexp_extract(piece, whole, k).alias("piece"), F.lit(k == 2).alias("raw")) for k in (1, 2, 3)))
-        return F.when(raw, F.filter(three, lambda x: x["piece"] != "")).otherwise(F.array(F.struct(piece.alias("piece"), F.lit(False).alias("raw"))))
+        start = F.array(F.struct(F.regexp_extract(piece, rf"(?s)^(<[a-zA-Z]+{_REST}>)", 1).alias("piece"), F.lit(False).alias("raw")))
+        return F.when(raw, F.filter(three, lambda x: x["piece"] != "")).when(broken, start).otherwise(F.array(F.struct(piece.alias("piece"), F.lit(False).alias("raw"))))
 
     pieces = F.flatten(F.transform(F.regexp_extract_all("html", F.lit(PIECE), F.lit(1)), parts))
     rows = pages.select(key, F.posexplode_outer(pieces).alias("i", "_piece"), F.size(pieces).alias("_n")).select(key, "i", "_n", "_piece.piece", F.coalesce("_piece.raw", F.lit(False)).alias("_raw"))
     piece, raw = F.col("piece"), F.col("_raw")
     markup = piece.rlike(r"^<[a-zA-Z/!?]") & ~raw
-    broken = piece.rlike(_RAW_PIECE) & piece.rlike(r"(?s)>.") & ~raw  # a script without an end
-    tag = piece.rlike(r"^<(/\s*)?[a-zA-Z]") & piece.endswith(">") & ~raw & ~broken
+    tag = piece.rlike(r"^<(/\s*)?[a-zA-Z]") & piece.endswith(">") & ~raw
     cut_off = (F.col("i") == F.col("_n") - 1) & ~markup & piece.rlike(r"(?s)&[^\s;]{0,33}\z|^<\z")
     text = F.when(raw, piece).when(markup | cut_off, F.lit(None)).otherwise(decoded(piece))
     name = F.when(tag, F.lower(F.regexp_extract(piece, r"^<(?:/\s*)?([a-zA-Z][^\s/>]*)", 1))).otherwise("")
