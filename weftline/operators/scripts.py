@@ -30,14 +30,16 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 
 def blocks(lines: DataFrame) -> DataFrame:
-    """file, block, kind (insert, sendmail, invokeurl), target, first, last, fields (name, value, mark, line), raw of the blocks of tasks.
+    """file, block, kind (insert, sendmail, invokeurl), target, first, last, fields (name, value, mark, line), raw, answered of the blocks of tasks.
 
-    A block goes from its opening line to the next line with ``]``; lines (file, line, text) of a file are windows.
+    A block goes from its opening line to the next line with ``]``; it is answered if one of the next ``RESPONSE_LINES`` lines looks at a
+    response code. Lines (file, line, text) of a file are windows, all over one shuffle by file.
     """
     text = stripped(F.col("text"))
     kind = F.lower(F.regexp_extract(text, r"(?i)^\s*(insert(?=\s+into\s+\w)|sendmail\b|invokeurl\b)", 1))
     file = Window.partitionBy("file").orderBy("line")
-    rows = lines.select("file", "line", text.alias("text"), kind.alias("kind")).withColumn("block", F.sum((F.col("kind") != "").cast("int")).over(file)).filter("block > 0")
+    answered = F.coalesce(F.max(F.contains(F.lower("said"), F.lit("responsecode"))).over(file.rowsBetween(1, RESPONSE_LINES)), F.lit(False))
+    rows = lines.select("file", "line", text.alias("text"), F.col("text").alias("said"), kind.alias("kind")).withColumns({"block": F.sum((F.col("kind") != "").cast("int")).over(file), "answered": answered}).filter("block > 0")
     inside = Window.partitionBy("file", "block").orderBy("line")
     ends = F.sum(F.contains("text", F.lit("]")).cast("int"))
     rows = rows.withColumn("closed", F.coalesce(ends.over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter("closed = 0")
@@ -46,6 +48,7 @@ def blocks(lines: DataFrame) -> DataFrame:
     return rows.groupBy("file", "block").agg(
         F.max("kind").alias("kind"), F.max(F.regexp_extract("text", r"(?i)^\s*insert\s+into\s+(\w+)", 1)).alias("target"), F.min("line").alias("first"), F.max("line").alias("last"),
         F.array_sort(F.collect_list(field)).alias("fields"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda r: r["text"]), "\n").alias("raw"),
+        F.max_by("answered", "line").alias("answered"),
     )
 
 
@@ -59,34 +62,40 @@ def _line(name: str) -> Column:
 
 
 def block_rules(lines: DataFrame, forms: DataFrame, actions: list[str]) -> DataFrame:
-    """DG006, DG007, DG009, DG010, DG012, DG022, DG026 and DG027 over the blocks of ``lines``; ``forms`` (form) are the known ones."""
-    b = blocks(lines)
-    first = F.col("first")
-    insert, audit = F.col("kind") == "insert", F.col("target") == AUDIT_FORM
-    action = F.regexp_replace(_value("action_1"), '^"|"$', "")
-    logs = insert & F.lower("target").rlike(AUDIT_WORDS)
-    missing = F.filter(
-        F.when(F.col("kind") == "sendmail", F.array(*map(F.lit, REQUIRED["sendmail"]))).when(F.col("kind") == "invokeurl", F.array(*map(F.lit, REQUIRED["invokeurl"]))).otherwise(F.array().cast("array<string>")),
-        lambda want: ~F.exists("fields", lambda f: F.lower(f["name"]) == want),
+    """DG006, DG007, DG009, DG010, DG012, DG022, DG026 and DG027 over the blocks of ``lines``; ``forms`` (form) are the known ones.
+
+    Lines are shuffled once, by file; a block's diagnostics are one array, so the blocks are computed once for all rules.
+    """
+    known = forms.select(F.lower("form").alias("key")).distinct().withColumn("is_known", F.lit(True))
+    b = blocks(lines).withColumn("key", F.lower("target")).join(known, "key", "left")
+    b = b.withColumns({"added": _value("Added_User"), "action": _value("action_1"), "sender": _value("from")})
+    first, last = F.col("first"), F.col("last")
+    insert, web = F.col("kind") == "insert", F.col("kind") == "invokeurl"
+    audit = insert & (F.col("target") == AUDIT_FORM)
+    logs = insert & F.col("key").rlike(AUDIT_WORDS)
+    action = F.regexp_replace("action", '^"|"$', "")
+
+    def one(rule: str, severity: str, cond: Column, message: Column, line: Column) -> Column:
+        found = F.struct(line.cast("int").alias("line"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), message.alias("message"))
+        return F.when(F.coalesce(cond, F.lit(False)), F.array(found)).otherwise(F.array().cast("array<struct<line:int,rule:string,severity:string,message:string>>"))
+
+    def colon(f: Column) -> Column:
+        return F.struct(f["line"].alias("line"), F.lit("DG009").alias("rule"), F.lit("ERROR").alias("severity"), F.concat(F.lit("colon after "), f["name"]).alias("message"))
+
+    found = F.concat(
+        one("DG006", "ERROR", audit & F.col("added").isNull(), F.lit("no Added_User"), first),
+        one("DG007", "ERROR", audit & ~F.col("added").isin(*ADDED_USERS), F.concat(F.lit("Added_User is "), "added"), _line("Added_User")),
+        F.transform(F.filter("fields", lambda f: insert & (f["mark"] == ":")), colon),
+        *(one("DG010", "ERROR", (F.col("kind") == kind) & _line(want).isNull(), F.lit(f"{kind} without {want}"), first) for kind, wanted in REQUIRED.items() for want in wanted),
+        one("DG012", "WARNING", audit & ~F.contains("action", F.lit("+")) & ~action.isin(*actions), F.concat(F.lit("unknown action "), action), _line("action_1")),
+        one("DG022", "WARNING", insert & F.col("is_known").isNull(), F.concat(F.lit("unknown form "), "target"), first),
+        one("DG026", "WARNING", (F.col("kind") == "sendmail") & ~F.contains(F.lower("sender"), F.lit("zoho.adminuserid")), F.lit("sender"), first),
+        one("DG026", "WARNING", logs & _value("actor").isNull() & F.col("added").isNull(), F.lit("no actor"), first),
+        one("DG026", "INFO", logs & _value("timestamp").isNull(), F.lit("no timestamp"), first),
+        one("DG027", "INFO", web & ~F.lower("raw").rlike("content[-_]type"), F.lit("no content type"), first),
+        one("DG027", "WARNING", web & ~F.col("answered"), F.lit("response not checked"), last),
     )
-    colons = b.filter(insert).select("file", F.explode(F.filter("fields", lambda f: f["mark"] == ":")).alias("f")).select("file", F.col("f.line").alias("line"), F.col("f.name").alias("name"))
-    known = forms.select(F.lower("form").alias("key")).distinct()
-    after = Window.partitionBy("file").orderBy("line").rowsBetween(1, RESPONSE_LINES)
-    checked = lines.select("file", F.col("line").alias("last"), F.coalesce(F.max(F.contains(F.lower("text"), F.lit("responsecode"))).over(after), F.lit(False)).alias("checked"))
-    web = b.filter("kind = 'invokeurl'")
-    return _all([
-        _found(b.filter(insert & audit & _value("Added_User").isNull()), "DG006", "ERROR", F.lit("no Added_User"), first),
-        _found(b.filter(insert & audit & ~_value("Added_User").isin(*ADDED_USERS)), "DG007", "ERROR", F.concat(F.lit("Added_User is "), _value("Added_User")), _line("Added_User")),
-        _found(colons, "DG009", "ERROR", F.concat(F.lit("colon after "), F.col("name"))),
-        _found(b.select("*", F.explode(missing).alias("want")), "DG010", "ERROR", F.concat_ws(" ", "kind", F.lit("without"), "want"), first),
-        _found(b.filter(insert & audit & ~F.contains(_value("action_1"), F.lit("+")) & ~action.isin(*actions)), "DG012", "WARNING", F.concat(F.lit("unknown action "), action), _line("action_1")),
-        _found(b.filter(insert).withColumn("key", F.lower("target")).join(known, "key", "left_anti"), "DG022", "WARNING", F.concat(F.lit("unknown form "), F.col("target")), first),
-        _found(b.filter((F.col("kind") == "sendmail") & ~F.contains(F.lower(_value("from")), F.lit("zoho.adminuserid"))), "DG026", "WARNING", F.lit("sender"), first),
-        _found(b.filter(logs & _value("actor").isNull() & _value("Added_User").isNull()), "DG026", "WARNING", F.lit("no actor"), first),
-        _found(b.filter(logs & _value("timestamp").isNull()), "DG026", "INFO", F.lit("no timestamp"), first),
-        _found(web.filter(~F.lower("raw").rlike("content[-_]type")), "DG027", "INFO", F.lit("no content type"), first),
-        _found(web.join(checked, ["file", "last"]).filter(~F.col("checked")), "DG027", "WARNING", F.lit("response not checked"), F.col("last")),
-    ])
+    return b.select("file", F.inline(found))
 
 
 def bindings(lines: DataFrame) -> DataFrame:
