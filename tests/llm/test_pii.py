@@ -156,3 +156,33 @@ def test_clashing_columns(spark):
     row = pii.replace_pii(frame, "k").first()
     assert (row._found, row._moved, row._text, row.n_entities) == (1, 2, 3, 1)
     assert "N_entities" not in row.asDict()
+
+
+def test_long_names_and_domains_go_whole(spark):
+    family = "B" + "a" * 40
+    a, b, c = replaced(spark, f"Mr {family} wrote", "x@a.b.c.d.e.f.g.h.i.j.k.secret.com", "Mrs. O'Brien and Mister Smith")
+    assert re.fullmatch(r"Mr B?\w{41} wrote|Mr \w{41} wrote", a) and "aaaaa" not in a
+    assert re.fullmatch(r"[a-z]@m[0-9a-f]{10}\.example\.com", b)
+    assert re.fullmatch(r"Mrs\. [A-Z]'[A-Z][a-z]{4} and Mister [A-Z][a-z]{4}", c) and "Brien" not in c and "Smith" not in c
+
+
+def test_no_letter_stays(spark):
+    locals_ = [a + b for a in "aeioubcd" for b in "xyz159"]
+    new = replaced(spark, *(f"{x}@b.de" for x in locals_), "A@B.de")
+    assert all(p != q for old, out in zip([*locals_, "A"], new, strict=True) for p, q in zip(old, out.split("@")[0], strict=True))
+
+
+def test_spellings_of_one_entity(spark):
+    a, b, c, d = replaced(spark, "Dr. Anna Meyer", "Anna Meyer", "Mrs. Anna Meyer", "ann@b.de Ann@B.de")
+    assert a == f"Dr. {b}"
+    assert c == f"Mrs. {b}"
+    first, second = d.split()
+    assert first != second and first == second.lower()
+    other, same = replaced(spark, "Mr. Kim Lee", "Ms. Kim Lee")
+    assert other.split()[1] in pii.GIVEN["male", "latin"] and same.split()[1] in pii.GIVEN["female", "latin"]
+
+
+def test_addresses_of_cards_and_tokens(spark):
+    (new,) = replaced(spark, "00:1a:2b:3c:4d:5e 00-1A-2B-3C-4D-5E xoxb-1234567890-abcdefghij eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM")
+    assert re.fullmatch(r"02(?::[0-9a-f]{2}){5} 02(?:-[0-9A-F]{2}){5} xoxb-\d{10}-[a-z]{10} eyJh\w{8}\.\w{12}\.\w{10}", new), new
+    assert "abcdefghij" not in new and "SflKxwRJSM" not in new

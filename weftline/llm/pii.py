@@ -6,9 +6,10 @@ gender; the same entity has the same surrogate everywhere. All distinct entities
 a surrogate that another entity has, or that is itself an entity of the table, is drawn again with a
 higher attempt number until all are distinct.
 
-An e-mail address keeps the coreference of its domain, a name that of its family name. Surrogate
-domains lie under example.*, IP addresses in the reserved 240/4 and 2001:db8::/32, social security numbers in the
-unissued 9xx range; card numbers keep their first digit, IBANs their country, and both whether their check digits hold.
+Spellings of one entity (letter case of an address, a name with and without title) count as one. An e-mail address
+keeps the coreference of its domain, a name that of its family name. Surrogate domains lie under example.*, IP addresses
+in the reserved 240/4 and 2001:db8::/32, MAC addresses under 02, social security numbers in the unissued 9xx range; card
+numbers keep their first digit, IBANs their country, and both whether their check digits hold.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from weftline.llm.session import cut
 
 # fixed values: titles and given names by gender and script
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа", "госпожа", "κυρία")
-MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н", "господин", "κύριος")
+MALE_TITLES = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "г-н", "господин", "κύριος")
 OTHER_TITLES = ("Dr", "Prof", "Professor")
 GIVEN = {
     ("female", "latin"): ("Anna", "Clara", "Elena", "Irene", "Julia", "Laura", "Maria", "Nora", "Sofia", "Vera"),
@@ -62,8 +63,9 @@ _CARD = r"(?<![\p{N}\p{L}])(?:\d{16}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\
 _SSN = r"(?<![\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{N}\-])"
 _IP = r"(?<![\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\p{N})"
 _GAP = rf"(?:[.\-]| (?!{_CARD}|{_SSN}|{_IP}))?"  # within a phone number: the next entity isn't part of it
+_NAME = r"\p{Lu}(?:['’](?=\p{Lu})|[\p{L}\-])++"
 PATTERNS = {
-    "email": rf"(?<![{_L}._%+\-])[{_L}._%+\-]++@[{_L}\-]++(?:\.[{_L}\-]++){{1,8}}",
+    "email": rf"(?<![{_L}._%+\-])[{_L}._%+\-]++@[{_L}\-]++(?:\.[{_L}\-]++)++",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": _CARD,
     "ssn": _SSN,
@@ -74,11 +76,12 @@ PATTERNS = {
     r"(?<![\p{N}\p{L}])(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[.\-]\d{4}(?!\p{N})|"
     r"(?<![\p{N}\p{L}+\-./])0\d{2,4}[\-/ ]\d{5,8}(?![\p{N}\-/])",
     "hex": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\p{N}])",
-    "key": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+)(?![\p{L}\p{N}])",
-    "name": rf"(?<![{_L}])(?=[\p{{Lu}}гκ])(?:(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}\-]{{1,30}}(?: \p{{Lu}}[\p{{L}}\-]{{1,30}}){{0,2}}|(?:{_GIVEN})(?: \p{{Lu}}[\p{{L}}\-]{{1,30}}){{1,2}})",
+    "key": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9\-]{10,}+|eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]++\.[A-Za-z0-9_\-]++)(?![\p{L}\p{N}])",
+    "mac": r"(?<![\p{L}\p{N}:\-])[0-9a-fA-F]{2}[:\-](?:[0-9a-fA-F]{2}[:\-]){4}[0-9a-fA-F]{2}(?![\p{L}\p{N}:\-])",
+    "name": rf"(?<![{_L}])(?=[\p{{Lu}}гκ])(?:(?:{_TITLES})\.? {_NAME}(?: {_NAME}){{0,2}}|(?:{_GIVEN})(?: {_NAME}){{1,2}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_MAY = rf"[0-9@]|(?=[\p{{Lu}}гκ])(?:{_TITLES}|{_GIVEN})|[0-9a-fA-F]{{32}}"
+_MAY = rf"[0-9@]|(?=[\p{{Lu}}гκ])(?:{_TITLES}|{_GIVEN})|[0-9a-fA-F]{{32}}|eyJ|xox|[a-fA-F]{{2}}[:\-][a-fA-F]{{2}}[:\-]"
 
 
 def entities(text: Column) -> Column:
@@ -93,6 +96,28 @@ def kind(entity: Column) -> Column:
     return out
 
 
+_TITLED = rf"^(?:{_TITLES})\.? {_NAME} "
+
+
+def _person(entity: Column) -> Column:
+    """A name of given and family name without its title; any other entity as it is."""
+    return F.when(entity.rlike(_TITLED), F.substring(entity, F.instr(entity, " ") + 1, F.length(entity))).otherwise(entity)
+
+
+def canonical(entity: Column) -> Column:
+    """What an entity is known by, the same for all its spellings: an e-mail address in lower case; a name of given and family name without its title.
+
+    A title stays where it alone tells the gender, in the form Mr or Ms, and before a family name alone.
+    """
+    titled, rest = entity.rlike(_TITLED), _person(entity)
+    bare = F.regexp_replace(F.substring_index(entity, " ", 1), r"\.", "")
+    named = F.substring_index(rest, " ", 1)
+    sure = named.isin(*_FEMALE, *_MALE)
+    mark = F.when(sure, "").when(bare.isin(*FEMALE_TITLES), "Ms ").when(bare.isin(*MALE_TITLES), "Mr ").otherwise("")
+    wrong = (bare.isin(*FEMALE_TITLES) & named.isin(*_MALE)) | (bare.isin(*MALE_TITLES) & named.isin(*_FEMALE))
+    return F.when(F.contains(entity, F.lit("@")), F.lower(entity)).when(titled & wrong, entity).when(titled, F.concat(mark, rest)).otherwise(entity)
+
+
 def _stream(key: str, what: Column) -> Column:
     """128 hexadecimal digits that follow from the key."""
     seed = F.concat(F.lit(key + "\x1f"), what)
@@ -106,7 +131,7 @@ def _number(stream: Column, place: Column | int) -> Column:
 
 
 def _shifted(value: Column, stream: Column) -> Column:
-    """Each letter and digit moved within its alphabet by the stream; one stream gives an injective map where all have one."""
+    """Each letter and digit moved within its alphabet by the stream, by one place at least, so none stays; one stream gives an injective map where all have one."""
 
     def one(c: Column, i: Column) -> Column:
         other = F.lit(None).cast("string")
@@ -115,7 +140,7 @@ def _shifted(value: Column, stream: Column) -> Column:
         drawn = F.coalesce(F.substring(other, _number(stream, i) % F.length(other) + 1, F.lit(1)), c)
         at = F.instr(F.lit(_LETTERS), c) - 1
         first, size = (F.substring(F.lit(x), 3 * at + 1, F.lit(3)).cast("int") for x in (_FIRST, _SIZE))
-        return F.when(at < 0, drawn).otherwise(F.substring(F.lit(_LETTERS), first + (at - first + _number(stream, i)) % size + 1, F.lit(1)))
+        return F.when(at < 0, drawn).otherwise(F.substring(F.lit(_LETTERS), first + (at - first + 1 + _number(stream, i) % (size - 1)) % size + 1, F.lit(1)))
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
@@ -207,7 +232,7 @@ def surrogates(values: Column, attempt, key: str) -> Column:
     """
     also = lambda e, **new: F.struct(*(e[c].alias(c) for c in ("value", "what", "attempt")), *(c.alias(n) for n, c in new.items()))
     known = F.transform(values, lambda e: F.struct(e.alias("value"), kind(e).alias("what"), attempt(e).alias("attempt")))
-    seeded = F.transform(known, lambda e: F.struct(e["value"].alias("value"), e["what"].alias("what"), e["attempt"].alias("attempt"), _stream(key, F.concat_ws("\x1f", e["what"], e["attempt"].cast("string"), e["value"])).alias("stream")))
+    seeded = F.transform(known, lambda e: F.struct(e["value"].alias("value"), e["what"].alias("what"), e["attempt"].alias("attempt"), _stream(key, F.concat_ws("\x1f", e["what"], e["attempt"].cast("string"), canonical(e["value"]))).alias("stream")))
     parts = F.transform(seeded, lambda e: also(e, stream=e["stream"], part=_part(e["value"], e["what"]), by=_part_stream(e["value"], e["what"], e["attempt"], e["stream"], key)))
     moved = F.transform(parts, lambda e: also(e, stream=e["stream"], new=_shifted(e["part"], e["by"])))
     return F.transform(moved, lambda e: _surrogate(e["value"], e["what"], e["attempt"], e["stream"], e["new"], key))
@@ -241,6 +266,7 @@ def _surrogate(value: Column, what: Column, attempt: Column, stream: Column, new
     top = F.substring_index(domain, ".", -1)
     hidden = F.concat(F.lit("m"), F.substring(_stream(key, F.concat(F.lit("domain\x1f"), domain)), 1, 10), F.lit(".example."), F.when(top.isin("com", "org", "net"), top).otherwise(F.lit("com")))
     country = F.regexp_extract(value, _COUNTRY, 0)
+    mac = F.concat(F.lit("02"), *(x for i in range(1, 6) for x in (F.substring(value, 3 * i, 1), F.substring(stream, 2 * i + 1, 2))))
     long = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / 64).cast("int")), lambda i: F.sha2(F.concat_ws("\x1f", i.cast("string"), stream), 256)), "")
     digits = F.substring(F.when(F.length(value) > 128, long).otherwise(stream), F.lit(1), F.length(value))
     return (
@@ -249,6 +275,7 @@ def _surrogate(value: Column, what: Column, attempt: Column, stream: Column, new
         .when(what == "ssn", F.concat(F.lit("9"), F.substring(new, 2, 20)))
         .when(what == "ip", F.concat_ws(".", (F.lit(240) + _number(stream, 0) % 15).cast("string"), *((_number(stream, i) % 256).cast("string") for i in (1, 2, 3))))
         .when(what == "ip6", F.concat(F.lit("2001:db8:"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.substring(stream, i * 4 + 1, F.lit(4))), ":")))
+        .when(what == "mac", F.when(value == F.lower(value), mac).otherwise(F.upper(mac)))
         .when(what == "phone", F.concat(country, new))
         .when(what == "hex", F.when(value == F.lower(value), digits).otherwise(F.upper(digits)))
         .when(what == "key", F.concat(F.substring(value, 1, 4), new))
@@ -258,14 +285,17 @@ def _surrogate(value: Column, what: Column, attempt: Column, stream: Column, new
 
 
 def attempts(values: DataFrame, key: str, most_rounds: int = 30) -> DataFrame:
-    """(value, attempt) of the entities whose first surrogate was taken; ``values`` has distinct ``value``."""
+    """(value, attempt) of the entities whose first surrogate was taken; ``values`` has distinct ``value``, each as ``canonical`` has it.
+
+    Names are compared without titles, which other spellings of the same entity may lack.
+    """
     moved = values.sparkSession.createDataFrame([], "value string, attempt int")
     for _ in range(most_rounds):
         given = values.join(moved, "value", "left").select("value", F.coalesce("attempt", F.lit(0)).alias("attempt"))
-        given = cut(given.withColumn("surrogate", surrogates(F.array("value"), lambda _: F.col("attempt"), key)[0]))
+        given = cut(given.withColumn("surrogate", F.transform(surrogates(F.array("value"), lambda _: F.col("attempt"), key), _person)[0]))
         shared = given.groupBy("surrogate").agg(F.count("*").alias("n"), F.min_by("value", F.struct("attempt", "value")).alias("keeps")).filter("n > 1")
         losers = given.join(shared, "surrogate").filter("value <> keeps").select("value")
-        real = given.join(values.withColumnRenamed("value", "surrogate"), "surrogate", "left_semi").select("value")
+        real = given.join(values.select(_person(F.col("value")).alias("surrogate")), "surrogate", "left_semi").select("value")
         again = cut(losers.unionByName(real).distinct())
         if again.isEmpty():
             return moved
@@ -284,15 +314,16 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     own = "_" * (1 + max((len(c) for c in columns), default=0))  # longer than any of their names
     found_in, text_key, moved_in = own + "found", own + "text", own + "moved"
     found = docs.select(*columns, F.coalesce(entities(F.col("text")), F.array().cast("array<string>")).alias(found_in))
-    values = cut(found.select(F.explode(F.array_distinct(found_in)).alias("value")).distinct())
+    known = lambda c: F.array_distinct(F.transform(c, canonical))
+    values = cut(found.select(F.explode(known(F.col(found_in))).alias("value")).distinct())
     moved = attempts(values, key)
     if moved.isEmpty():
         new = surrogates(F.col(found_in), lambda _: F.lit(0), key)
     else:
-        texts = found.filter(F.size(found_in) > 0).select(F.sha2("text", 256).alias(text_key), F.explode(F.array_distinct(found_in)).alias("value")).distinct()
+        texts = found.filter(F.size(found_in) > 0).select(F.sha2("text", 256).alias(text_key), F.explode(known(F.col(found_in))).alias("value")).distinct()
         maps = texts.join(moved, "value").groupBy(text_key).agg(F.map_from_entries(F.collect_list(F.struct("value", "attempt"))).alias(moved_in))
         found = found.withColumn(text_key, F.when(F.size(found_in) > 0, F.sha2("text", 256))).join(maps, text_key, "left").drop(text_key)
-        new = surrogates(F.col(found_in), lambda e: F.coalesce(F.try_element_at(moved_in, e), F.lit(0)), key)
+        new = surrogates(F.col(found_in), lambda e: F.coalesce(F.try_element_at(moved_in, canonical(e)), F.lit(0)), key)
     between = F.split(F.col("text"), PATTERN, -1)
     text = F.when(F.size(found_in) == 0, F.col("text")).otherwise(F.array_join(F.zip_with(between, new, lambda s, e: F.concat(s, F.coalesce(e, F.lit("")))), ""))
     return found.select(*(text.alias(c) if c == "text" else F.col(c) for c in columns), F.size(found_in).alias("n_entities"))
