@@ -37,6 +37,20 @@ def test_near_cases_lose_no_pair(spark):
     assert got == pytest.approx({k: v for k, v in want.items() if v > 0.6})
 
 
+def test_near_cases_of_many_blocks_shuffle_no_pairs(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 16), ("BLOCK_WORDS", 150), ("DENSE", 3), ("CELLS", 40)):
+        monkeypatch.setattr(retrieval, name, value)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{i * i // 9}" for i in range(20)], k=rng.randrange(0, 14))) for _ in range(90)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "w0")], "id long, text string")
+    found = retrieval.near_cases(docs.filter("id % 2 = 0"), docs)
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    sets = [set(t.split()) for t in texts]
+    want = {(i, j): len(sets[i] & sets[j]) / min(len(sets[i]), len(sets[j])) for i, j in itertools.product(range(0, 90, 2), range(90)) if i != j and sets[i] and sets[j]}
+    assert {(r.left_id, r.right_id): r.share for r in found.collect()} == {k: v for k, v in want.items() if v > 0.6}
+
+
 def test_edges_in_one_pass_are_those_of_the_parts(spark):
     rng = random.Random(4)
     rows = [(f"t{i}", f"p{rng.randrange(3)}", f"s{rng.randrange(2)}", i // 2, rng.choice(["PROSE", "NOTE", "CODE_EXAMPLE", "PRO_TIP", "TABLE_ROW"])) for i in range(60)]

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.operators.lineage import cut
 
@@ -19,6 +24,8 @@ CONTENT_PRIORITY = {
     "IMPORTANT": 1.0, "VERY_IMPORTANT": 1.0, "SIGNATURE": 0.9, "CODE_EXAMPLE": 0.8, "PROSE": 0.7, "NOTE": 0.6, "PRO_TIP": 0.6, "TABLE_ROW": 0.4,
 }
 OTHER_RELATION, OTHER_TYPE = 0.2, 0.5
+# a block of word sets has about so many words or rows; frequent words of a pair of blocks, and pairs that are counted at once
+BLOCK_WORDS, BLOCK_ROWS, DENSE, CELLS = 1 << 19, 1 << 13, 1024, 1 << 22
 
 
 def _looked_up(values: dict, key: Column, other: float) -> Column:
@@ -34,10 +41,14 @@ def seeds_like(tokens: DataFrame, query: str, module: str | None = None, most: i
     return top.withColumn("position", rank).withColumn("seed_rank", 1 / F.col("position"))
 
 
+def terms_of(tokens: DataFrame, *columns: str) -> DataFrame:
+    """term, columns: a row per term of each content, repeated ones too. Terms are runs of letters and digits in lower case."""
+    return tokens.select(F.explode(F.regexp_extract_all(F.lower("content"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("term"), *columns)
+
+
 def postings(tokens: DataFrame) -> DataFrame:
-    """The inverted index: term, token_sha, tf. Terms are runs of letters and digits in lower case."""
-    terms = tokens.select("token_sha", F.explode(F.regexp_extract_all(F.lower("content"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("term"))
-    return terms.groupBy("term", "token_sha").agg(F.count("*").alias("tf"))
+    """The inverted index: term, token_sha, tf."""
+    return terms_of(tokens, "token_sha").groupBy("term", "token_sha").agg(F.count("*").alias("tf"))
 
 
 def bm25(tokens: DataFrame, query: str, most: int = 30, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -151,31 +162,83 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
 
 
+def _counted(a: pa.StringArray, b: pa.StringArray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in ``a`` and ``b``, and shares, of all pairs of word sets (joined by blanks) that share more than ``least`` of the smaller set.
+
+    Frequent words are counted by products of 0/1 matrices, the others by their lists; a step has about ``CELLS`` pairs.
+    """
+    split = [pc.split_pattern(x, " ") for x in (a, b)]
+    na, nb = (np.diff(x.offsets.to_numpy()) for x in split)
+    codes = pa.concat_arrays([x.flatten() for x in split]).dictionary_encode().indices.to_numpy()
+    n = int(codes.max()) + 1
+    ca, cb = codes[: na.sum()], codes[na.sum() :]
+    ra, rb = np.repeat(np.arange(len(a)), na), np.repeat(np.arange(len(b)), nb)
+    fa, fb = np.bincount(ca, minlength=n), np.bincount(cb, minlength=n)
+    both = fa * fb  # of each word: pairs that have it
+    frequent = np.argsort(-both, kind="stable")[:DENSE]
+    frequent = frequent[both[frequent] * 256 > len(a) * len(b)]
+    column = np.full(n, -1)
+    column[frequent] = np.arange(len(frequent))
+    right = np.zeros((len(frequent), len(b)), np.float32)
+    in_b = column[cb] >= 0
+    right[column[cb[in_b]], rb[in_b]] = 1
+    by_word = np.argsort(np.where(in_b, n, cb), kind="stable")  # lists of the other words
+    begin = np.r_[0, np.cumsum(np.where(column >= 0, 0, fb))]
+    listed = rb[by_word]
+    step = max(1, CELLS // len(b))
+    at = np.r_[0, np.cumsum(na)]
+    for lo in range(0, len(a), step):
+        hi = min(len(a), lo + step)
+        words, rows = ca[at[lo] : at[hi]], ra[at[lo] : at[hi]] - lo
+        dense = column[words] >= 0
+        left = np.zeros((hi - lo, len(frequent)), np.float32)
+        left[rows[dense], column[words[dense]]] = 1
+        shared = left @ right
+        flat = shared.reshape(-1)
+        words, rows = words[~dense], rows[~dense]
+        total = np.r_[0, np.cumsum(fb[words])]
+        k = 0
+        while k < len(words):
+            end = max(k + 1, int(np.searchsorted(total, total[k] + CELLS, "right")) - 1)
+            many = fb[words[k:end]]
+            within = np.arange(total[end] - total[k]) - np.repeat(total[k:end] - total[k], many)
+            np.add.at(flat, np.repeat(rows[k:end] * len(b), many) + listed[np.repeat(begin[words[k:end]], many) + within], np.float32(1))
+            k = end
+        smaller = np.minimum(na[lo:hi, None], nb[None, :])
+        i, j = np.nonzero(shared > np.float32(least) * smaller * np.float32(0.999))  # a little too many; the exact share decides
+        share = shared[i, j].astype(float) / smaller[i, j]
+        kept = share > least
+        yield i[kept] + lo, j[kept], share[kept]
+
+
+def _met(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, b = batch.column("a")[k].values, batch.column("b")[k].values
+                for i, j, share in _counted(a.field("words"), b.field("words"), least):
+                    left, right = a.field("id").take(pa.array(i)), b.field("id").take(pa.array(j))
+                    found = pa.RecordBatch.from_arrays([left, right, pa.array(share)], ["left_id", "right_id", "share"])
+                    yield found.filter(pc.not_equal(left, right))
+
+    return run
+
+
 def near_cases(cases: DataFrame, known: DataFrame, least: float = 0.6) -> DataFrame:
     """left_id, right_id, share of each case (id, text) and each known one of another id whose shared words are more than ``least`` of the smaller word set.
 
-    Exact: of a pair, the smaller set shares one of its rarest words, the first 1 - ``least`` of them by rising frequency,
-    with the other set. So the rare words of each side meet all words of the other, on the word; the pairs found are
-    then checked on their whole sets.
+    Exact, and by nature a look at every case and known one: a set may lie inside any larger one. Both sides are dealt to blocks of at most about
+    ``BLOCK_WORDS`` words or ``BLOCK_ROWS`` rows, written once; every pair of blocks is a task that counts shared words in bounded memory, so what is
+    shuffled and written grows with the texts, not with the pairs.
     """
-
-    def sets(df: DataFrame) -> DataFrame:
-        return df.select("id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-
-    a, b = sets(cases), sets(known)
-    seen = b.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-
-    def listed(df: DataFrame) -> DataFrame:
-        """id, word, size, whether the word is one of the id's rare ones."""
-        rows = df.select("id", F.size("w").alias("size"), F.explode("w").alias("word")).join(seen, "word", "left")
-        place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "word"))
-        return rows.select("id", "word", "size", (place <= F.col("size") - F.floor(F.col("size") * least)).alias("rare"))
-
-    left, right = (listed(x).select(F.col("id").alias(f"{side}_id"), "word", F.col("size").alias(f"{side}_size"), F.col("rare").alias(f"{side}_rare")) for x, side in ((a, "left"), (b, "right")))
-    # a word that is rare on neither side never meets itself
-    rising = left.filter("left_rare").join(right, "word").filter("left_id <> right_id and left_size <= right_size")
-    falling = right.filter("right_rare").join(left, "word").filter("left_id <> right_id and right_size <= left_size")
-    pairs = rising.select("left_id", "right_id").unionByName(falling.select("left_id", "right_id")).distinct()
-    both = pairs.join(a.select(F.col("id").alias("left_id"), F.col("w").alias("x")), "left_id").join(b.select(F.col("id").alias("right_id"), F.col("w").alias("y")), "right_id")
-    share = F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y"))
-    return both.select("left_id", "right_id", share.alias("share")).filter(F.col("share") > least)
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        sets = df.filter("id is not null").select("id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+        size = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("w")), F.lit(0)).alias("words")).first()
+        n = 1 + max(size["n"] // BLOCK_ROWS, size["words"] // BLOCK_WORDS)
+        dealt = sets.select("id", F.array_join("w", " ").alias("words"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).repartitionById(n, "block")
+        return cut(dealt.groupBy("block").agg(F.collect_list(F.struct("id", "words")).alias(name)).select(name))
+
+    pairs = blocks(cases, "a").crossJoin(blocks(known, "b"))
+    left, right = (df.schema["id"].dataType for df in (cases, known))
+    schema = T.StructType([T.StructField("left_id", left), T.StructField("right_id", right), T.StructField("share", T.DoubleType())])
+    return pairs.mapInArrow(_met(least), schema)
