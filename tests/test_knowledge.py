@@ -177,3 +177,17 @@ def test_guard_scopes_by_a_stack(spark, seed):
     none = spark.createDataFrame([], "form string, field string, parent string")
     found = scripts.variable_rules(spark.createDataFrame(rows, "file string, line int, text string"), none.select("form", "field"), none)
     assert {(r.file, r.line, r.message) for r in found.filter("rule = 'DG005'").collect()} == want
+
+
+def _broadcast_joins(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+
+
+def test_variable_rules_send_no_lines_to_the_driver(spark, tmp_path):
+    spark.range(20).selectExpr("concat('f', id) as file").write.parquet(str(tmp_path / "f"))
+    text = F.explode(F.array(*map(F.lit, ("v = Depts[ID == 1];", "if (v != null) {", "x = v.Nope;", "}", "y = v.Title;"))))
+    lines = spark.read.parquet(str(tmp_path / "f")).select("file", text.alias("text")).withColumn("line", F.when(F.col("text").startswith("v"), 1).when(F.col("text").startswith("if"), 2).when(F.col("text").contains("Nope"), 3).when(F.col("text") == "}", 4).otherwise(5))
+    fields, keys = spark.createDataFrame([("Depts", "Title")], "form string, field string"), spark.createDataFrame([("Claims", "dept", "Depts")], "form string, field string, parent string")
+    found = scripts.variable_rules(lines, fields, keys)
+    assert not [j for j in _broadcast_joins(found) if "file#" in j]
+    assert sorted({(r.line, r.rule, r.message) for r in found.collect()}) == [(3, "DG024", "Depts.Nope"), (5, "DG005", "no null check of v")] and found.count() == 40

@@ -110,12 +110,11 @@ def guards(lines: DataFrame) -> DataFrame:
 
     A line whose depth falls from p to q closes the levels q + 1 to p, so a guard's end is the next close of its own level: an as-of join by file and level.
     """
-    text = stripped(F.col("text"))
-    found = lines.select("file", "line", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(\w+)\s*[!=]=\s*null\b"), F.lit(1)))).alias("variable"))
-    deep = depths(lines).select("file", "line", "braces")
+    deep = _deep(lines).select("file", "line", "text", "braces")
     fell = deep.withColumn("before", F.lag("braces", 1, 0).over(Window.partitionBy("file").orderBy("line"))).filter("braces < before")
     closed = fell.select("file", F.explode(F.sequence(F.col("braces") + 1, F.col("before"))).alias("level"), "line", F.lit(None).cast("string").alias("variable"), F.col("line").alias("close"))
-    opened = found.join(deep, ["file", "line"]).select("file", F.col("braces").alias("level"), "line", "variable", F.lit(None).cast(closed.schema["close"].dataType).alias("close"))
+    variables = F.array_distinct(F.regexp_extract_all(stripped(F.col("text")), F.lit(r"\b(\w+)\s*[!=]=\s*null\b"), F.lit(1)))
+    opened = deep.select("file", F.col("braces").alias("level"), "line", F.explode(variables).alias("variable"), F.lit(None).cast(closed.schema["close"].dataType).alias("close"))
     later = Window.partitionBy("file", "level").orderBy("line").rangeBetween(1, Window.unboundedFollowing)
     ends = opened.unionByName(closed).withColumn("end", F.min("close").over(later))
     return ends.filter("variable is not null").select("file", "variable", "line", "end")
@@ -127,7 +126,7 @@ def unguarded(lines: DataFrame, bound: DataFrame, uses: DataFrame) -> DataFrame:
     The farthest end of the guards up to a use is a running maximum by file and variable: a scope encloses the use if that lies behind it.
     """
     far = F.lit(1 << 40)
-    spans = guards(lines).join(bound, ["file", "variable"]).filter("line >= bound").select("file", "variable", "line", F.coalesce("end", far).cast("long").alias("end"), F.lit(False).alias("use"))
+    spans = guards(lines).join(bound.hint("merge"), ["file", "variable"]).filter("line >= bound").select("file", "variable", "line", F.coalesce("end", far).cast("long").alias("end"), F.lit(False).alias("use"))
     both = uses.select("file", "variable", "line").distinct().select("*", F.lit(None).cast("long").alias("end"), F.lit(True).alias("use")).unionByName(spans)
     reach = F.max("end").over(Window.partitionBy("file", "variable").orderBy("line"))  # with equal lines: a use on the guard's own line is inside
     return both.withColumn("reach", F.coalesce(reach, F.lit(0))).filter("use and reach <= line").select("file", "variable", "line")
@@ -142,13 +141,15 @@ def variable_rules(lines: DataFrame, fields: DataFrame, keys: DataFrame) -> Data
     text = stripped(F.col("text"))
     uses = lines.select("file", "line", F.explode(F.arrays_zip(F.regexp_extract_all(text, F.lit(r"\b(\w+)\.(\w+)"), F.lit(1)).alias("variable"), F.regexp_extract_all(text, F.lit(r"\b(\w+)\.(\w+)"), F.lit(2)).alias("field"))).alias("u")).select("file", "line", "u.variable", "u.field")
     bound = bindings(lines)
+    bound = bound.hint("merge")  # grows with the lines, which Spark takes for far fewer: never sent to the driver
     used = uses.join(bound, ["file", "variable"]).filter("line > bound")
     bare = unguarded(lines, bound, used).groupBy("file", "variable").agg(F.min("line").alias("line"))
     known = fields.select(F.lower("form").alias("f"), F.lower("field").alias("k")).distinct()
-    lost = used.withColumns({"f": F.lower("form"), "k": F.lower("field")}).join(known.select("f").distinct(), "f", "left_semi").join(known, ["f", "k"], "left_anti").filter("k <> 'id'")
+    # forms' fields and keys are a schema, and few forms have most lines
+    lost = used.withColumns({"f": F.lower("form"), "k": F.lower("field")}).join(F.broadcast(known.select("f").distinct()), "f", "left_semi").join(F.broadcast(known), ["f", "k"], "left_anti").filter("k <> 'id'")
     given = blocks(lines).filter("kind = 'insert'").select("file", F.lower("target").alias("f"), F.explode("fields").alias("x")).select("file", "f", F.lower("x.name").alias("k"), F.regexp_extract("x.value", r"^(\w+)\.ID$", 1).alias("variable"), F.col("x.line").alias("line"))
     wanted = keys.select(F.lower("form").alias("f"), F.lower("field").alias("k"), "parent")
-    wrong = given.filter("variable <> ''").join(wanted, ["f", "k"]).join(bound, ["file", "variable"]).filter(F.lower("parent") != F.lower("form"))
+    wrong = given.filter("variable <> ''").join(F.broadcast(wanted), ["f", "k"]).join(bound, ["file", "variable"]).filter(F.lower("parent") != F.lower("form"))
     return _all([
         _found(bare, "DG005", "ERROR", F.concat(F.lit("no null check of "), F.col("variable"))),
         _found(wrong, "DG023", "WARNING", F.concat_ws(" ", F.col("k"), F.lit("wants"), "parent", F.lit("not"), "form")),
@@ -213,15 +214,20 @@ def file_rules(lines: DataFrame, variables: list[str], banned: list[str], signat
     ])
 
 
-def depths(lines: DataFrame) -> DataFrame:
-    """file, line, braces, parens: how deep each line ends, strings and comments apart."""
+def _deep(lines: DataFrame) -> DataFrame:
+    """file, line, text, braces, parens of each line."""
     text = F.regexp_replace(stripped(F.col("text")), r'"[^"]*"', "")
 
     def net(opens: str, closes: str) -> Column:
         return F.length(F.regexp_replace(text, rf"[^\{opens}]", "")) - F.length(F.regexp_replace(text, rf"[^\{closes}]", ""))
 
     order = Window.partitionBy("file").orderBy("line")
-    return lines.select("file", "line", F.sum(net("{", "}")).over(order).alias("braces"), F.sum(net("(", ")")).over(order).alias("parens"))
+    return lines.select("file", "line", "text", F.sum(net("{", "}")).over(order).alias("braces"), F.sum(net("(", ")")).over(order).alias("parens"))
+
+
+def depths(lines: DataFrame) -> DataFrame:
+    """file, line, braces, parens: how deep each line ends, strings and comments apart."""
+    return _deep(lines).drop("text")
 
 
 def builder_rules(lines: DataFrame, fields: DataFrame, forms: DataFrame) -> DataFrame:
