@@ -88,3 +88,9 @@ def test_sketches_merge_within_two_percent(spark):
     both = {(r.left, r.right): r.common for r in sketches.overlaps(table, "l_linenumber").collect()}
     air, rail = (rows.filter(F.col("l_linenumber") == m).select("l_orderkey").distinct() for m in (3, 6))
     assert both[3, 6] == pytest.approx(air.intersect(rail).count(), rel=0.05)
+
+
+def test_sketches_of_many_groups_stay_within_two_percent(spark):
+    rows = spark.range(60 * 30_000).selectExpr("id % 60 as g", "id * 7 as v")
+    got = sketches.estimated(sketches.by_group(rows, "g", "v")).collect()
+    assert all(x == pytest.approx(30_000, rel=0.015) for r in got for x in (r.distinct_hll, r.distinct_theta))
