@@ -191,3 +191,13 @@ def test_variable_rules_send_no_lines_to_the_driver(spark, tmp_path):
     found = scripts.variable_rules(lines, fields, keys)
     assert not [j for j in _broadcast_joins(found) if "file#" in j]
     assert sorted({(r.line, r.rule, r.message) for r in found.collect()}) == [(3, "DG024", "Depts.Nope"), (5, "DG005", "no null check of v")] and found.count() == 40
+
+
+def test_related_tokens_are_cut_by_term_before_cases_meet_them(spark):
+    tokens = spark.createDataFrame([(f"t{i}", "NOTE" if i % 2 else "PROSE", f"Fn1 fn1 word{i} {'odd' if i % 2 else 'even'}") for i in range(9)], "token_sha string, content_type string, content string")
+    asking = spark.createDataFrame([(1, "FN1"), (2, "fn1"), (3, "odd"), (3, "even"), (4, "nowhere"), (5, None)], "id int, query string")
+    found = cases.related(asking, tokens, 3)
+    assert "windowspecdefinition(term#" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.id, r.target_sha, r.weight) for r in found.collect())
+    weight = lambda i: 0.7 if i % 2 else 0.95
+    assert got == [(k, f"t{i}", weight(i)) for k in "123" for i in range(3)]

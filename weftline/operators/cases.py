@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from weftline.operators import retrieval
 from weftline.operators.edges import WEIGHTS
+from weftline.operators.lineage import cut
+
+MOST_SENT = 1_000_000  # asked words that are sent to all tasks; more are shuffled
 
 # fixed values: the relation and weight that a new case has to a token of each type, and to any other
 RELATED = {"CODE_EXAMPLE": ("EXAMPLE_OF", 0.8), "IMPORTANT": ("CALLOUT_IMPORTANT", 0.9), "VERY_IMPORTANT": ("CALLOUT_IMPORTANT", 0.9), "NOTE": ("CALLOUT_NOTE", 0.7)}
@@ -83,10 +86,16 @@ def validated(cases: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def related(cases: DataFrame, tokens: DataFrame, most: int = 20) -> DataFrame:
     """id, target_sha, rel_type, weight: up to ``most`` tokens that hold the word a case asks for (id, query), by sha; the relation follows the token's type."""
-    index = retrieval.postings(tokens).select("term", "token_sha")
-    hits = cases.select(F.col("id").cast("string").alias("id"), F.lower("query").alias("term")).distinct().join(index, "term").join(tokens.select("token_sha", "content_type"), "token_sha")
-    hits = hits.select("id", "token_sha", "content_type").distinct()
-    place = F.row_number().over(Window.partitionBy("id").orderBy("token_sha"))  # Spark keeps only ``most`` rows of a group before the shuffle
+    asked = cut(cases.select(F.col("id").cast("string").alias("id"), F.lower("query").alias("term")).distinct())
+    wanted = cut(asked.select("term").distinct())
+    if wanted.count() <= MOST_SENT:
+        wanted = F.broadcast(wanted)
+    # the first tokens of each asked term, then of each case: what is shuffled and joined grows with terms and cases, not with their product
+    holds = retrieval.terms_of(tokens, "token_sha", "content_type").join(wanted, "term")
+    first = F.row_number().over(Window.partitionBy("term").orderBy("token_sha", "content_type"))  # Spark keeps only ``most`` rows of a group before the shuffle
+    kept = holds.distinct().withColumn("k", first).filter(F.col("k") <= most)
+    place = F.row_number().over(Window.partitionBy("id").orderBy("token_sha"))
+    hits = asked.join(kept, "term").select("id", "token_sha", "content_type").distinct()
     rel, weight = F.lit(RELATED_ELSE[0]), F.lit(RELATED_ELSE[1])
     for kind, (r, w) in RELATED.items():
         rel, weight = F.when(F.col("content_type") == kind, r).otherwise(rel), F.when(F.col("content_type") == kind, w).otherwise(weight)
