@@ -201,3 +201,12 @@ def test_related_tokens_are_cut_by_term_before_cases_meet_them(spark):
     got = sorted((r.id, r.target_sha, r.weight) for r in found.collect())
     weight = lambda i: 0.7 if i % 2 else 0.95
     assert got == [(k, f"t{i}", weight(i)) for k in "123" for i in range(3)]
+
+
+def test_file_rules_read_calls_where_calls_are(spark, tmp_path):
+    text = ["threshold = 5; // 7", "x = ifnull(threshold, 12); // ifnull(threshold, 13)", "y = fn1(fn1(a, b, c), 1);", "alert \"//\";", "z = zoho.lost + zoho.bad + zoho.bad;", None]
+    spark.createDataFrame([("custom_api/f", i, t) for i, t in [*enumerate(text), (0, text[0])]], "file string, line int, text string").write.parquet(str(tmp_path / "l"))
+    found = scripts.file_rules(spark.read.parquet(str(tmp_path / "l")), [], ["zoho.bad"], spark.createDataFrame([("fn1", 2)], "function string, n_params int"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 4
+    want = [(0, "DG014", "threshold 5.0"), (1, "DG014", "threshold 12.0"), (1, "DG020", "no response map"), (2, "DG025", "fn1 3 of 2"), (3, "DG021", "form task alert"), (4, "DG002", "banned zoho.bad"), (4, "DG002", "banned zoho.bad"), (4, "DG018", "unknown zoho.lost")]
+    assert sorted((r.line, r.rule, r.message) for r in found.collect()) == want

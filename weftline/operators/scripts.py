@@ -18,7 +18,7 @@ RESPONSE_LINES = 10
 
 def stripped(text: Column) -> Column:
     """A line without its ``//`` comment; slashes between double quotes stay."""
-    return F.regexp_extract(text, r'^((?:[^"/]|"[^"]*"|/(?!/)|"[^"]*$)*)', 1)
+    return F.when(F.contains(text, F.lit("//")), F.regexp_extract(text, r'^((?:[^"/]|"[^"]*"|/(?!/)|"[^"]*$)*)', 1)).otherwise(text)
 
 
 def _found(df: DataFrame, rule: str, severity: str, message: Column, line: Column | None = None) -> DataFrame:
@@ -192,24 +192,37 @@ def calls_of(text: Column) -> Column:
 def file_rules(lines: DataFrame, variables: list[str], banned: list[str], signatures: DataFrame) -> DataFrame:
     """DG002, DG014, DG018, DG020, DG021 and DG025 line by line and file by file; signatures: function, n_params (the widest)."""
     rows = lines.select("file", "line", stripped(F.col("text")).alias("text"))
-    named = rows.select("file", "line", F.explode(F.regexp_extract_all("text", F.lit(r"\b(zoho\.\w+(?:\.\w+)*)"), F.lit(1))).alias("name"))
+    names = F.regexp_extract_all("text", F.lit(r"\b(zoho\.\w+(?:\.\w+)*)"), F.lit(1))
     sides = F.split("text", "=", 2)
     left, right = F.lower(F.trim(F.get(sides, F.lit(0)))), F.trim(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
     assigned = F.when(F.element_at(F.split(left, r"\W+"), -1).startswith("threshold"), F.regexp_extract(right, r"^[0-9][0-9.]*", 0))
-    called = rows.select("file", "line", "text", F.explode_outer(calls_of(F.col("text"))).alias("c")).select("file", "line", "text", "c.name", "c.args")
-    fallback = F.when((F.col("name") == "ifnull") & (F.size("args") == 2) & F.contains(F.lower("text"), F.lit("threshold")), F.get("args", F.lit(1)))
-    numbers = rows.select("file", "line", assigned.alias("x")).unionByName(called.select("file", "line", fallback.alias("x"))).select("file", "line", F.col("x").try_cast("double").alias("x"))
+    low = F.lower("text")
+    # calls are read where a function name stands before a bracket only, and fallbacks where a threshold is named
+    second = F.transform(F.filter(calls_of(F.col("text")), lambda c: (c["name"] == "ifnull") & (F.size(c["args"]) == 2)), lambda c: F.get(c["args"], F.lit(1)))
+    fallbacks = F.when(F.contains(low, F.lit("ifnull")), second).otherwise(F.array().cast("array<string>"))
+    numbers = F.array_distinct(F.filter(F.transform(F.concat(F.array(assigned), fallbacks), lambda x: x.try_cast("double")), lambda x: x.isNotNull() & ~x.isin(*THRESHOLDS)))
     api = F.contains("file", F.lit("custom_api"))
-    maps = rows.filter(api).groupBy("file").agg(F.max(F.col("text").rlike(r"\bMap\s*\(\s*\)|\.put\s*\(")).alias("has"))
     task = F.regexp_extract("text", r"(?i)\b(alert\b|cancel\s+submit\b)", 1)
+
+    def one(rule: str, severity: str, message: Column) -> Column:
+        return F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), message.alias("message"))
+
+    def named(rule: str, severity: str, cond, said: str) -> Column:
+        return F.transform(F.filter(names, cond), lambda x: one(rule, severity, F.concat(F.lit(said), x)))
+
+    by_line = F.concat(
+        named("DG002", "ERROR", lambda x: x.isin(*banned), "banned "), named("DG018", "WARNING", lambda x: ~x.isin(*variables, *banned), "unknown "),
+        F.when(api & (task != ""), F.array(one("DG021", "ERROR", F.concat(F.lit("form task "), F.regexp_replace(task, r"\s+", " "))))).otherwise(F.array()),
+    )
+    thresholds = rows.filter(F.contains(low, F.lit("threshold"))).select("file", "line", F.explode(numbers).alias("x")).distinct()
+    maps = rows.filter(api).groupBy("file").agg(F.max(F.col("text").rlike(r"\bMap\s*\(\s*\)|\.put\s*\(")).alias("has"))
     n = F.size("args")
-    arity = called.filter("name is not null").withColumnRenamed("name", "function").filter(~F.col("function").isin(*NO_CALLS)).join(signatures, "function").withColumn("n", n).filter("n > n_params")
+    called = rows.filter(F.col("text").rlike(r"\w\s*\(")).select("file", "line", F.inline(calls_of(F.col("text")))).withColumnRenamed("name", "function")
+    arity = called.filter(~F.col("function").isin(*NO_CALLS)).join(F.broadcast(signatures), "function").withColumn("n", n).filter("n > n_params")  # a row per known function
     return _all([
-        _found(named.filter(F.col("name").isin(*banned)), "DG002", "ERROR", F.concat(F.lit("banned "), F.col("name"))),
-        _found(numbers.filter(F.col("x").isNotNull() & ~F.col("x").isin(*THRESHOLDS)).distinct(), "DG014", "WARNING", F.concat(F.lit("threshold "), F.col("x").cast("string"))),
-        _found(named.filter(~F.col("name").isin(*variables, *banned)), "DG018", "WARNING", F.concat(F.lit("unknown "), F.col("name"))),
+        rows.select("file", F.col("line").cast("int").alias("line"), F.inline(by_line)),
+        _found(thresholds, "DG014", "WARNING", F.concat(F.lit("threshold "), F.col("x").cast("string"))),
         _found(maps.filter(~F.col("has")), "DG020", "WARNING", F.lit("no response map"), F.lit(1)),
-        _found(rows.filter(api & (task != "")), "DG021", "ERROR", F.concat(F.lit("form task "), F.regexp_replace(task, r"\s+", " "))),
         _found(arity, "DG025", "WARNING", F.concat_ws(" ", "function", F.col("n").cast("string"), F.lit("of"), F.col("n_params").cast("string"))),
     ])
 
