@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars
-from weftline.operators import cases, edges, markdown, retrieval, scripts
+from weftline.operators import cases, edges, markdown, retrieval, rules, scripts
 from weftline.sources import files, store
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -210,3 +210,15 @@ def test_file_rules_read_calls_where_calls_are(spark, tmp_path):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 4
     want = [(0, "DG014", "threshold 5.0"), (1, "DG014", "threshold 12.0"), (1, "DG020", "no response map"), (2, "DG025", "fn1 3 of 2"), (3, "DG021", "form task alert"), (4, "DG002", "banned zoho.bad"), (4, "DG002", "banned zoho.bad"), (4, "DG018", "unknown zoho.lost")]
     assert sorted((r.line, r.rule, r.message) for r in found.collect()) == want
+
+
+def test_builder_and_reference_rules_shuffle_no_frequent_name(spark):
+    lines = spark.range(30).selectExpr("concat('f', id) as file", "1 as line", "if(id = 3, 'insert into Lost [ x = input.b ]', 'insert into Known [ x = input.a ]') as text")
+    fields = spark.createDataFrame([("F", "A", "text", "")], "form string, field string, kind string, choices string")
+    found = scripts.builder_rules(lines, fields, spark.createDataFrame([("Known",)], "form string"))
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.file, r.rule) for r in found.collect()] == [("f3", "DS003")]
+    names = [spark.createDataFrame([(x,) for x in xs], "field string") for xs in (("a", "b"), ("a", "gone"))]
+    refs = rules.reference_rules(rules.input_references(lines), *names)
+    assert refs._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") <= 1  # of the unused names, each once
+    assert sorted((r.file, r.rule, r.message) for r in refs.collect()) == [("f3", "HY014", "b"), ("scripts", "HY015", "gone")]

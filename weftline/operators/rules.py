@@ -114,8 +114,9 @@ def input_references(lines: DataFrame) -> DataFrame:
 def reference_rules(references: DataFrame, target: DataFrame, mappings: DataFrame) -> DataFrame:
     """HY014: references to known fields that nothing maps to. HY015: mapped fields that no script refers to."""
     mapped = mappings.select("field").distinct()
-    lost = references.join(target.select("field").distinct(), "field", "left_semi").join(mapped, "field", "left_anti")
-    unused = mapped.join(references.select("field"), "field", "left_anti")
+    # fields are a schema, and few of them have most references: a shuffle by field would be one task's
+    lost = references.join(F.broadcast(target.select("field").distinct()), "field", "left_semi").join(F.broadcast(mapped), "field", "left_anti")
+    unused = mapped.join(references.select("field").distinct(), "field", "left_anti")
     return lost.select("file", "line", F.lit("HY014").alias("rule"), F.lit("WARNING").alias("severity"), F.col("field").alias("message")).unionByName(
         unused.select(F.lit("scripts").alias("file"), F.lit(0).alias("line"), F.lit("HY015").alias("rule"), F.lit("INFO").alias("severity"), F.col("field").alias("message"))
     )

@@ -249,7 +249,8 @@ def builder_rules(lines: DataFrame, fields: DataFrame, forms: DataFrame) -> Data
     fields: form, field, kind, choices; forms: form.
     """
     deep = depths(lines).groupBy("file").agg(F.max_by("braces", "line").alias("braces"), F.max_by("parens", "line").alias("parens"), F.max("line").alias("line"))
-    unknown = blocks(lines).filter("kind = 'insert'").join(forms.select(F.col("form").alias("target")).distinct(), "target", "left_anti")
+    known = F.broadcast(forms.select(F.col("form").alias("target")).distinct())  # a schema's forms: most inserts name few of them, so a shuffle by target would be one task's
+    unknown = blocks(lines).filter("kind = 'insert'").join(known, "target", "left_anti")
     twice = fields.groupBy("form", "field").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("form").alias("file"), F.lit(0).alias("line"), "field")
     bare = fields.filter((F.col("kind").isin("picklist", "radio", "dropdown")) & (F.coalesce(F.col("choices"), F.lit("")) == "")).select(F.col("form").alias("file"), F.lit(0).alias("line"), "field")
     return _all([
