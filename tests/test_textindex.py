@@ -121,3 +121,26 @@ def test_empty_index(spark, tmp_path):
     assert X.search(spark, path, "any words").count() == 0
     with pytest.raises(ValueError):
         X.read(spark, str(tmp_path / "nowhere"))
+
+
+def test_postings_hold_no_keys_of_tokens(spark, tmp_path):
+    """A row per term and block, not per term and token: what a frequent term costs is a number per token."""
+    path = str(tmp_path / "i")
+    rows = [(f"{i:064d}", "m", f"often rare{i} often") for i in range(200)]
+    X.build(spark.createDataFrame(rows, "token_sha string, module string, content string").coalesce(1), path, buckets=2)
+    stored = spark.read.parquet(f"{path}/g0/postings")
+    assert "token_sha" not in stored.columns
+    assert stored.filter("term = 'often'").count() <= 8  # files of the tokens' table
+    asked = {(r.token_sha, r.length, tuple(r.positions)) for r in X.read(spark, path, ["often"]).collect()}
+    assert asked == {(r[0], 3, (0, 2)) for r in rows}
+    everything = sorted(t for i in range(200) for t in ("often", f"rare{i}"))
+    assert sorted(r.term for r in X.read(spark, path).collect()) == everything
+
+
+def test_both_reads_agree(spark, index):
+    path, rows = index
+    words = sorted({t for _, _, text in rows for t in plain_terms(text)})
+    assert sorted(map(str, X.read(spark, path, words).collect())) == sorted(map(str, X.read(spark, path).collect()))
+    assert {(r.term, r.token_sha): r.positions for r in X.read(spark, path).collect()} == {
+        (t, sha): [i for i, x in enumerate(plain_terms(text)) if x == t] for sha, _, text in rows for t in set(plain_terms(text))
+    }

@@ -42,7 +42,8 @@ def page_lines(pages: DataFrame) -> DataFrame:
     """
     page = Window.partitionBy("page_url").orderBy("i")
     section = Window.partitionBy("page_url", "sec").orderBy("i")
-    lines = pages.select("module", "page_url", F.posexplode(F.split("body", "\n")).alias("i", "line"))
+    # pages are moved whole: their lines would bring their keys along
+    lines = pages.select("module", "page_url", "body").repartition("page_url").select("module", "page_url", F.posexplode(F.split("body", "\n")).alias("i", "line"))
     heading = F.regexp_extract("line", r"^#{1,6}\s+(.+)", 1)
     lines = lines.withColumn("heading", F.when(heading != "", F.trim(heading)))
     lines = lines.withColumn("sec", F.sum(F.when(F.col("heading").isNotNull(), 1).otherwise(0)).over(page))

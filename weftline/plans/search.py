@@ -28,9 +28,9 @@ def query(sql: str | None = None):
     return add
 
 
-def _indexed(spark: SparkSession, sf_dir: str) -> str:
+def _indexed(spark: SparkSession, tokens: DataFrame) -> str:
     path = f"{shared(spark)}/index-{uuid.uuid4().hex}"
-    textindex.build(page_tokens(spark, sf_dir).select("token_sha", "module", "content"), path)
+    textindex.build(tokens.select("token_sha", "module", "content"), path)
     return path
 
 
@@ -49,13 +49,13 @@ def _search_sql(phrases: list[list[str]], most: int, module: str = "") -> str:
 @query(_search_sql([["fn1", "a"], ["thanedble"], ["rein"]], 50))
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best tokens for words of which one is a phrase, from the buckets of its terms."""
-    return textindex.search(spark, _indexed(spark, sf_dir), PHRASES, most=50).select("token_sha", "module", F.round("score", 6).alias("score"))
+    return textindex.search(spark, _indexed(spark, page_tokens(spark, sf_dir)), PHRASES, most=50).select("token_sha", "module", F.round("score", 6).alias("score"))
 
 
 @query(_search_sql([["fn2", "a", "b"], ["atth"]], 40, "src3"))
 def module_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One module's best tokens; frequencies are those of the whole index."""
-    return textindex.search(spark, _indexed(spark, sf_dir), IN_MODULE[0], module=IN_MODULE[1], most=40).select("token_sha", "module", F.round("score", 6).alias("score"))
+    return textindex.search(spark, _indexed(spark, page_tokens(spark, sf_dir)), IN_MODULE[0], module=IN_MODULE[1], most=40).select("token_sha", "module", F.round("score", 6).alias("score"))
 
 
 @query(TOKENS_SQL + r""", now AS (
@@ -64,8 +64,8 @@ def module_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT term, token_sha, count(*) AS tf, CAST(min(place) AS INTEGER) AS first FROM p GROUP BY term, token_sha""")
 def indexed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth paragraph changes, every seventh goes, in three batches of which one is run again before and after a compaction."""
-    path = _indexed(spark, sf_dir)
     t = cut(page_tokens(spark, sf_dir).select("token_sha", "module", "paragraph", "content"))
+    path = _indexed(spark, t)
     fresh = F.concat(F.lit("Frèsh words "), F.col("paragraph").cast("string"), F.lit(" fresh"))
     changes = t.filter("paragraph % 5 = 0").select("token_sha", "module", fresh.alias("content"), F.lit(False).alias("deleted"), F.lit(1).alias("version"))
     older = changes.withColumn("content", F.lit("too late")).withColumn("version", F.lit(0))

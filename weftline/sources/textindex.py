@@ -3,8 +3,9 @@
 An index is a folder of Parquet tables in generations (``g0``, ``g1``, ...). Each table is partitioned by segment, the number of the
 batch that wrote it:
 
-- ``postings`` (also by bucket, the hash of the term): term, token_sha, module, length, positions;
-- ``lengths``: token_sha, length, of every token;
+- ``tokens``: token_sha, module, id (its number in the segment), length, terms, of every token; whole reads and compactions take the terms from here;
+- ``postings`` (also by bucket, the hash of the term): term, base, ids, ends, places: a row per term and block of tokens, whose kth token is base + ids[k] and has
+  places[ends[k - 1]:ends[k]] as positions. So keys of tokens stand in ``tokens`` only, and a search joins its few postings with them;
 - ``deleted``: token_sha of tokens whose rows in earlier segments no longer count;
 - ``segments``: a row per segment that is complete, written last; readers take in no others.
 
@@ -15,8 +16,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -58,14 +62,49 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def cut_postings(tokens: DataFrame) -> DataFrame:
-    """term, token_sha, module, length, positions of tokens (token_sha, module, content); positions rise from 0, length is the token's number of terms.
+def cut_terms(tokens: DataFrame) -> DataFrame:
+    """token_sha, module, terms of tokens (token_sha, module, content): the terms in order. Repeated keys count once; null and empty contents have no terms."""
+    found = F.coalesce(terms(F.col("content")), F.array().cast("array<string>"))
+    return tokens.dropDuplicates(["token_sha"]).select("token_sha", "module", found.alias("terms"))
 
-    Repeated keys count once. Null and empty contents have no postings.
-    """
-    split = tokens.dropDuplicates(["token_sha"]).select("token_sha", "module", terms(F.col("content")).alias("_terms"))
-    each = split.select("token_sha", "module", F.size("_terms").alias("length"), F.posexplode("_terms").alias("_at", "term"))
-    return each.groupBy("term", "token_sha", "module", "length").agg(F.array_sort(F.collect_list("_at")).alias("positions"))
+
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of tokens (id, terms), a row per term of each batch (blocks of one task's numbers, so that what is added to base stays small)."""
+    for batch in batches:
+        lists = batch.column("terms")
+        size = np.diff(lists.offsets.to_numpy())
+        owner = np.repeat(batch.column("id").to_numpy(), size)
+        place = np.arange(len(owner), dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
+        coded = lists.flatten().dictionary_encode()
+        code = coded.indices.to_numpy()
+        order = np.lexsort((code, owner >> 33))  # stable: tokens and places stay in order
+        code, owner, place = code[order], owner[order], place[order].astype(np.int32)
+        row = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (owner[1:] >> 33 != owner[:-1] >> 33)][: len(code)])  # where each term begins
+        first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])][: len(code)])  # where each token of a term begins
+        per_row = np.searchsorted(first, np.r_[row, len(code)]).astype(np.int32)
+        begin = np.repeat(row, np.diff(per_row))
+        ids = (owner[first] - owner[begin]).astype(np.int32)
+        ends = (np.r_[first[1:], len(code)][: len(first)] - begin).astype(np.int32)
+        bounds = np.r_[row, len(code)].astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [coded.dictionary.take(pa.array(code[row])), pa.array(owner[row]), *(pa.ListArray.from_arrays(pa.array(o), pa.array(v)) for o, v in ((per_row, ids), (per_row, ends), (bounds, place)))],
+            ["term", "base", "ids", "ends", "places"],
+        )
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once for each row, not for each element that a function in it looks at."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _each_term(found: Column) -> Column:
+    """Structs of term and its positions (rising from 0), of an array of terms: sorted, then cut where the term changes."""
+
+    def runs(pairs: Column) -> Column:
+        starts = F.filter(F.transform(pairs, lambda x, i: F.when(~x["t"].eqNullSafe(F.get(pairs, i - 1)["t"]), i)), lambda i: i.isNotNull())
+        return _let(starts, lambda at: F.transform(at, lambda i, k: F.struct(pairs[i]["t"].alias("term"), F.transform(F.slice(pairs, i + 1, F.coalesce(F.get(at, k + 1), F.size(pairs)) - i), lambda x: x["i"]).alias("positions"))))
+
+    return _let(F.sort_array(F.transform(found, lambda t, i: F.struct(t.alias("t"), i.alias("i")))), runs)
 
 
 def _generations(spark: SparkSession, path: str) -> list[int]:
@@ -87,26 +126,26 @@ def _write(df: DataFrame, folder: str, segment: int, *parts: str) -> None:
     df.write.mode("overwrite").partitionBy(*parts).parquet(f"{folder}/segment={segment}") if parts else df.write.mode("overwrite").parquet(f"{folder}/segment={segment}")
 
 
-def _write_segment(at: str, segment: int, buckets: int, postings: DataFrame, lengths: DataFrame, gone: DataFrame) -> None:
-    dealt = postings.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64("token_sha"), F.lit(SPLITS)))
+def _write_segment(at: str, segment: int, buckets: int, tokens: DataFrame, gone: DataFrame) -> None:
+    """Writes ``tokens`` (token_sha, module, terms) with their postings; ids are read back from the file, so both tables have the same."""
+    spark = tokens.sparkSession
     _write(gone, f"{at}/deleted", segment)
-    _write(dealt.sortWithinPartitions("bucket", "term", "token_sha"), f"{at}/postings", segment, "bucket")
-    _write(lengths, f"{at}/lengths", segment)
-    spark = postings.sparkSession
+    _write(tokens.select("token_sha", "module", F.monotonically_increasing_id().alias("id"), F.size("terms").alias("length"), "terms"), f"{at}/tokens", segment)
+    written = spark.read.schema("id long, terms array<string>").parquet(f"{at}/tokens/segment={segment}")
+    postings = written.mapInArrow(_inverted, "term string, base long, ids array<int>, ends array<int>, places array<int>")
+    dealt = postings.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64("base"), F.lit(SPLITS)))
+    _write(dealt.sortWithinPartitions("bucket", "term", "base"), f"{at}/postings", segment, "bucket")
     _write(spark.createDataFrame([(buckets,)], "buckets int"), f"{at}/segments", segment)
 
 
-def _lengths(tokens: DataFrame) -> DataFrame:
-    return tokens.dropDuplicates(["token_sha"]).select("token_sha", F.greatest(F.coalesce(F.size(terms(F.col("content"))), F.lit(0)), F.lit(0)).alias("length"))
-
-
 def build(tokens: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Writes the index of ``tokens`` (token_sha, module, content) as segment 0; batches have the numbers behind it. An empty table gives an index without postings."""
     none = tokens.select("token_sha").filter("false")
-    _write_segment(f"{path}/g0", 0, buckets, cut_postings(tokens), _lengths(tokens), none)
+    _write_segment(f"{path}/g0", 0, buckets, cut_terms(tokens), none)
 
 
-POSTINGS = "term string, token_sha string, module string, length int, positions array<int>, segment int, bucket int"
+POSTINGS = "term string, base long, ids array<int>, ends array<int>, places array<int>, segment int, bucket int"
+TOKENS = "token_sha string, module string, id long, length int, terms array<string>, segment int"
 
 
 def _table(spark: SparkSession, at: str, name: str, schema: str) -> DataFrame:
@@ -128,17 +167,24 @@ def buckets_of(spark: SparkSession, path: str) -> int:
 def read(spark: SparkSession, path: str, asked: list[str] | None = None) -> DataFrame:
     """term, token_sha, module, length, positions of all terms, or of the ``asked`` ones, whose buckets alone are read."""
     at = _newest(spark, path)
-    rows = _table(spark, at, "postings", POSTINGS)
-    if asked is not None:
-        known = spark.range(1).select(F.explode(F.array(*(_bucket(F.lit(t), buckets_of(spark, path)) for t in asked)))).collect() if asked else []  # a row per asked term
-        rows = rows.filter(F.col("bucket").isin([b[0] for b in known]) & F.col("term").isin(asked))
-    return _live(rows, at).select("term", "token_sha", "module", "length", "positions")
+    tokens = _live(_table(spark, at, "tokens", TOKENS), at)
+    if asked is None:
+        return tokens.select("token_sha", "module", "length", F.inline(_each_term(F.col("terms")))).select("term", "token_sha", "module", "length", "positions")
+    known = spark.range(1).select(F.explode(F.array(*(_bucket(F.lit(t), buckets_of(spark, path)) for t in asked)))).collect() if asked else []  # a row per asked term
+    rows = _table(spark, at, "postings", POSTINGS).filter(F.col("bucket").isin([b[0] for b in known]) & F.col("term").isin(asked))
+
+    def one(x: Column, k: Column) -> Column:
+        start = F.coalesce(F.get("ends", k - 1), F.lit(0))
+        return F.struct((F.col("base") + x).alias("id"), F.slice("places", start + 1, F.get("ends", k) - start).alias("positions"))
+
+    each = rows.select("segment", "term", F.inline(F.transform("ids", one)))
+    return each.join(tokens, ["segment", "id"]).select("term", "token_sha", "module", "length", "positions")
 
 
 def totals(spark: SparkSession, path: str) -> DataFrame:
     """n, total: tokens and terms of the index, in one row."""
     at = _newest(spark, path)
-    return _live(_table(spark, at, "lengths", "token_sha string, length int, segment int"), at).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total"))
+    return _live(_table(spark, at, "tokens", "token_sha string, length int, segment int"), at).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total"))
 
 
 def matches(spark: SparkSession, path: str, asked: list[list[str]]) -> DataFrame:
@@ -162,7 +208,7 @@ def search(spark: SparkSession, path: str, query: str, module: str | None = None
     """token_sha, module, score, position, seed_rank of the ``most`` best tokens that have any of the query's words, each word a phrase of its terms.
 
     BM25 over phrases, whose inverse frequency is at least LEAST_IDF; frequencies and lengths are those of the whole index, whatever the module.
-    Ties go to the smaller token_sha. A query without terms gives no rows. Only the buckets of the asked terms and the lengths are read.
+    Ties go to the smaller token_sha. A query without terms gives no rows. Only the buckets of the asked terms and the keys and lengths of tokens are read.
     """
     found = matches(spark, path, phrases(query))
     seen = found.groupBy("phrase").agg(F.count("*").alias("df"))
@@ -188,7 +234,7 @@ def apply_batch(path: str, changes: DataFrame, number: int) -> bool:
         return False
     last = changes.groupBy("token_sha").agg(F.max(F.struct("version", "deleted", "module", "content")).alias("c")).select("token_sha", "c.*").persist()
     new = last.filter("not coalesce(deleted, false)")
-    _write_segment(at, number, first[1], cut_postings(new), _lengths(new), last.select("token_sha"))
+    _write_segment(at, number, first[1], cut_terms(new), last.select("token_sha"))
     last.unpersist()
     return True
 
@@ -201,8 +247,8 @@ def compact(spark: SparkSession, path: str) -> int:
     number = _generations(spark, path)[0]
     at = f"{path}/g{number}"
     last, buckets = spark.read.schema("buckets int, segment int").parquet(f"{at}/segments").agg(F.max("segment"), F.max("buckets")).first()
-    lengths = _live(_table(spark, at, "lengths", "token_sha string, length int, segment int"), at).select("token_sha", "length")
-    _write_segment(f"{path}/g{number + 1}", last, buckets, read(spark, path), lengths, lengths.select("token_sha").filter("false"))
+    tokens = _live(_table(spark, at, "tokens", TOKENS), at)
+    _write_segment(f"{path}/g{number + 1}", last, buckets, tokens, tokens.select("token_sha").filter("false"))
     return last
 
 
