@@ -144,3 +144,9 @@ def test_both_reads_agree(spark, index):
     assert {(r.term, r.token_sha): r.positions for r in X.read(spark, path).collect()} == {
         (t, sha): [i for i, x in enumerate(plain_terms(text)) if x == t] for sha, _, text in rows for t in set(plain_terms(text))
     }
+
+
+def test_a_whole_read_moves_texts(spark, index):
+    """Postings need not be joined with what was deleted, one by one: tokens are, and their terms as one text."""
+    plan = X.read(spark, index[0])._jdf.queryExecution().executedPlan().toString()
+    assert "places" not in plan and "positions: array" not in plan and "array_join(terms" in plan

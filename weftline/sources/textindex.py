@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from weftline.functions.arrays import array_runs, let
+
 TERM = r"([\p{L}\p{N}\p{Co}]+)"
 BUCKETS = 64
 SPLITS = 8  # files of a bucket and segment, so that a frequent term isn't one task's
@@ -92,19 +94,13 @@ def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once for each row, not for each element that a function in it looks at."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _each_term(found: Column) -> Column:
     """Structs of term and its positions (rising from 0), of an array of terms: sorted, then cut where the term changes."""
 
     def runs(pairs: Column) -> Column:
-        starts = F.filter(F.transform(pairs, lambda x, i: F.when(~x["t"].eqNullSafe(F.get(pairs, i - 1)["t"]), i)), lambda i: i.isNotNull())
-        return _let(starts, lambda at: F.transform(at, lambda i, k: F.struct(pairs[i]["t"].alias("term"), F.transform(F.slice(pairs, i + 1, F.coalesce(F.get(at, k + 1), F.size(pairs)) - i), lambda x: x["i"]).alias("positions"))))
+        return array_runs(pairs, lambda x: x["t"], lambda i, n: F.struct(pairs[i]["t"].alias("term"), F.transform(F.slice(pairs, i + 1, n), lambda x: x["i"]).alias("positions")))
 
-    return _let(F.sort_array(F.transform(found, lambda t, i: F.struct(t.alias("t"), i.alias("i")))), runs)
+    return let(F.sort_array(F.transform(found, lambda t, i: F.struct(t.alias("t"), i.alias("i")))), runs)
 
 
 def _generations(spark: SparkSession, path: str) -> list[int]:
@@ -160,6 +156,12 @@ def _live(rows: DataFrame, at: str) -> DataFrame:
     return rows.join(gone, "token_sha", "left").filter("_gone is null or _gone <= segment").drop("_gone")
 
 
+def _whole(spark: SparkSession, at: str) -> DataFrame:
+    """The tokens that count, with their terms; these are moved as one text, since an array takes twice its room in a shuffle."""
+    rows = _table(spark, at, "tokens", TOKENS).withColumn("terms", F.array_join("terms", " "))  # a term holds no space
+    return _live(rows, at).withColumn("terms", F.filter(F.split("terms", " "), lambda t: t != ""))
+
+
 def buckets_of(spark: SparkSession, path: str) -> int:
     return spark.read.schema("buckets int, segment int").parquet(f"{_newest(spark, path)}/segments").agg(F.max("buckets")).first()[0]
 
@@ -167,9 +169,8 @@ def buckets_of(spark: SparkSession, path: str) -> int:
 def read(spark: SparkSession, path: str, asked: list[str] | None = None) -> DataFrame:
     """term, token_sha, module, length, positions of all terms, or of the ``asked`` ones, whose buckets alone are read."""
     at = _newest(spark, path)
-    tokens = _live(_table(spark, at, "tokens", TOKENS), at)
     if asked is None:
-        return tokens.select("token_sha", "module", "length", F.inline(_each_term(F.col("terms")))).select("term", "token_sha", "module", "length", "positions")
+        return _whole(spark, at).select("token_sha", "module", "length", F.inline(_each_term(F.col("terms")))).select("term", "token_sha", "module", "length", "positions")
     known = spark.range(1).select(F.explode(F.array(*(_bucket(F.lit(t), buckets_of(spark, path)) for t in asked)))).collect() if asked else []  # a row per asked term
     rows = _table(spark, at, "postings", POSTINGS).filter(F.col("bucket").isin([b[0] for b in known]) & F.col("term").isin(asked))
 
@@ -178,6 +179,7 @@ def read(spark: SparkSession, path: str, asked: list[str] | None = None) -> Data
         return F.struct((F.col("base") + x).alias("id"), F.slice("places", start + 1, F.get("ends", k) - start).alias("positions"))
 
     each = rows.select("segment", "term", F.inline(F.transform("ids", one)))
+    tokens = _live(_table(spark, at, "tokens", TOKENS), at)
     return each.join(tokens, ["segment", "id"]).select("term", "token_sha", "module", "length", "positions")
 
 
@@ -247,7 +249,7 @@ def compact(spark: SparkSession, path: str) -> int:
     number = _generations(spark, path)[0]
     at = f"{path}/g{number}"
     last, buckets = spark.read.schema("buckets int, segment int").parquet(f"{at}/segments").agg(F.max("segment"), F.max("buckets")).first()
-    tokens = _live(_table(spark, at, "tokens", TOKENS), at)
+    tokens = _whole(spark, at)
     _write_segment(f"{path}/g{number + 1}", last, buckets, tokens, tokens.select("token_sha").filter("false"))
     return last
 
