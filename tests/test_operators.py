@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scalars as C
 from weftline.functions import script as S
-from weftline.operators import audit, edges, relational, retrieval, rules, tokens, traverse
+from weftline.operators import audit, cases, edges, relational, retrieval, rules, tokens, traverse
 from weftline.sources import files, store
 from weftline.streaming import events as stream
 
@@ -213,3 +213,14 @@ def test_imports_do_not_need_llm():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "weftline.llm" not in path.read_text()
+
+
+def test_index_counts_shuffle_contents_not_terms(spark):
+    rows = [("a", "One two one"), ("b", "two, TWO; été2"), ("a", "one"), ("c", None), ("d", "—")]
+    t = spark.createDataFrame(rows, "token_sha string, content string")
+    counts = retrieval.term_counts(t)
+    assert {(r.term, r.token_sha): r.tf for r in retrieval.postings(counts).collect()} == {("one", "a"): 3, ("two", "a"): 1, ("two", "b"): 2, ("été2", "b"): 1}
+    index = retrieval.postings(cases.updated_counts(counts, t.filter("token_sha in ('b', 'none')"), spark.createDataFrame([("b", "new new"), ("e", "one")], t.schema)))
+    assert {(r.term, r.token_sha): r.tf for r in index.collect()} == {("one", "a"): 3, ("two", "a"): 1, ("new", "b"): 2, ("one", "e"): 1}
+    plan = retrieval.postings(counts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.index("Generate")

@@ -140,6 +140,6 @@ def store_residual(orphans: DataFrame, broken: DataFrame, shadows: DataFrame, in
     return counted.unionByName(counted.agg(F.sum("n").alias("n")).select(F.lit("residual").alias("check"), "n"))
 
 
-def updated_postings(index: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
-    """The inverted index after tokens went (token_sha) and others came (token_sha, content): only theirs are cut again."""
-    return index.join(gone.select("token_sha").distinct(), "token_sha", "left_anti").select("term", "token_sha", "tf").unionByName(retrieval.postings(new))
+def updated_counts(index: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+    """The counts of an index (``retrieval.term_counts``) after tokens went (token_sha) and others came (token_sha, content): only theirs are cut again."""
+    return index.join(gone.select("token_sha").distinct(), "token_sha", "left_anti").unionByName(retrieval.term_counts(new))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions.arrays import array_runs, let
 from weftline.operators.lineage import cut
 
 # fixed values: how eagerly a relation is followed, and what a content type adds to a score
@@ -46,9 +47,20 @@ def terms_of(tokens: DataFrame, *columns: str) -> DataFrame:
     return tokens.select(F.explode(F.regexp_extract_all(F.lower("content"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("term"), *columns)
 
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """The inverted index: term, token_sha, tf."""
-    return terms_of(tokens, "token_sha").groupBy("term", "token_sha").agg(F.count("*").alias("tf"))
+def term_counts(tokens: DataFrame) -> DataFrame:
+    """token_sha, counts: the terms of each token with their number (term, tf), counted within its row, so that contents are shuffled and not their terms.
+
+    Rows of one token count together. Terms are as ``terms_of`` has them.
+    """
+    one = Window.partitionBy("token_sha")
+    once = tokens.select("token_sha", F.collect_list("content").over(one).alias("_all"), F.row_number().over(one.orderBy("token_sha")).alias("_k")).filter("_k = 1")
+    found = F.sort_array(F.regexp_extract_all(F.lower(F.array_join("_all", " ")), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    return once.select("token_sha", let(found, lambda t: array_runs(t, lambda x: x, lambda i, n: F.struct(t[i].alias("term"), n.cast("long").alias("tf")))).alias("counts"))
+
+
+def postings(counts: DataFrame) -> DataFrame:
+    """The inverted index of ``term_counts``: term, token_sha, tf."""
+    return counts.select("token_sha", F.inline("counts")).select("term", "token_sha", "tf")
 
 
 def bm25(tokens: DataFrame, query: str, most: int = 30, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -262,9 +262,9 @@ def store_self_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(TOKENS_SQL + r""", p AS (SELECT token_sha, unnest(regexp_extract_all(lower(CASE WHEN paragraph % 5 = 0 THEN 'fresh words' ELSE content END), '[\p{L}\p{N}]+')) AS term FROM tokens) SELECT term, count(DISTINCT token_sha) AS df, count(*) AS tf FROM p GROUP BY term""")
 def index_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth paragraph changes: its postings go and new ones come."""
-    from weftline.operators.retrieval import postings
+    from weftline.operators.retrieval import postings, term_counts
 
     t = cut(page_tokens(spark, sf_dir))
     changed = t.filter("paragraph % 5 = 0")
-    index = cases.updated_postings(postings(t), changed, changed.withColumn("content", F.lit("fresh words")))
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    index = cases.updated_counts(term_counts(t), changed, changed.withColumn("content", F.lit("fresh words")))
+    return postings(index).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
