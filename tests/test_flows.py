@@ -94,3 +94,17 @@ def test_sketches_of_many_groups_stay_within_two_percent(spark):
     rows = spark.range(60 * 30_000).selectExpr("id % 60 as g", "id * 7 as v")
     got = sketches.estimated(sketches.by_group(rows, "g", "v")).collect()
     assert all(x == pytest.approx(30_000, rel=0.015) for r in got for x in (r.distinct_hll, r.distinct_theta))
+
+
+def test_rings_behind_rings_take_few_rounds(spark, monkeypatch):
+    """Rings in a row, each with a long way to the next: rounds don't follow the length of the row."""
+    rings = [[100 * k + i for i in (1, 2, 3)] for k in range(8)]
+    edges = [e for a, b, c in rings for e in ((a, b), (b, c), (c, a))]
+    edges += [(step + 1, step) for low, high in zip(rings, rings[1:]) for step in (low[2] + 10, low[2] + 11)] + [e for low, high in zip(rings, rings[1:]) for e in ((high[0], low[2] + 12), (low[2] + 10, low[2]))]
+    want = {n: ring[0] for ring in rings for n in ring}
+    steps = []
+    monkeypatch.setattr(traverse, "cut", lambda df, real=traverse.cut: (steps.append(1), real(df))[1])
+    assert {r.node: r.cycle for r in traverse.cycles(spark.createDataFrame(edges, "node long, needs long")).collect()} == want
+    assert len(steps) <= 20
+    turned = spark.createDataFrame([(b, a) for a, b in edges[:9] + edges[24:26] + edges[-14:-10]], "node long, needs long")
+    assert {r.node: r.cycle for r in traverse.cycles(turned).collect()} == {n: ring[0] for ring in rings[:3] for n in ring}

@@ -111,40 +111,38 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """cycle, node of every node that can reach itself by way of another one: strongly connected nodes of ``edges`` (node, needs), named after the least of them.
 
-    In each round nodes without a way in or out go first. Then every node learns the greatest node that reaches it, which parts the rest into
-    colours; what reaches its colour's node within the colour is strongly connected with it, and leaves. Each step is a join and an aggregation; whether
-    anything is left comes to the driver.
+    In each round nodes without a way in or out go first. Then every node learns the least node that reaches it (in every other round the greatest),
+    which parts the rest into colours; edges between colours are on no cycle and go. What reaches its colour's node within the colour is strongly connected
+    with it, and leaves. Where needs have smaller names (or all have greater ones) few rounds are left, however long the paths are. Each step is a join and
+    an aggregation; whether anything is left comes to the driver.
     """
     left = cut(edges.filter("node <> needs").select(F.col("node").alias("a"), F.col("needs").alias("b")).distinct())
-    found = None
+    found, least = None, True
     while not left.isEmpty():
-        size = None
-        while size != (size := left.count()):
-            inner = left.select(F.col("a").alias("n")).distinct().join(left.select(F.col("b").alias("n")).distinct(), "n")
-            left = cut(left.join(inner.withColumnRenamed("n", "a"), "a", "left_semi").join(inner.withColumnRenamed("n", "b"), "b", "left_semi").select("a", "b"))
-        if not size:
-            break
-        colour = left.select(F.col("a").alias("n")).distinct().withColumn("c", F.col("n"))
-        changed = 1
-        while changed:
-            told = left.join(colour.withColumnRenamed("n", "a"), "a").groupBy(F.col("b").alias("n")).agg(F.max("c").alias("d"))
-            new = cut(colour.join(told, "n", "left").select("n", F.greatest("c", F.coalesce("d", "c")).alias("c"), (F.col("d") > F.col("c")).alias("up")))
-            changed = new.filter("up").limit(1).count()
-            colour = new.select("n", "c")
+        inner = left.select(F.col("a").alias("n")).distinct().join(left.select(F.col("b").alias("n")).distinct(), "n")
+        left = cut(left.join(inner.withColumnRenamed("n", "a"), "a", "left_semi").join(inner.withColumnRenamed("n", "b"), "b", "left_semi").select("a", "b"))
+        best, better = (F.min, F.least) if least else (F.max, F.greatest)
+        colour = cut(left.select(F.col("a").alias("n")).union(left.select("b")).distinct().withColumn("c", F.col("n")).withColumn("new", F.lit(True)))
+        while True:  # only what has changed is told on
+            told = left.join(colour.filter("new").select(F.col("n").alias("a"), "c"), "a").groupBy(F.col("b").alias("n")).agg(best("c").alias("d"))
+            chosen = better("c", F.coalesce("d", "c"))
+            colour = cut(colour.select("n", "c").join(told, "n", "left").select("n", chosen.alias("c"), (chosen != F.col("c")).alias("new")))
+            if colour.filter("new").isEmpty():
+                break
         start, end = colour.select(F.col("n").alias("a"), F.col("c").alias("ca")), colour.select(F.col("n").alias("b"), F.col("c").alias("cb"))
         same = cut(left.join(start, "a").join(end, "b").filter("ca = cb").select("a", "b", "ca"))
-        strong = cut(colour.filter("n = c"))
-        front = strong
+        strong = front = cut(colour.filter("n = c").select("n", "c"))
         while True:
             front = cut(same.join(front.select(F.col("n").alias("b")), "b").select(F.col("a").alias("n"), F.col("ca").alias("c")).distinct().join(strong, "n", "left_anti"))
             if front.isEmpty():
                 break
             strong = cut(strong.unionByName(front))
-        least = strong.groupBy("c").agg(F.min("n").alias("cycle"), F.count("*").alias("size")).filter("size > 1")
-        named = strong.join(least, "c").select("cycle", F.col("n").alias("node"))
+        size = strong.groupBy("c").agg(F.min("n").alias("cycle"), F.count("*").alias("size")).filter("size > 1")
+        named = strong.join(size, "c").select("cycle", F.col("n").alias("node"))
         found = named if found is None else found.unionByName(named)
         gone = strong.select("n")
-        left = cut(left.join(gone.withColumnRenamed("n", "a"), "a", "left_anti").join(gone.withColumnRenamed("n", "b"), "b", "left_anti").select("a", "b"))
+        left = cut(same.select("a", "b").join(gone.withColumnRenamed("n", "a"), "a", "left_anti").join(gone.withColumnRenamed("n", "b"), "b", "left_anti").select("a", "b"))
+        least = not least
     if found is None:
         return edges.select(F.col("node").alias("cycle"), "node").filter("false")
     return cut(found)
