@@ -129,6 +129,18 @@ def test_pagerank_drops_dangling_rank(spark):
         assert math.isclose(r["rank"], rank[r.node], abs_tol=1e-12)
 
 
+def test_pagerank_ends_where_ranks_stay(spark, monkeypatch):
+    pairs = [("s", "p"), ("s", "q"), ("p", "c"), ("q", "c"), ("q", "c"), ("q", "d")]
+    nodes = spark.createDataFrame([(n,) for n in "spqcd"], "node string")
+    cuts = []
+    monkeypatch.setattr(traverse, "cut", lambda df, real=traverse.cut: (cuts.append(1), real(df))[1])
+    got = {r.node: r["rank"] for r in traverse.pagerank(graph(spark, pairs), nodes, rounds=100).collect()}
+    base = 0.15 / 5
+    p = base + 0.85 * base / 2
+    assert got == pytest.approx({"s": base, "p": p, "q": p, "c": base + 0.85 * (p + p * 2 / 3), "d": base + 0.85 * p / 3}, abs=1e-12)
+    assert len(cuts) <= 7
+
+
 def test_load_order_and_cycles():
     assert traverse.load_order([("c", "b"), ("b", "a"), ("d", "a")]) == ["a", "b", "c", "d"]
     with pytest.raises(ValueError, match="cycle"):

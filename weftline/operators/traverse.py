@@ -43,24 +43,28 @@ def bfs(edges: DataFrame, start: DataFrame, most_depth: int | None = None) -> Da
 def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85, chunk: int = 4096) -> DataFrame:
     """node, rank: unweighted, parallel edges count each, and the rank of nodes without outgoing edges is dropped, so ranks need not sum to 1.
 
-    A node's links are kept as arrays of about ``chunk`` targets, by (node, part), so that a node with a third of all links is many rows. A
-    round sends the nodes to their parts and what each target gets, summed before the shuffle; links don't move again.
+    A node's links are kept as arrays of about ``chunk`` targets, by (node, part), so that a node with a third of all links is many rows; they
+    don't move again. A round sends by how much ranks have changed, so nodes whose rank stays send nothing, and rounds end early where all stay
+    (behind the longest path of a graph without cycles): each further round would give the same ranks.
     """
     counted = cut(edges.groupBy(F.col("source_sha").alias("node"), F.col("target_sha").alias("to")).agg(F.count("*").alias("times")))
     degree = counted.groupBy("node").agg(F.sum("times").alias("degree"), F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
-    given = counted.join(degree, "node").select("node", F.pmod(F.xxhash64("to"), F.col("parts")).cast("int").alias("part"), "to", (damping * F.col("times") / F.col("degree")).alias("share"), F.lit(0).alias("parts"))
-    # each node also gives itself nothing, with the number of its parts: so it stays, and ends that are no nodes drop out
-    state = cut(nodes.select("node").distinct().join(degree.select("node", "parts"), "node", "left").select("node", F.coalesce("parts", F.lit(1)).alias("parts")))
+    given = counted.join(degree, "node").select("node", F.pmod(F.xxhash64("to"), F.col("parts")).cast("int").alias("part"), "to", (damping * F.col("times") / F.col("degree")).alias("share"))
+    state = cut(nodes.select("node").distinct().join(degree.select("node", "parts"), "node", "left").select("node", F.coalesce("parts", F.lit(0)).alias("parts")))
     n = max(1, state.count())
-    own = state.select("node", F.lit(0).alias("part"), F.col("node").alias("to"), F.lit(0.0).alias("share"), "parts")
-    links = cut(given.unionByName(own).groupBy("node", "part").agg(F.collect_list(F.struct("to", "share", "parts")).alias("targets")))
-    ranks = state.withColumn("rank", F.lit(1.0 / n))
+    links = cut(given.groupBy("node", "part").agg(F.collect_list(F.struct("to", "share")).alias("targets")))
+    ranks = state.withColumn("rank", F.lit(1.0 / n)).withColumn("change", F.lit(1.0 / n))
     for i in range(rounds):
-        sent = ranks.select("node", "rank", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(links, ["node", "part"])
-        got = sent.select("rank", F.inline("targets")).groupBy("to").agg(F.sum(F.col("rank") * F.col("share")).alias("got"), F.max("parts").alias("parts"))
-        ranks = got.filter("parts > 0").select(F.col("to").alias("node"), "parts", (F.lit((1 - damping) / n) + F.col("got")).alias("rank"))
-        if i % 5 == 4:
-            ranks = cut(ranks)
+        sent = ranks.filter("change is not null and parts > 0").select("node", "change", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(links, ["node", "part"])
+        got = sent.select("change", F.inline("targets")).groupBy(F.col("to").alias("node")).agg(F.sum(F.col("change") * F.col("share")).alias("got"))
+        met = ranks.join(got, "node", "left")
+        if i == 0:  # all that a node has got so far, from the even start
+            rank = F.lit((1 - damping) / n) + F.coalesce("got", F.lit(0.0))
+            ranks = cut(met.select("node", "parts", rank.alias("rank"), (rank - F.col("rank")).alias("change")))
+        else:
+            ranks = cut(met.select("node", "parts", (F.col("rank") + F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("got").alias("change")))
+        if i + 1 < rounds and ranks.filter("change is not null and parts > 0").isEmpty():
+            break
     return ranks.select("node", "rank")
 
 
