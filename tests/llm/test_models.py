@@ -180,3 +180,19 @@ def test_language_keeps_a_column_of_its_own_name(spark):
     got = langid.identify(docs, langid.fit(docs))
     assert got.columns == ["doc_id", "text", "lang", "_Lang_Top", "lang_pred", "score"]
     assert sorted((r.doc_id, r._Lang_Top) for r in got.collect()) == [(1, 7), (2, 8)]
+
+
+def test_every_label_teaches(spark, monkeypatch):
+    """All labelled rows are in a pair, in small blocks too and where one class is rare; the cut is an order statistic of all of them."""
+    monkeypatch.setattr(quality, "BLOCK", 16)
+    for rare in (5, 60):
+        rows = spark.createDataFrame([(i, int(i >= rare), [float(i) * (1000 if i >= rare else 1)]) for i in range(200 + rare)], "doc_id long, label int, x array<double>")
+        d = [int(r.d[0]) for r in quality._pairs(rows, 200, rare).collect()]
+        assert {-(-v // 1000) for v in d} == {*range(rare, 200 + rare)} and {-v % 1000 for v in d} == {*range(rare)}
+    values = spark.createDataFrame([(float(v % 97) / 7,) for v in range(3000)], "s double")
+    want = sorted(float(v % 97) / 7 for v in range(3000))
+    assert [quality._ranked(values, k, bins=8) for k in (0, 1, 1499, 2999)] == [want[k] for k in (0, 1, 1499, 2999)]
+    d = np.random.default_rng(3).normal(0.4, 1, (500, 3))
+    w = quality._weights(spark.createDataFrame([(list(map(float, x)),) for x in d], "d array<double>"), 3)
+    p = 1 / (1 + np.exp(d @ w))
+    assert np.abs(1e-3 * w - d.T @ p / len(d)).max() < 1e-6

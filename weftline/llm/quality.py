@@ -1,7 +1,7 @@
 """Quality classifier by Bradley-Terry pairwise ranking.
 
 A document's strength is linear in features of its whole text. The model is learned from
-preference pairs (a good document against a bad one) by logistic loss on feature differences. The cut
+preference pairs (a good document against a bad one) of all labelled rows by logistic loss on feature differences. The cut
 between bad and good is a quantile of the training scores: the share of bad labels.
 """
 
@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import bytetext as B
-from weftline.llm.session import mapped
+from weftline.llm.session import dropped, mapped, stored
 
 FEATURES = (
     "symbol_ends", "bang_ends", "bars", "upper", "digits", "beyond_ascii", "marks", "again_1", "again_2", "again_3",
     "word_length", "lines", "line_again", "log_words", "no_end_mark",
 )
 CUT = 0.3
+PAIRS, BLOCK, LEAST_OTHERS = 4, 4096, 64  # pairs of a row of the more frequent class; rows of that class and of the other one in a block
 
 
 @dataclass(frozen=True)
@@ -97,9 +98,11 @@ def features(texts: pa.Array) -> np.ndarray:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in B.slices(batches, "text"):
-        x = features(batch.column("text"))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("label"), lists], ["label", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(features(batch.column("text")))], ["doc_id", "x"])
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
 
 def bradley_terry(good: np.ndarray, bad: np.ndarray, pairs: int = 40_000, penalty: float = 1e-3, steps: int = 30) -> np.ndarray:
@@ -118,29 +121,95 @@ def bradley_terry(good: np.ndarray, bad: np.ndarray, pairs: int = 40_000, penalt
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 8000) -> QualityModel:
-    """A model from the rows of ``labels`` (doc_id, quality) whose documents are in ``docs`` (doc_id, text).
+def _paired(block: pa.Table) -> pa.Table:
+    """Differences good - bad of a block of rows: each row of the larger class meets PAIRS ones of the other, which all come in turn."""
+    y = block["label"].to_numpy().astype(bool)
+    x = block["x"].combine_chunks().flatten().to_numpy().reshape(len(y), -1)
+    x, y = x[order := np.lexsort((*x.T, y))], y[order]
+    good, bad = x[y], x[~y]
+    if not len(good) or not len(bad):
+        return pa.table([_lists(np.zeros((0, x.shape[1])))], ["d"])
+    large, small = (good, bad) if len(good) >= len(bad) else (bad, good)
+    chosen = np.random.default_rng(1)
+    turn = np.tile(chosen.permutation(len(small)), -(-PAIRS * len(large) // len(small)))[: PAIRS * len(large)]
+    d = np.repeat(large[chosen.permutation(len(large))], PAIRS, axis=0) - small[turn]
+    return pa.table([_lists(d if large is good else -d)], ["d"])
+
+
+def _pairs(rows: DataFrame, good: int, bad: int) -> DataFrame:
+    """d, differences of pairs of all ``rows`` (doc_id, label, x), in blocks of about BLOCK rows of the more frequent class; where the other one is rare, its rows stand in several blocks."""
+    blocks = -(-max(good, bad) // BLOCK)
+    times = min(blocks, -(-LEAST_OTHERS * blocks // min(good, bad)))
+    rare = int(good < bad)
+    copies = F.when(F.col("label") == rare, F.sequence(F.lit(0), F.lit(times - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.select("label", "x", F.xxhash64("doc_id").alias("_h"), F.explode(copies).alias("_i"))
+    return dealt.select("label", "x", F.pmod(F.col("_h") + F.col("_i"), F.lit(blocks)).alias("block")).groupBy("block").applyInArrow(_paired, "d array<double>")
+
+
+def _newton_sums(w: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(w) * (len(w) + 1) + 1)
+        for batch in batches:
+            d = batch.column("d").flatten().to_numpy().reshape(batch.num_rows, len(w))
+            p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
+            total += np.r_[d.T @ p, ((d * (p * (1 - p))[:, None]).T @ d).ravel(), len(d)]
+        yield pa.RecordBatch.from_arrays([_lists(total[None])], ["sums"])
+
+    return run
+
+
+def _weights(pairs: DataFrame, width: int, penalty: float = 1e-3, steps: int = 30) -> np.ndarray:
+    """As ``bradley_terry``, over a table of differences: a step sums slope and curve where the rows are."""
+    w = np.zeros(width)
+    for _ in range(steps):
+        each = mapped(pairs, _newton_sums(w), "sums array<double>").select(F.posexplode("sums").alias("i", "v"))
+        got = np.array([r.v for r in each.groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()])  # width * (width + 1) + 1 numbers
+        slope = penalty * w - got[:width] / got[-1]
+        step = np.linalg.solve(got[width:-1].reshape(width, width) / got[-1] + penalty * np.eye(width), slope)
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def _ranked(values: DataFrame, rank: int, bins: int = 4096) -> float:
+    """The exact value of column s with ``rank`` (from 0) smaller or equal ones before it: the bin that holds it is cut again until it has one value."""
+    low, high = values.agg(F.min("s"), F.max("s")).first()
+    while low < high:
+        within = values.filter(F.col("s").between(low, high)).withColumn("bin", F.floor((F.col("s") - low) / (high - low) * bins))
+        for r in within.groupBy("bin").agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).orderBy("bin").collect():  # at most bins + 1 rows
+            if rank < r.n:
+                break
+            rank -= r.n
+        low, high = r.low, r.high
+    return low
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
+    """A model from all rows of ``labels`` (doc_id, quality) whose documents are in ``docs`` (doc_id, text). Null labels teach nothing.
 
-    A hash of doc_id picks about ``most_rows`` labels (at most twice as many, of repeated ids the first by it). Null labels teach nothing.
+    Features are counted where the texts are; only they are shuffled and stored. Every labelled row is in a pair, and the cut is exact over all of them.
     Without both good and bad documents the model scores every text 1.
     """
+    spark = docs.sparkSession
     known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
-    total = known.count()
-    rate = min(1.0, most_rows / max(1, total))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(rate * (1 << 20))).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(2 * most_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")  # at most 2 * most_rows labels
-    got = mapped(rows, _featured, "label int, x array<double>").limit(4 * most_rows).toArrow()
-    y = got["label"].to_numpy().astype(bool)
-    if y.all() or not y.any():
-        return QualityModel(np.zeros(len(FEATURES)), np.zeros(len(FEATURES)), -math.inf)
-    x = np.array(got["x"].to_pylist())
-    x = x[order := np.lexsort((*x.T, y))]
-    y = y[order]
-    center = x.mean(axis=0)
-    weight = bradley_terry(x[y] - center, x[~y] - center)
-    s = np.sort((x - center) @ weight)
-    bad = int((~y).sum())
-    return QualityModel(center, weight, float((s[bad - 1] + s[min(bad, len(s) - 1)]) / 2))
+    asked = docs.select("doc_id", "text").filter("doc_id is not null")
+    schema = T.StructType([asked.schema["doc_id"], T.StructField("x", T.ArrayType(T.DoubleType()))])
+    rows, rows_at = stored(mapped(asked, _featured, schema).join(known, "doc_id").select("doc_id", "label", "x"))
+    width = len(FEATURES)
+    n, good, *center = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0)), *(F.avg(F.col("x")[i]) for i in range(width))).first()
+    if good in (0, n):
+        dropped(spark, rows_at)
+        return QualityModel(np.zeros(width), np.zeros(width), -math.inf)
+    pairs, pairs_at = stored(_pairs(rows, good, n - good))
+    weight = _weights(pairs, width)
+    dropped(spark, pairs_at)
+    strength = sum((F.col("x")[i] - F.lit(float(c))) * F.lit(float(w)) for i, (c, w) in enumerate(zip(center, weight, strict=True)))
+    scores = rows.select(strength.alias("s"))
+    bad = n - good
+    cut = (_ranked(scores, bad - 1) + _ranked(scores, min(bad, n - 1))) / 2
+    dropped(spark, rows_at)
+    return QualityModel(np.array(center), weight, cut)
 
 
 def _scored(model: QualityModel):
