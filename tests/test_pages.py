@@ -50,3 +50,13 @@ def test_events_of_odd_pages(spark):
 def test_null_page(spark):
     assert reported(spark, [None]) == [[]]
     assert [r.markdown for r in M.to_markdown(spark.createDataFrame([(1, None)], "k int, html string"), "k").collect()] == ["\n"]
+
+
+def test_pages_are_cut_once(spark):
+    page = "<ul>" + "".join(f"<li><a href='/{k}?a&amp;b'>n&copy;{k}</a> <b>x</b></li>" for k in range(700)) + "</ul><a>open "
+    df = spark.createDataFrame([(1, page)], "k int, html string")
+    made = M.to_markdown(df, "k")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(html") == 1  # beside the generator it ran again for each piece
+    assert "unboundedfollowing" not in plan.lower()  # a frame that is gone over again for each piece
+    assert [r.markdown for r in made.collect()] == [markdown(page)]

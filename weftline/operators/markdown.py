@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import html.entities
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ def _numbered(reference: Column) -> Column:
 
 def decoded(text: Column) -> Column:
     """``text`` with its character references as HTML 5 reads them: all names, the old ones also without a semicolon and in front of other letters."""
-    names = F.create_map(*(F.lit(x) for pair in sorted(html.entities.html5.items()) for x in pair))
+    names = F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")  # one literal: thousands of columns take half a minute to plan
     old = "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 
     def one(x: Column) -> Column:
@@ -89,7 +90,9 @@ def page_events(pages: DataFrame, key: str) -> DataFrame:
         return F.when(raw, F.filter(three, lambda x: x["piece"] != "")).when(broken, start).otherwise(F.array(F.struct(piece.alias("piece"), F.lit(False).alias("raw"))))
 
     pieces = F.flatten(F.transform(F.regexp_extract_all("html", F.lit(PIECE), F.lit(1)), parts))
-    rows = pages.select(key, F.posexplode_outer(pieces).alias("i", "_piece"), F.size(pieces).alias("_n")).select(key, "i", "_n", "_piece.piece", F.coalesce("_piece.raw", F.lit(False)).alias("_raw"))
+    # a column of its own: beside the generator the size would cut the whole page again for each piece
+    whole_page = pages.select(key, pieces.alias("_pieces")).withColumn("_n", F.size("_pieces"))
+    rows = whole_page.select(key, "_n", F.posexplode_outer("_pieces").alias("i", "_piece")).select(key, "i", "_n", "_piece.piece", F.coalesce("_piece.raw", F.lit(False)).alias("_raw"))
     piece, raw = F.col("piece"), F.col("_raw")
     markup = piece.rlike(r"^<[a-zA-Z/!?]") & ~raw
     tag = piece.rlike(r"^<(/\s*)?[a-zA-Z]") & piece.endswith(">") & ~raw
@@ -112,7 +115,7 @@ def to_markdown(pages: DataFrame, key: str) -> DataFrame:
     html give a line break alone.
     """
     order = Window.partitionBy(key).orderBy("i")
-    ahead = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    back = Window.partitionBy(key).orderBy(F.desc("i"))  # a running minimum from behind: a frame that ends behind all rows looks at all of them again for each
     name, close, alone = F.col("name"), F.col("close"), F.col("alone")
     starts = ~close & ~alone
     rows = page_events(pages, key).select(
@@ -121,7 +124,7 @@ def to_markdown(pages: DataFrame, key: str) -> DataFrame:
         F.coalesce(F.last(F.when(name == "pre", starts), ignorenulls=True).over(order), F.lit(False)).alias("pre"),
         F.coalesce(F.last(F.when(name == "a", starts), ignorenulls=True).over(order), F.lit(False)).alias("linked"),
         F.last(F.when((name == "a") & ~close, F.col("href")), ignorenulls=True).over(order).alias("href"),
-        F.min(F.when((name == "a") & (close | alone), F.col("i"))).over(ahead).alias("link_end"),
+        F.min(F.when((name == "a") & (close | alone), F.col("i"))).over(back).alias("link_end"),
     )
     text = F.col("text").isNotNull()
     heading = name.rlike("^h[1-6]$")
@@ -138,7 +141,7 @@ def to_markdown(pages: DataFrame, key: str) -> DataFrame:
     out = F.when(text, words).when(name == "", "").when(alone, F.concat(opened, closed)).when(close, closed).otherwise(opened)
     moved = F.col("linked") & F.col("link_end").isNotNull() & (text | (name == "a"))
     at = F.struct(F.when(moved, F.col("link_end")).otherwise(F.col("i")).alias("to"), F.when(moved, F.col("i")).otherwise(F.when(name == "a", F.lit(1 << 30)).otherwise(-1)).alias("by"), F.coalesce(out, F.lit("")).alias("out"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(at)), lambda x: x["out"]), "")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(at)), lambda x: x["out"]), "")
     done = F.regexp_replace(F.regexp_replace(whole, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
     return rows.groupBy(key).agg(F.concat(done, F.lit("\n")).alias("markdown"))
 
