@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 
 from html_events import events, markdown
+from pyspark.sql import functions as F
 from weftline.operators import markdown as M
+from weftline.operators import tokens as T
 
 ODD = [
     "a &amp b &notit; &copy;&copy &#169; &#xA9 &#x80; &#0; &#xD800; &#1114112; &; &x; &lt;b&gt; & &#; &CounterClockwiseContourIntegral; &ampamp; x",
@@ -60,3 +62,10 @@ def test_pages_are_cut_once(spark):
     assert plan.count("regexp_extract_all(html") == 1  # beside the generator it ran again for each piece
     assert "unboundedfollowing" not in plan.lower()  # a frame that is gone over again for each piece
     assert [r.markdown for r in made.collect()] == [markdown(page)]
+
+
+def test_blocks_are_typed_without_patterns_for_their_ends(spark):
+    blocks = ["\f\x0b\t \n```\nx\n``` \r\n", "\n  | a | b |\n | c |\n\n", " \n**Tip:** x \n", "\r\nvoid f(a)\n", " \n ", "\u00a0```", "__Very  Important__: y", "**Note:**\n", "a | b\nc"]
+    df = spark.createDataFrame([(b,) for b in blocks], "b string").select(T.content_type(F.col("b")).alias("t"))
+    assert [r.t for r in df.collect()] == ["CODE_EXAMPLE", "TABLE_ROW", "PRO_TIP", "SIGNATURE", "PROSE", "PROSE", "VERY_IMPORTANT", "PROSE", "PROSE"]
+    assert "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()  # it ran for every kind that a block may be

@@ -21,7 +21,7 @@ def callout_pattern(label: str) -> str:
 
 def content_type(block: Column) -> Column:
     """The class of a block: callouts, then fenced code, signature, table row, prose."""
-    text = F.regexp_replace(block, r"^\s+|\s+$", "")
+    text = F.trim(block, F.lit(" \t\n\x0b\f\r"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     plain = F.when(text.startswith("```"), "CODE_EXAMPLE").when(text.rlike(rf"(?i)^(?:{RETURN_TYPES})\s+\w+\s*\(.*?\)"), "SIGNATURE")
     plain = plain.when((F.size(lines) > 0) & F.forall(lines, lambda x: F.contains(x, F.lit("|"))), "TABLE_ROW").otherwise("PROSE")
@@ -63,7 +63,7 @@ def paragraphs(pages: DataFrame) -> DataFrame:
     after_close = F.coalesce(F.lag(closes).over(section), F.lit(False))
     lines = lines.withColumn("blank", blank).withColumn("cut", F.when(opens | blank | after_close, 1).otherwise(0))
     lines = lines.withColumn("block", F.sum("cut").over(section)).filter("not blank")
-    blocks = lines.groupBy("module", "page_url", "sec", "section", "block").agg(F.min("i").alias("first"), F.array_sort(F.collect_list(F.struct("i", "line"))).alias("rows"))
+    blocks = lines.groupBy("module", "page_url", "sec", "section", "block").agg(F.min("i").alias("first"), F.sort_array(F.collect_list(F.struct("i", "line"))).alias("rows"))
     content = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
     number = F.row_number().over(Window.partitionBy("page_url").orderBy("first")) - 1
     return blocks.select("module", "page_url", "section", number.alias("paragraph"), content.alias("content"))
