@@ -51,6 +51,34 @@ def test_near_cases_of_many_blocks_shuffle_no_pairs(spark, monkeypatch):
     assert {(r.left_id, r.right_id): r.share for r in found.collect()} == {k: v for k, v in want.items() if v > 0.6}
 
 
+def test_near_cases_of_sets_of_all_sizes(monkeypatch):
+    """Sets under and over ``DENSE`` words, with frequent words and without: the pairs of a brute-force count, and few words met for those that share little."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    often, seldom = [f"o{i}" for i in range(40)], [f"s{i}" for i in range(3000)]
+    sets = [set(rng.sample(often, rng.randrange(0, 25))) | set(rng.sample(seldom, rng.choice([0, 1, 5, 30, 60, 200]))) for _ in range(300)]
+    sets += [set(rng.sample(sorted(s), max(1, int(len(s) * rng.uniform(0.4, 1))))) | set(rng.sample(seldom, rng.randrange(40))) for s in sets if s]
+
+    def block(some):
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in some]), pa.array([" ".join(sorted(s)) for _, s in some])], ["id", "words"])
+        row = next(retrieval._block(0.6)(iter([batch])))
+        return {n: row.column(n)[0].values for n in row.schema.names}
+
+    gathered, met = retrieval._gathered, []
+    monkeypatch.setattr(retrieval, "_gathered", lambda *x: (met.append(out := gathered(*x)), out)[1])
+    left, right = list(enumerate(sets))[::3], list(enumerate(sets))
+    a, b = block(left), block(right)
+    got = {(a["id"][i].as_py(), b["id"][int(k)].as_py()): x for i, j, share in retrieval._counted(a, b, 0.6) for k, x in zip(j, share, strict=True)}
+    want = {(i, j): len(s & t) / min(len(s), len(t)) for i, s in left for j, t in right if s and t}
+    assert got == {k: v for k, v in want.items() if v > 0.6}
+    assert sum(map(len, met)) < sum(len(s & t) for _, s in left for _, t in right) / 2
+    assert next(retrieval._block(0.6)(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([""])], ["id", "words"])])), None) is None
+    looked, least = retrieval._needed(np.arange(1, 500), 0.6)
+    assert all(any(k / n > 0.6 for k in range(n + 1)) and n - looked[n - 1] + least[n - 1] == min(k for k in range(n + 1) if k / n > 0.6) for n in range(1, 500))
+
+
 def test_edges_in_one_pass_are_those_of_the_parts(spark):
     rng = random.Random(4)
     rows = [(f"t{i}", f"p{rng.randrange(3)}", f"s{rng.randrange(2)}", i // 2, rng.choice(["PROSE", "NOTE", "CODE_EXAMPLE", "PRO_TIP", "TABLE_ROW"])) for i in range(60)]

@@ -25,8 +25,8 @@ CONTENT_PRIORITY = {
     "IMPORTANT": 1.0, "VERY_IMPORTANT": 1.0, "SIGNATURE": 0.9, "CODE_EXAMPLE": 0.8, "PROSE": 0.7, "NOTE": 0.6, "PRO_TIP": 0.6, "TABLE_ROW": 0.4,
 }
 OTHER_RELATION, OTHER_TYPE = 0.2, 0.5
-# a block of word sets has about so many words or rows; frequent words of a pair of blocks, and pairs that are counted at once
-BLOCK_WORDS, BLOCK_ROWS, DENSE, CELLS = 1 << 19, 1 << 13, 1024, 1 << 22
+# a block of word sets has about so many words or rows; sets of so many words are looked up whole; pairs that are given out at once; frequent words of a block
+BLOCK_WORDS, BLOCK_ROWS, DENSE, CELLS, FREQUENT = 1 << 23, 1 << 14, 40, 1 << 17, 1 << 11
 
 
 def _looked_up(values: dict, key: Column, other: float) -> Column:
@@ -174,64 +174,142 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
 
 
-def _counted(a: pa.StringArray, b: pa.StringArray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places in ``a`` and ``b``, and shares, of all pairs of word sets (joined by blanks) that share more than ``least`` of the smaller set.
+def _needed(sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets of these sizes: how many of their rarest words are looked up in a larger set, and how many of those it must have to share more than ``least``.
 
-    Frequent words are counted by products of 0/1 matrices, the others by their lists; a step has about ``CELLS`` pairs.
+    A set that has to share k of n words may miss n - k, so of any n - k + t words at least t are met. Sets of up to ``DENSE`` words are looked up whole.
     """
-    split = [pc.split_pattern(x, " ") for x in (a, b)]
-    na, nb = (np.diff(x.offsets.to_numpy()) for x in split)
-    codes = pa.concat_arrays([x.flatten() for x in split]).dictionary_encode().indices.to_numpy()
-    n = int(codes.max()) + 1
-    ca, cb = codes[: na.sum()], codes[na.sum() :]
-    ra, rb = np.repeat(np.arange(len(a)), na), np.repeat(np.arange(len(b)), nb)
-    fa, fb = np.bincount(ca, minlength=n), np.bincount(cb, minlength=n)
-    both = fa * fb  # of each word: pairs that have it
-    frequent = np.argsort(-both, kind="stable")[:DENSE]
-    frequent = frequent[both[frequent] * 256 > len(a) * len(b)]
-    column = np.full(n, -1)
-    column[frequent] = np.arange(len(frequent))
-    right = np.zeros((len(frequent), len(b)), np.float32)
-    in_b = column[cb] >= 0
-    right[column[cb[in_b]], rb[in_b]] = 1
-    by_word = np.argsort(np.where(in_b, n, cb), kind="stable")  # lists of the other words
-    begin = np.r_[0, np.cumsum(np.where(column >= 0, 0, fb))]
-    listed = rb[by_word]
-    step = max(1, CELLS // len(b))
-    at = np.r_[0, np.cumsum(na)]
-    for lo in range(0, len(a), step):
-        hi = min(len(a), lo + step)
-        words, rows = ca[at[lo] : at[hi]], ra[at[lo] : at[hi]] - lo
-        dense = column[words] >= 0
-        left = np.zeros((hi - lo, len(frequent)), np.float32)
-        left[rows[dense], column[words[dense]]] = 1
-        shared = left @ right
-        flat = shared.reshape(-1)
-        words, rows = words[~dense], rows[~dense]
-        total = np.r_[0, np.cumsum(fb[words])]
-        k = 0
-        while k < len(words):
-            end = max(k + 1, int(np.searchsorted(total, total[k] + CELLS, "right")) - 1)
-            many = fb[words[k:end]]
-            within = np.arange(total[end] - total[k]) - np.repeat(total[k:end] - total[k], many)
-            np.add.at(flat, np.repeat(rows[k:end] * len(b), many) + listed[np.repeat(begin[words[k:end]], many) + within], np.float32(1))
-            k = end
-        smaller = np.minimum(na[lo:hi, None], nb[None, :])
-        i, j = np.nonzero(shared > np.float32(least) * smaller * np.float32(0.999))  # a little too many; the exact share decides
-        share = shared[i, j].astype(float) / smaller[i, j]
+    shared = np.floor(least * sizes).astype(np.int64) + 1
+    shared -= (shared - 1) / sizes > least
+    shared += shared / sizes <= least
+    looked = np.where(sizes <= DENSE, sizes, np.minimum(sizes, sizes - shared + 1 + sizes // 8))
+    return looked, looked - (sizes - shared)
+
+
+def _gathered(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The stretches ``begin`` to ``end`` of ``values``, one behind the other."""
+    many = end - begin
+    ends = np.cumsum(many)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + many, many)]
+
+
+def _added(rows: np.ndarray, which: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """The sums of some rows of a 0/1 matrix of bytes, from a column to another."""
+    out = np.zeros(max(0, end - begin), np.int64)
+    for lo in range(0, len(which), 255):
+        out += np.add.reduce(rows[which[lo : lo + 255], begin:end], axis=0, dtype=np.uint8)
+    return out
+
+
+def _block(least: float):
+    """A partition's word sets (id, words joined by blanks) as one row, the smallest first: a dictionary, each set's words from the rarest on, each word's sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = [b.filter(pc.not_equal(b.column("words"), "")) for b in batches]
+        if not sum(b.num_rows for b in sets):
+            return
+        table = pa.Table.from_batches(sets).combine_chunks()
+        split = pc.split_pattern(table["words"].combine_chunks(), " ")
+        order = np.argsort(np.diff(split.offsets.to_numpy()), kind="stable")
+        split = split.take(pa.array(order))
+        sizes = np.diff(split.offsets.to_numpy())
+        words = split.flatten().dictionary_encode()
+        codes, at = words.indices.to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+        codes = codes[np.lexsort((np.bincount(codes)[codes], at))]
+        early = np.arange(len(codes)) < np.repeat(np.cumsum(sizes) - sizes + _needed(sizes, least)[0], sizes)
+        by_word = np.argsort(codes, kind="stable")
+        row = {
+            "id": table["id"].combine_chunks().take(pa.array(order)), "size": pa.array(sizes, pa.int32()), "word": words.dictionary.cast(pa.string()), "code": pa.array(codes, pa.int32()),
+            "sets": pa.array(at[by_word], pa.int32()), "early": pa.array(early[by_word]),
+        }
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in row.values()], list(row))
+
+    return run
+
+
+def _counted(a: dict, b: dict, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each set of the block ``a`` that has some: its place, and places in ``b`` and shares of the sets that share more than ``least`` of the smaller set.
+
+    Of two sets the smaller one's rarest words are looked up in the larger one; where enough are met, all words decide.
+    """
+    code, size_a, size_b, sets = b["code"].to_numpy(), *(x["size"].to_numpy().astype(np.int64) for x in (a, b)), b["sets"].to_numpy().astype(np.intp)
+    n, whole = len(size_b), int(np.searchsorted(size_b, DENSE, "right"))
+    many = np.bincount(code, minlength=len(b["word"]))
+    begin = np.r_[0, np.cumsum(many)]
+    # frequent words have a row of bytes, one for each set; in it the first sets, which are looked up whole, are counted for the other words alone
+    frequent = np.argsort(-many, kind="stable")[:FREQUENT]
+    frequent = frequent[many[frequent] * 64 > n]
+    place = np.full(len(many), -1)
+    place[frequent] = np.arange(len(frequent))
+    rows = np.zeros((len(frequent), n), np.uint8)
+    rows[np.repeat(np.arange(len(frequent)), many[frequent]), _gathered(sets, begin[frequent], begin[frequent + 1])] = 1
+    early = b["early"].to_numpy(zero_copy_only=False) & ((sets >= whole) | np.repeat(place < 0, many))
+    begin_early, early = np.r_[0, np.cumsum(early)][begin], sets[early]
+    known = pc.index_in(a["word"], value_set=b["word"]).fill_null(-1).to_numpy()[a["code"].to_numpy()]
+    (looked, _), (least_a, least_b) = _needed(size_a, least), (_needed(x, least)[1] for x in (size_a, size_b))
+    at_a, at_b = np.r_[0, np.cumsum(size_a)], np.r_[0, np.cumsum(size_b)]
+    larger = np.searchsorted(size_b, size_a)  # from here on sets of b are as large or larger
+    mark = np.zeros(len(many), bool)
+    of = np.repeat(np.arange(n), size_b)
+    is_early = (np.arange(len(code)) < np.repeat(at_b[:-1] + _needed(size_b, least)[0], size_b)) & ((of >= whole) | (place[code] < 0))
+    split, split_early, before = begin[:-1].copy(), begin_early[:-1].copy(), 0  # where each word's larger sets begin: both sides go by size
+    for i in range(len(size_a)):
+        words, k = known[at_a[i] : at_a[i + 1]], int(larger[i])
+        if k > before:
+            passed = slice(at_b[before], at_b[k])
+            np.add.at(split, code[passed], 1)
+            np.add.at(split_early, code[passed][is_early[passed]], 1)
+            before = k
+        found, shared = [], []
+        all_words = words[words >= 0]
+        if k:  # smaller sets of b: their early words among all of this one
+            hits = np.bincount(_gathered(early, begin_early[all_words], split_early[all_words]), minlength=n)[:k]
+            in_rows = place[all_words]
+            hits[:whole] += _added(rows, in_rows[in_rows >= 0], 0, min(k, whole))
+            j = np.flatnonzero(hits >= least_b[:k])
+            found.append(j), shared.append(np.where(j < whole, hits[j], -1))
+        if k < n:
+            rare = words[: looked[i]]
+            rare = rare[rare >= 0]
+            in_rows = place[rare]
+            rare = rare[in_rows < 0]
+            hits = np.bincount(_gathered(sets, split[rare], begin[rare + 1]), minlength=n)[k:] + _added(rows, in_rows[in_rows >= 0], k, n)
+            j = np.flatnonzero(hits >= least_a[i])
+            found.append(j + k), shared.append(hits[j] if size_a[i] <= DENSE else np.full(len(j), -1))
+        j, both = np.concatenate(found), np.concatenate(shared)
+        open_ = np.flatnonzero(both < 0)
+        if len(open_):
+            mark[all_words] = True
+            some = j[open_]
+            both[open_] = np.add.reduceat(mark[_gathered(code, at_b[some], at_b[some + 1])], np.cumsum(size_b[some]) - size_b[some], dtype=np.int64)
+            mark[all_words] = False
+        share = both / np.minimum(size_a[i], size_b[j])
         kept = share > least
-        yield i[kept] + lo, j[kept], share[kept]
+        if kept.any():
+            yield i, j[kept], share[kept]
 
 
 def _met(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                a, b = batch.column("a")[k].values, batch.column("b")[k].values
-                for i, j, share in _counted(a.field("words"), b.field("words"), least):
-                    left, right = a.field("id").take(pa.array(i)), b.field("id").take(pa.array(j))
-                    found = pa.RecordBatch.from_arrays([left, right, pa.array(share)], ["left_id", "right_id", "share"])
-                    yield found.filter(pc.not_equal(left, right))
+                a, b = ({name: batch.column(side).field(name)[k].values for name in (f.name for f in batch.column(side).type)} for side in "ab")
+
+                def pairs(found: list, a=a, b=b) -> pa.RecordBatch:
+                    i = np.repeat([x[0] for x in found], [len(x[1]) for x in found])
+                    left, right = a["id"].take(pa.array(i)), b["id"].take(pa.array(np.concatenate([x[1] for x in found])))
+                    out = pa.RecordBatch.from_arrays([left, right, pa.array(np.concatenate([x[2] for x in found]))], ["left_id", "right_id", "share"])
+                    return out.filter(pc.not_equal(left, right))
+
+                kept, n = [], 0
+                for found in _counted(a, b, least):
+                    kept.append(found)
+                    n += len(found[1])
+                    if n >= CELLS:
+                        yield pairs(kept)
+                        kept, n = [], 0
+                if kept:
+                    yield pairs(kept)
 
     return run
 
@@ -243,14 +321,19 @@ def near_cases(cases: DataFrame, known: DataFrame, least: float = 0.6) -> DataFr
     ``BLOCK_WORDS`` words or ``BLOCK_ROWS`` rows, written once; every pair of blocks is a task that counts shared words in bounded memory, so what is
     shuffled and written grows with the texts, not with the pairs.
     """
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        sets = df.filter("id is not null").select("id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-        size = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("w")), F.lit(0)).alias("words")).first()
-        n = 1 + max(size["n"] // BLOCK_ROWS, size["words"] // BLOCK_WORDS)
-        dealt = sets.select("id", F.array_join("w", " ").alias("words"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).repartitionById(n, "block")
-        return cut(dealt.groupBy("block").agg(F.collect_list(F.struct("id", "words")).alias(name)).select(name))
-
-    pairs = blocks(cases, "a").crossJoin(blocks(known, "b"))
+    session = cases.sparkSession
     left, right = (df.schema["id"].dataType for df in (cases, known))
+    lists = {"size": T.IntegerType(), "word": T.StringType(), "code": T.IntegerType(), "sets": T.IntegerType(), "early": T.BooleanType()}
+
+    def blocks(df: DataFrame, name: str, fields: list[str], least_blocks: int = 1) -> tuple[DataFrame, int]:
+        df = df.filter("id is not null and text is not null").select("id", "text")
+        size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+        n = max(1 + max(size["n"] // BLOCK_ROWS, size["chars"] // (8 * BLOCK_WORDS)), min(least_blocks, size["n"]))  # a set's word stands for about ten letters of its text
+        dealt = df.select("id", F.array_join(words(F.col("text")), " ").alias("words"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).repartitionById(n, "block")
+        schema = T.StructType([T.StructField(k, T.ArrayType(v)) for k, v in ({"id": df.schema["id"].dataType} | lists).items()])
+        return cut(dealt.select("id", "words").mapInArrow(_block(least), schema).select(F.struct(*fields).alias(name))), n
+
+    b, n = blocks(known, "b", ["id", *lists])
+    a, _ = blocks(cases, "a", ["id", "size", "word", "code"], -(-3 * session.sparkContext.defaultParallelism // n))  # no core stays idle where there are few blocks
     schema = T.StructType([T.StructField("left_id", left), T.StructField("right_id", right), T.StructField("share", T.DoubleType())])
-    return pairs.mapInArrow(_met(least), schema)
+    return a.crossJoin(b).mapInArrow(_met(least), schema)
