@@ -79,6 +79,21 @@ def test_near_cases_of_sets_of_all_sizes(monkeypatch):
     assert all(any(k / n > 0.6 for k in range(n + 1)) and n - looked[n - 1] + least[n - 1] == min(k for k in range(n + 1) if k / n > 0.6) for n in range(1, 500))
 
 
+def test_near_ids_are_those_of_the_pairs(spark, monkeypatch):
+    """In one round and in two; cases of the same known words are looked up once, and a case's own text among the known ones doesn't count."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices([f"w{i * i // 4}" for i in range(40)], k=rng.randrange(0, 14))) for _ in range(90)]
+    docs = [*enumerate(texts), *((100 + i, f"case {i} of its own kind") for i in range(30)), (200, "alone here"), (201, "twin of nobody else"), (202, "twin of nobody else"), (None, "w0"), (203, None)]
+    df = spark.createDataFrame(docs, "id long, text string")
+    known = df.filter("id < 60 or id >= 200 and id < 202")
+    want = {r.left_id for r in retrieval.near_cases(df, known).select("left_id").distinct().collect()}
+    assert 202 in want and 200 not in want and 201 not in want and 100 not in want
+    assert sorted(r.id for r in retrieval.near_ids(df, known).collect()) == sorted(want)
+    for name, value in (("BLOCK_ROWS", 8), ("BLOCK_WORDS", 150)):
+        monkeypatch.setattr(retrieval, name, value)
+    assert sorted(r.id for r in retrieval.near_ids(df, known).collect()) == sorted(want)
+
+
 def test_edges_in_one_pass_are_those_of_the_parts(spark):
     rng = random.Random(4)
     rows = [(f"t{i}", f"p{rng.randrange(3)}", f"s{rng.randrange(2)}", i // 2, rng.choice(["PROSE", "NOTE", "CODE_EXAMPLE", "PRO_TIP", "TABLE_ROW"])) for i in range(60)]

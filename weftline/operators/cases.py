@@ -75,11 +75,12 @@ def validated(cases: DataFrame, tokens: DataFrame) -> DataFrame:
     """
     known = tokens.select(F.col("token_sha").alias("id"), F.col("content").alias("text"))
     asked = cases.select(F.col("id").cast("string").alias("id"), "text", "learned", "query")
-    same = asked.join(known.select("text"), "text", "left_semi").select("id").distinct().withColumn("same", F.lit(True))
-    near = retrieval.near_cases(asked, known).select(F.col("left_id").alias("id")).distinct().withColumn("near", F.lit(True))
+    same = cut(asked.join(known.select("text"), "text", "left_semi").select("id").distinct()).withColumn("same", F.lit(True))
+    empty = (F.trim(F.coalesce("text", F.lit(""))) == "") | (F.trim(F.coalesce("learned", F.lit(""))) == "")
+    left = asked.filter(~empty).join(same, "id", "left_anti")  # the others are decided
+    near = retrieval.near_ids(left, known).withColumn("near", F.lit(True))
     found = retrieval.terms_of(tokens).select(F.col("term").alias("word")).distinct().withColumn("found", F.lit(True))
     rows = asked.join(same, "id", "left").join(near, "id", "left").withColumn("word", F.lower("query")).join(found, "word", "left")
-    empty = (F.trim(F.coalesce("text", F.lit(""))) == "") | (F.trim(F.coalesce("learned", F.lit(""))) == "")
     reason = F.when(empty, "empty").when(F.col("same"), "duplicate").when(F.col("near"), "near duplicate").when(F.col("query").isNotNull() & F.col("found").isNull(), "unrelated").otherwise("ok")
     return rows.select("id", (reason == "ok").alias("valid"), reason.alias("reason"))
 

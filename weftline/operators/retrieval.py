@@ -26,7 +26,7 @@ CONTENT_PRIORITY = {
 }
 OTHER_RELATION, OTHER_TYPE = 0.2, 0.5
 # a block of word sets has about so many words or rows; sets of so many words are looked up whole; pairs that are given out at once; frequent words of a block
-BLOCK_WORDS, BLOCK_ROWS, DENSE, CELLS, FREQUENT = 1 << 23, 1 << 14, 40, 1 << 17, 1 << 11
+BLOCK_WORDS, BLOCK_ROWS, DENSE, CELLS, FREQUENT = 1 << 23, 1 << 17, 40, 1 << 17, 1 << 11
 
 
 def _looked_up(values: dict, key: Column, other: float) -> Column:
@@ -227,17 +227,18 @@ def _block(least: float):
     return run
 
 
-def _counted(a: dict, b: dict, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _counted(a: dict, b: dict, least: float, once: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each set of the block ``a`` that has some: its place, and places in ``b`` and shares of the sets that share more than ``least`` of the smaller set.
 
-    Of two sets the smaller one's rarest words are looked up in the larger one; where enough are met, all words decide.
+    Of two sets the smaller one's rarest words are looked up in the larger one; where enough are met, all words decide. With ``once`` two found sets
+    of different ids are enough, and sets of one size with the same words of ``b`` are looked up once.
     """
     code, size_a, size_b, sets = b["code"].to_numpy(), *(x["size"].to_numpy().astype(np.int64) for x in (a, b)), b["sets"].to_numpy().astype(np.intp)
     n, whole = len(size_b), int(np.searchsorted(size_b, DENSE, "right"))
     many = np.bincount(code, minlength=len(b["word"]))
     begin = np.r_[0, np.cumsum(many)]
     # frequent words have a row of bytes, one for each set; in it the first sets, which are looked up whole, are counted for the other words alone
-    frequent = np.argsort(-many, kind="stable")[:FREQUENT]
+    frequent = np.argsort(-many, kind="stable")[: min(FREQUENT, (1 << 25) // n)]
     frequent = frequent[many[frequent] * 64 > n]
     place = np.full(len(many), -1)
     place[frequent] = np.arange(len(frequent))
@@ -252,16 +253,24 @@ def _counted(a: dict, b: dict, least: float) -> Iterator[tuple[int, np.ndarray,
     mark = np.zeros(len(many), bool)
     of = np.repeat(np.arange(n), size_b)
     is_early = (np.arange(len(code)) < np.repeat(at_b[:-1] + _needed(size_b, least)[0], size_b)) & ((of >= whole) | (place[code] < 0))
+    seen = {}
     split, split_early, before = begin[:-1].copy(), begin_early[:-1].copy(), 0  # where each word's larger sets begin: both sides go by size
     for i in range(len(size_a)):
         words, k = known[at_a[i] : at_a[i + 1]], int(larger[i])
+        all_words = words[words >= 0]
+        if once:
+            key = int(size_a[i]), np.sort(all_words).tobytes()
+            if key in seen:
+                if seen[key] is not None:
+                    yield i, *seen[key]
+                continue
+            seen[key] = None
         if k > before:
             passed = slice(at_b[before], at_b[k])
             np.add.at(split, code[passed], 1)
             np.add.at(split_early, code[passed][is_early[passed]], 1)
             before = k
         found, shared = [], []
-        all_words = words[words >= 0]
         if k:  # smaller sets of b: their early words among all of this one
             hits = np.bincount(_gathered(early, begin_early[all_words], split_early[all_words]), minlength=n)[:k]
             in_rows = place[all_words]
@@ -286,10 +295,16 @@ def _counted(a: dict, b: dict, least: float) -> Iterator[tuple[int, np.ndarray,
         share = both / np.minimum(size_a[i], size_b[j])
         kept = share > least
         if kept.any():
-            yield i, j[kept], share[kept]
+            j, share = j[kept], share[kept]
+            if once:
+                ids = b["id"]
+                other = next((k for k in range(1, len(j)) if ids[int(j[k])] != ids[int(j[0])]), 0)
+                j, share = j[[0, other]], share[[0, other]]
+                seen[key] = j, share
+            yield i, j, share
 
 
-def _met(least: float):
+def _met(least: float, once: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -302,7 +317,7 @@ def _met(least: float):
                     return out.filter(pc.not_equal(left, right))
 
                 kept, n = [], 0
-                for found in _counted(a, b, least):
+                for found in _counted(a, b, least, once):
                     kept.append(found)
                     n += len(found[1])
                     if n >= CELLS:
@@ -314,26 +329,47 @@ def _met(least: float):
     return run
 
 
-def near_cases(cases: DataFrame, known: DataFrame, least: float = 0.6) -> DataFrame:
-    """left_id, right_id, share of each case (id, text) and each known one of another id whose shared words are more than ``least`` of the smaller word set.
+def _number(sets: DataFrame) -> int:
+    """How many blocks texts (text) need; a word of a set stands for about eight letters of its text."""
+    size = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    return 1 + max(size["n"] // BLOCK_ROWS, size["chars"] // (8 * BLOCK_WORDS))
 
-    Exact, and by nature a look at every case and known one: a set may lie inside any larger one. Both sides are dealt to blocks of at most about
-    ``BLOCK_WORDS`` words or ``BLOCK_ROWS`` rows, written once; every pair of blocks is a task that counts shared words in bounded memory, so what is
-    shuffled and written grows with the texts, not with the pairs.
-    """
-    session = cases.sparkSession
-    left, right = (df.schema["id"].dataType for df in (cases, known))
+
+def _pairs(cases: DataFrame, known: DataFrame, least: float, once: bool = False) -> DataFrame:
+    """left_id, right_id, share as ``near_cases`` has them; with ``once`` one or two of a case and a block of known ones."""
     lists = {"size": T.IntegerType(), "word": T.StringType(), "code": T.IntegerType(), "sets": T.IntegerType(), "early": T.BooleanType()}
 
-    def blocks(df: DataFrame, name: str, fields: list[str], least_blocks: int = 1) -> tuple[DataFrame, int]:
-        df = df.filter("id is not null and text is not null").select("id", "text")
-        size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-        n = max(1 + max(size["n"] // BLOCK_ROWS, size["chars"] // (8 * BLOCK_WORDS)), min(least_blocks, size["n"]))  # a set's word stands for about ten letters of its text
+    def blocks(df: DataFrame, name: str, fields: list[str], n: int) -> DataFrame:
         dealt = df.select("id", F.array_join(words(F.col("text")), " ").alias("words"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).repartitionById(n, "block")
         schema = T.StructType([T.StructField(k, T.ArrayType(v)) for k, v in ({"id": df.schema["id"].dataType} | lists).items()])
-        return cut(dealt.select("id", "words").mapInArrow(_block(least), schema).select(F.struct(*fields).alias(name))), n
+        return cut(dealt.select("id", "words").mapInArrow(_block(least), schema).select(F.struct(*fields).alias(name)))
 
-    b, n = blocks(known, "b", ["id", *lists])
-    a, _ = blocks(cases, "a", ["id", "size", "word", "code"], -(-3 * session.sparkContext.defaultParallelism // n))  # no core stays idle where there are few blocks
+    cases, known = (df.filter("id is not null and text is not null").select("id", "text") for df in (cases, known))
+    n = _number(known)
+    b = blocks(known, "b", ["id", *lists], n)
+    a = blocks(cases, "a", ["id", "size", "word", "code"], max(_number(cases), -(-cases.sparkSession.sparkContext.defaultParallelism // n)))  # no core stays idle where there are few blocks
+    left, right = (df.schema["id"].dataType for df in (cases, known))
     schema = T.StructType([T.StructField("left_id", left), T.StructField("right_id", right), T.StructField("share", T.DoubleType())])
-    return a.crossJoin(b).mapInArrow(_met(least), schema)
+    return a.crossJoin(b).mapInArrow(_met(least, once), schema)
+
+
+def near_cases(cases: DataFrame, known: DataFrame, least: float = 0.6) -> DataFrame:
+    """left_id, right_id, share of each case (id, text) and each known one of another id whose shared words are more than ``least`` of the smaller word set.
+
+    Exact, and by nature a look at every case and known one: a set may lie inside any larger one. Both sides are dealt to blocks of at most about
+    ``BLOCK_WORDS`` words or ``BLOCK_ROWS`` rows, written once; every pair of blocks is a task that counts shared words in bounded memory, so what is
+    shuffled and written grows with the texts, not with the pairs.
+    """
+    return _pairs(cases, known, least)
+
+
+def near_ids(cases: DataFrame, known: DataFrame, least: float = 0.6) -> DataFrame:
+    """id of the cases that ``near_cases`` has pairs of, without making all pairs: most are found among a block of the known ones, only the others meet the rest."""
+    n = _number(known)
+    drawn = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n)) == 0
+    found, left = [], cut(cases.select("id", "text"))
+    for some in [known.filter(drawn), known.filter(~drawn)] if n > 4 else [known]:
+        met = cut(_pairs(left, some, least, once=True).select(F.col("left_id").alias("id")).distinct())
+        found.append(met)
+        left = left.join(met, "id", "left_anti")
+    return reduce(DataFrame.unionByName, found)
